@@ -223,5 +223,5 @@ def ledger_events(spark: SparkSession, root: str) -> DataFrame:
         F.col("seq").cast("bigint").alias("seq"),
         F.timestamp_micros(F.unix_micros("enqueued_at") + F.col("seq") * 1000000).alias("at"),
         "action",
-        F.when(F.col("action") == "fail", F.concat(F.lit("attempt "), F.col("seq"))).alias("error"),
+        F.when(F.col("action").isin("fail", "requeue"), F.concat(F.lit("attempt "), F.col("seq"))).alias("error"),
     )
