@@ -72,10 +72,10 @@ def sparse_items(chunks: DataFrame, scope_columns: list[str]) -> DataFrame:
     )
 
 
-def dense_items(df: DataFrame, key: str, vector: str) -> DataFrame:
+def dense_items(df: DataFrame, key: str, vector: str, scope_column: Column | None = None) -> DataFrame:
     """Dense whole-number vectors as tile input: position is the feature."""
     return df.select(
-        F.lit("").alias("scope"),
+        (F.lit("") if scope_column is None else scope_column).alias("scope"),
         F.col(key).alias("item_id"),
         F.sequence(F.lit(0), F.size(vector) - 1).alias("features"),
         F.col(vector).alias("weights"),

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragframe.session import cut_lineage
+
 
 def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One row per key, the last by ``order``.
@@ -60,54 +60,22 @@ def orphan_audit(documents: DataFrame, children: dict[str, DataFrame], key: str
 # ---- tables on disk -----------------------------------------------------------------------------
 
 
-class KeyedTable:
-    """A parquet table of immutable versions behind one small pointer file.
+def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
+    """Upsert into a partitioned parquet table; only partitions that ``new`` touches are rewritten.
 
-    A write makes a new version folder and moves the pointer last, so readers see the old rows or
-    the new rows and never a mixture, and a lost executor only repeats its own tasks.
+    ``partition_by`` must be decided by the keys (a tenant, a hash bucket of the key), so equal keys
+    meet in one partition. The merge is cut from its lineage before the overwrite, since it reads
+    the partitions that it replaces.
     """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, p.getFileSystem(conf)
-
-    def _pointers(self) -> list[int]:
-        jvm, fs = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current")
-        if not fs.exists(folder):
-            return []
-        return sorted(int(s.getPath().getName().split("-")[0]) for s in fs.listStatus(folder))
-
-    def _version(self, n: int) -> str:
-        jvm, fs = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current"))]
-        return next(x.split("-", 1)[1] for x in names if x.startswith(f"{n}-"))
-
-    def exists(self) -> bool:
-        return bool(self._pointers())
-
-    def read(self) -> DataFrame:
-        n = self._pointers()[-1]
-        return self.spark.read.parquet(f"{self.path}/v-{self._version(n)}")
-
-    def overwrite(self, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        token = uuid.uuid4().hex
-        writer = df.write.mode("error")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(f"{self.path}/v-{token}")
-        jvm, fs = self._fs()
-        n = (self._pointers() or [0])[-1] + 1
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current"))
-        fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current/{n}-{token}"), False).close()
-
-    def upsert(self, new: DataFrame, keys: list[str]) -> None:
-        self.overwrite(upsert(self.read(), new, keys) if self.exists() else new)
+    spark = new.sparkSession
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
+    merged = new
+    if exists:
+        touched = new.select(*partition_by).distinct()
+        old = spark.read.schema(new.schema).parquet(path).join(touched, partition_by, "left_semi")
+        merged = cut_lineage(upsert(old.select(*new.columns), new, keys))
+    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:
