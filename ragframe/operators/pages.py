@@ -18,7 +18,7 @@ PAGE_LIMIT = 1000
 def _heading_flags(lines: Column) -> Column:
     """Positions (0-based) and titles of heading-looking lines among ``lines``."""
     sentence_end = f"[{tx.SENTENCE_END}]$"
-    hit = F.transform(
+    hits = lambda lines: F.transform(
         lines,
         lambda line, i: F.when(
             (line != "")
@@ -28,7 +28,7 @@ def _heading_flags(lines: Column) -> Column:
             F.struct(i.alias("pos"), line.alias("title")),
         ),
     )
-    return F.filter(hit, lambda h: h.isNotNull())
+    return F.filter(tx.let(lines, hits), lambda h: h.isNotNull())
 
 
 def document_bundles(
@@ -40,12 +40,12 @@ def document_bundles(
     document is flagged ``truncated``. ``section`` is the last heading at or before the page.
     """
     keep = [c for c in documents.columns if c != "text"]
-    lines = documents.select(*keep, F.transform(F.split("text", "\n"), tx.trim_ws).alias("_lines"))
+    lines = documents.select(*keep, F.split("text", "\n").alias("_lines"))
     counted = lines.select(
         "*",
         F.ceil(F.size("_lines") / page_lines).cast("int").alias("_n"),
         F.transform(
-            _heading_flags(F.col("_lines")),
+            _heading_flags(F.transform("_lines", tx.trim_ws)),
             lambda h: F.struct(
                 (F.floor(h.pos / page_lines).cast("int") + 1).alias("page"), h.title.alias("title")
             ),
