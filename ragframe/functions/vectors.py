@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values -----------------------------------------------------------------------------
@@ -15,41 +15,40 @@ def _fold(values: Column, step) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), step)
 
 
-def hashed_counts(tokens: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed feature hashing inside the row: array<struct<slot,s>>, slots ascending.
+def run_starts(ordered: Column) -> Column:
+    """0-based positions at which a new value begins in a sorted array."""
+    at = F.sequence(F.lit(0), F.size(ordered) - 1)
+    fresh = F.filter(at, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+    return F.when(F.size(ordered) > 0, fresh).otherwise(F.array().cast("array<int>"))
 
-    A token's sha-256 picks its slot (first four bytes) and sign (parity of the fifth). Slot and
-    sign travel as one sortable number, and one pass over the sorted numbers sums the runs.
-    """
-
-    def code(token: Column) -> Column:
-        def from_digest(h: Column) -> Column:
-            slot = F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % dimensions
-            odd = F.substring(h, 10, 1).isin(*"13579bdf")
-            return slot * 2 + odd.cast("bigint")
 
-        return from_digest(F.sha2(token, 256))
-
-    hit = "struct<slot:int,s:int>"
-    zero = F.struct(
-        F.lit(-1).alias("slot"), F.lit(0).alias("s"), F.array().cast(f"array<{hit}>").alias("done")
-    )
+def add_hashed_counts(df: DataFrame, tokens: Column, name: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """Add signed feature hashing of each row's tokens: array<struct<slot,s>>, slots ascending.
 
-    def close(acc: Column) -> Column:
-        one = F.array(F.struct(acc.slot.alias("slot"), acc.s.alias("s")))
-        return F.when(acc.s != 0, F.concat(acc.done, one)).otherwise(acc.done)
-
-    def step(acc: Column, c: Column) -> Column:
-        slot = F.floor(c / 2).cast("int")
-        sign = (F.lit(1) - (c % 2) * 2).cast("int")
-        same = slot == acc.slot
-        return F.struct(
-            slot.alias("slot"),
-            F.when(same, acc.s + sign).otherwise(sign).alias("s"),
-            F.when(same, acc.done).otherwise(close(acc)).alias("done"),
-        )
-
-    return F.aggregate(F.sort_array(F.transform(tokens, code)), zero, step, close)
+    A token's sha-256 picks its slot (first four bytes) and sign (parity of the fifth). Slot and
+    sign become one sortable number 2*slot+odd, so a slot's positive run lies right before its
+    negative run and run lengths are the counts: linear in tokens, inside the row, in the JVM.
+    Each step is a column of its own because lambdas would compute an inlined array once per element.
+    """
+    head = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 10), 16, 10).cast("bigint"))
+    code = F.transform(head, lambda v: (F.shiftright(v, 8) % dimensions * 2 + v % 2).cast("int"))
+    keep = df.columns
+    codes = df.select(*keep, F.sort_array(code).alias("_code"))
+    runs = codes.select("*", run_starts(F.col("_code")).alias("_run"))
+
+    def entry(start: Column, j: Column) -> Column:
+        value = F.get("_code", start)
+        size = F.coalesce(F.get("_run", j + 1), F.size("_code")) - start
+        follows = F.get("_code", F.get("_run", j + 1)) == value + 1
+        next_size = F.coalesce(F.get("_run", j + 2), F.size("_code")) - F.get("_run", j + 1)
+        paired = F.coalesce(F.get("_code", start - 1) == value - 1, F.lit(False))
+        negative = F.when(paired, 0).otherwise(-size)
+        positive = size - F.when(follows, next_size).otherwise(0)
+        total = F.when(value % 2 == 1, negative).otherwise(positive)
+        return F.struct(F.shiftright(value, 1).alias("slot"), total.alias("s"))
+
+    counts = F.filter(F.transform("_run", entry), lambda x: x.s != 0)
+    return runs.select(*keep, counts.alias(name))
 
 
 def quantize_counts(counts: Column) -> Column:
@@ -77,12 +76,19 @@ def quantize(dense: Column) -> Column:
 
 
 def to_dense(sparse: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Sparse (slot, q) rows laid out in full, with zeros, as doubles."""
-    by_slot = F.map_from_entries(sparse)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda i: F.coalesce(F.try_element_at(by_slot, i), F.lit(0).cast("bigint")) / F.lit(float(SCALE)),
+    """Sparse (slot, q) entries, slots ascending, laid out in full with zeros, as doubles."""
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("bigint"), n)
+    zero = F.struct(F.lit(0).alias("next"), F.array().cast("array<bigint>").alias("out"))
+    filled = F.aggregate(
+        sparse,
+        zero,
+        lambda acc, x: F.struct(
+            (x.slot + 1).alias("next"),
+            F.concat(acc.out, zeros(x.slot - acc.next), F.array(x.q)).alias("out"),
+        ),
+        lambda acc: F.concat(acc.out, zeros(F.lit(dimensions) - acc.next)),
     )
+    return F.transform(filled, lambda q: q / F.lit(float(SCALE)))
 
 
 def dot(a: Column, b: Column) -> Column:

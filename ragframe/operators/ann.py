@@ -5,10 +5,6 @@ partitioned by cell turns into partition pruning. Vectors within the probed cell
 exactly by the same tiles as the exact search.
 """
 
-from __future__ import annotations
-
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,15 +36,13 @@ def train_cells(vectors: DataFrame, key: str, vector: str, cells: int, seed: int
 def nearest_cells(df: DataFrame, vector: str, centers: np.ndarray, probes: int) -> DataFrame:
     """Add ``cells``: the ``probes`` nearest centroids, nearest first. The centroids are few."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in batches:
-            if not len(part):
-                yield pd.Series([], dtype=object)
-                continue
-            score = np.stack([np.asarray(v, dtype=float) for v in part]) @ centers.T
-            yield pd.Series(list(np.argsort(-score, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+    @F.pandas_udf("array<int>")
+    def near(part: pd.Series) -> pd.Series:
+        if not len(part):
+            return pd.Series([], dtype=object)
+        score = np.stack([np.asarray(v, dtype=float) for v in part]) @ centers.T
+        return pd.Series(list(np.argsort(-score, axis=1, kind="stable")[:, :probes].astype(np.int32)))
 
-    near = F.pandas_udf(run, "array<int>", functionType=F.PandasUDFType.SCALAR_ITER)
     return df.withColumn("cells", near(F.col(vector)))
 
 

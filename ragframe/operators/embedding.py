@@ -23,7 +23,7 @@ IDF_SCALE = 10_000
 
 def hash_embed(df: DataFrame, text: str = "content", dimensions: int = vx.DIMENSIONS) -> DataFrame:
     """Add ``model`` and sparse ``vector`` (slot, q). One projection: no shuffle, no Python."""
-    counted = df.withColumn("_counts", vx.hashed_counts(tx.tokenize(F.col(text)), dimensions))
+    counted = vx.add_hashed_counts(df, tx.tokenize(F.col(text)), "_counts", dimensions)
     return counted.select(
         *df.columns, F.lit(HASH_MODEL).alias("model"), vx.quantize_counts(F.col("_counts")).alias("vector")
     )
@@ -119,43 +119,23 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def term_weights(df: DataFrame, key: str, text: str, vocab: DataFrame, salts: int = 16) -> DataFrame:
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf) counted inside each row over its sorted tokens: one row per distinct token."""
+    ordered = df.select(key, F.sort_array(tx.tokenize(F.col(text))).alias("_t"))
+    runs = ordered.select("*", vx.run_starts(F.col("_t")).alias("_run"))
+    pair = lambda s, j: F.struct(
+        F.get("_t", s).alias("token"), (F.coalesce(F.get("_run", j + 1), F.size("_t")) - s).alias("tf")
+    )
+    return runs.select(key, F.explode(F.transform("_run", pair)).alias("x")).select(key, "x.token", "x.tf")
+
+
+def term_weights(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:
     """(key, token, tf, w): tf times idf, tokens outside the vocabulary left out.
 
-    Counting happens inside each row, so the join sees one row per distinct token of a text. The
-    vocabulary is copied ``salts`` times and the rows of a frequent token are dealt over the
-    copies: no token, however common, lands in one task.
+    The join carries no hint: AQE broadcasts a vocabulary that turns out small and otherwise splits
+    the partition of a token that a large share of the texts contain.
     """
-
-    def runs(tokens: Column) -> Column:
-        pair = "struct<token:string,tf:int>"
-        zero = F.struct(
-            F.lit(None).cast("string").alias("token"), F.lit(0).alias("tf"),
-            F.array().cast(f"array<{pair}>").alias("done"),
-        )
-
-        def close(acc: Column) -> Column:
-            one = F.array(F.struct(acc.token.alias("token"), acc.tf.alias("tf")))
-            return F.when(acc.tf > 0, F.concat(acc.done, one)).otherwise(acc.done)
-
-        return F.aggregate(
-            F.sort_array(tokens),
-            zero,
-            lambda acc, t: F.struct(
-                t.alias("token"),
-                F.when(t.eqNullSafe(acc.token), acc.tf + 1).otherwise(F.lit(1)).alias("tf"),
-                F.when(t.eqNullSafe(acc.token), acc.done).otherwise(close(acc)).alias("done"),
-            ),
-            close,
-        )
-
-    counted = df.select(key, F.explode(runs(tx.tokenize(F.col(text)))).alias("x")).select(
-        key, "x.token", "x.tf", F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt")
-    )
-    copies = vocab.select("token", "idf_q").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    )
-    return counted.join(copies, ["token", "salt"]).select(
+    return term_counts(df, key, text).join(vocab.select("token", "idf_q"), "token").select(
         key, "token", "tf", (F.col("tf") * F.col("idf_q")).alias("w")
     )
 

@@ -55,7 +55,7 @@ def word_est(s: str) -> str:
 def sentences(s: str) -> str:
     flat = f"replace({s}, {NL}, ' ')"
     cut = f"string_split(regexp_replace({flat}, '([.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1))"
-    return f"list_filter(list_transform({cut}, lambda x: {trim('x')}), lambda x: x <> '')"
+    return f"list_filter(list_transform({cut}, lambda x: trim(x, {WSC})), lambda x: x <> '')"
 
 
 def normalize(s: str) -> str:
@@ -161,7 +161,7 @@ qn AS (SELECT query_id, sum(q * q)::DOUBLE AS n FROM qv GROUP BY ALL),
 cn AS (SELECT document_id, chunk_index, sum(q * q)::DOUBLE AS n FROM vec GROUP BY ALL),
 scores AS MATERIALIZED (SELECT q.query_id, i.document_id, i.chunk_index, coalesce(d.dot, 0) AS dot,
   CASE WHEN coalesce(qn.n, 0) = 0 OR coalesce(cn.n, 0) = 0 THEN 0.0 ELSE coalesce(d.dot, 0)::DOUBLE / (sqrt(cn.n) * sqrt(qn.n)) END AS cos
-  FROM questions q CROSS JOIN ids i LEFT JOIN dots d USING (query_id, document_id, chunk_index)
+  FROM (SELECT query_id FROM questions) q CROSS JOIN ids i LEFT JOIN dots d USING (query_id, document_id, chunk_index)
   LEFT JOIN qn USING (query_id) LEFT JOIN cn ON cn.document_id = i.document_id AND cn.chunk_index = i.chunk_index)"""
 
 
@@ -380,19 +380,22 @@ ORACLES["render_context"] = with_(*corpus(), context(), RENDERED) + "SELECT quer
 
 def history(messages: int, tokens: int) -> str:
     """The last turns before each user turn, then the newest-first budget by recursion."""
-    return f"""prior AS MATERIALIZED (SELECT u.conversation_id, u.position AS at, m.position, m.role, m.content, {word_est('m.content')} AS cost,
+    return f"""prior AS MATERIALIZED (SELECT u.conversation_id, u.position AS asked, m.position, m.role, m.content, {word_est('m.content')} AS cost,
   row_number() OVER (PARTITION BY u.conversation_id, u.position ORDER BY m.position DESC) AS back FROM messages u JOIN messages m ON m.conversation_id = u.conversation_id AND m.position < u.position WHERE u.role = 'user'),
-talk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conversation_id, at ORDER BY position DESC) AS r FROM prior WHERE back <= {messages} AND role <> 'system'),
-hw AS (SELECT conversation_id, at, r, cost AS used, true AS kept FROM talk WHERE r = 1
-  UNION ALL SELECT t.conversation_id, t.at, t.r, CASE WHEN h.used + t.cost <= {tokens} THEN h.used + t.cost ELSE h.used END, h.used + t.cost <= {tokens}
-  FROM hw h JOIN talk t ON t.conversation_id = h.conversation_id AND t.at = h.at AND t.r = h.r + 1),
-hist AS (SELECT t.* FROM talk t JOIN hw USING (conversation_id, at, r) WHERE hw.kept)"""
+talk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conversation_id, asked ORDER BY position DESC) AS r FROM prior WHERE back <= {messages} AND role <> 'system'),
+hw AS (SELECT conversation_id, asked, r, cost AS used, true AS kept FROM talk WHERE r = 1
+  UNION ALL SELECT t.conversation_id, t.asked, t.r, CASE WHEN h.used + t.cost <= {tokens} THEN h.used + t.cost ELSE h.used END, h.used + t.cost <= {tokens}
+  FROM hw h JOIN talk t ON t.conversation_id = h.conversation_id AND t.asked = h.asked AND t.r = h.r + 1),
+hist AS (SELECT t.* FROM talk t JOIN hw USING (conversation_id, asked, r) WHERE hw.kept)"""
 
 
 ORACLES["render_history"] = with_(WSC_CTE, MESSAGES, history(4, 200)) + f"""SELECT u.conversation_id, u.position, coalesce(string_agg(concat(CASE h.role WHEN 'user' THEN 'User' ELSE 'Assistant' END, ': ', h.content), {NL} ORDER BY h.position) FILTER (WHERE h.position IS NOT NULL), '') AS rendered
- FROM messages u LEFT JOIN hist h ON h.conversation_id = u.conversation_id AND h.at = u.position WHERE u.role = 'user' GROUP BY u.conversation_id, u.position"""
+ FROM messages u LEFT JOIN hist h ON h.conversation_id = u.conversation_id AND h.asked = u.position WHERE u.role = 'user' GROUP BY u.conversation_id, u.position"""
 ORACLES["prompt_table"] = with_(*corpus(), context(), RENDERED) + f"""SELECT query_id, 0 AS pos, 'system' AS role, '{PROMPT}' AS content FROM questions
  UNION ALL SELECT query_id, 1, 'user', concat('Context:', {NL}, coalesce(rendered, ''), {NL}, {NL}, 'Question: ', question, {NL}, {NL}, 'Answer:') FROM questions LEFT JOIN rendered USING (query_id)"""
+ORACLES["generate_answers"] = with_(WSC_CTE, *[p for p in corpus() if p != WSC_CTE], context(), RENDERED, f"""said AS (SELECT query_id, concat('Context:', {NL}, coalesce(rendered, ''), {NL}, {NL}, 'Question: ', question, {NL}, {NL}, 'Answer:') AS reply FROM questions LEFT JOIN rendered USING (query_id)),
+marks AS (SELECT query_id, n, min(o) AS o FROM (SELECT query_id, unnest(regexp_extract_all(reply, '\\[(\\d+)\\]', 1))::BIGINT AS n, generate_subscripts(regexp_extract_all(reply, '\\[(\\d+)\\]', 1), 1) AS o FROM said) WHERE n >= 1 GROUP BY ALL),
+line AS (SELECT query_id, string_agg(concat('[', n, ']'), '' ORDER BY o) AS m FROM marks GROUP BY query_id)""") + f"""SELECT query_id, concat(reply, ' ', m) AS answer, false AS refused, len({words("'" + PROMPT + "'")}) + len({words('reply')}) AS prompt_words, len({words('reply')}) AS completion_words FROM said JOIN line USING (query_id)"""
 ORACLES["post_check"] = """WITH c AS (SELECT conv_id, turn, conv_id % 4 AS k, text FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, k < 2 AS refused, CASE WHEN k < 2 THEN 'I don''t know.' WHEN k = 2 THEN concat(text, ' [2] [2]') ELSE concat(text, ' [1]') END AS answer FROM c"""
 ORACLES["answer_usage"] = with_(*ANSWERED, RENDERED) + f"""SELECT query_id, CASE WHEN refused THEN 0 ELSE {est("concat(rendered, question, '" + PROMPT + "')")} END AS prompt_tokens,
@@ -406,7 +409,7 @@ ORACLES["expand_followups"] = with_(WSC_CTE, MESSAGES, f"""seen AS (SELECT *, la
  clipped AS (SELECT *, regexp_replace({trim('a')}, '{WS}*\\[\\d+\\]{WS}*$', '') AS c FROM seen WHERE role = 'user'),
  cut AS (SELECT *, nullif(CASE WHEN length(c) <= 400 THEN c ELSE rtrim(substr(c, 1, 400), ' ,;') END, '') AS tail FROM clipped)""") + f"""SELECT conversation_id, position, CASE WHEN {REF} AND (u IS NOT NULL OR tail IS NOT NULL) THEN concat_ws(' — ', nullif(u, ''), tail, content) ELSE content END AS expanded FROM cut"""
 ORACLES["history_window"] = with_(WSC_CTE, MESSAGES, history(5, 150)) + """SELECT u.conversation_id, u.position, coalesce(string_agg(concat(h.position, ':', h.role), ',' ORDER BY h.position) FILTER (WHERE h.position IS NOT NULL), '') AS kept
- FROM messages u LEFT JOIN hist h ON h.conversation_id = u.conversation_id AND h.at = u.position WHERE u.role = 'user' GROUP BY u.conversation_id, u.position"""
+ FROM messages u LEFT JOIN hist h ON h.conversation_id = u.conversation_id AND h.asked = u.position WHERE u.role = 'user' GROUP BY u.conversation_id, u.position"""
 ORACLES["turn_pairs"] = with_(MESSAGES) + """SELECT u.conversation_id, u.position AS user_position, a.position AS assistant_position, m.p + 1 AS next_position FROM messages u
  LEFT JOIN messages a ON a.conversation_id = u.conversation_id AND a.position = u.position + 1 AND a.role = 'assistant'
  JOIN (SELECT conversation_id, max(position) AS p FROM messages GROUP BY 1) m ON m.conversation_id = u.conversation_id WHERE u.role = 'user'"""
@@ -557,4 +560,4 @@ ORACLES["stream_ledger"] = with_(DOCS, JOBS, LEDGER) + "SELECT document_id, kind
 ORACLES["stream_memory"] = with_(
     WSC_CTE, MESSAGES, history(20, 800), f"expanded AS ({ORACLES['expand_followups'].replace('WITH RECURSIVE ', 'WITH ', 1)})"
 ) + """SELECT e.conversation_id, e.position, any_value(e.expanded) AS expanded, coalesce(string_agg(h.position::VARCHAR, ',' ORDER BY h.position) FILTER (WHERE h.position IS NOT NULL), '') AS kept
- FROM expanded e LEFT JOIN hist h ON h.conversation_id = e.conversation_id AND h.at = e.position GROUP BY e.conversation_id, e.position"""
+ FROM expanded e LEFT JOIN hist h ON h.conversation_id = e.conversation_id AND h.asked = e.position GROUP BY e.conversation_id, e.position"""

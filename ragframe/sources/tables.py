@@ -83,32 +83,28 @@ def questions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _anchors(tokens: Column, n: int = 3) -> Column:
-    """Runs of ``n`` neighbouring words, joined by blanks."""
-    starts = F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-    runs = F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>"))
+def _runs(tokens: Column) -> Column:
+    """Hashes of all runs of three neighbouring words."""
+    at = F.sequence(F.lit(0), F.size(tokens) - 3)
+    run = lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2))
+    return F.when(F.size(tokens) >= 3, F.transform(at, run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def passages_in_documents(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(passage_id, document_id) for every document whose text holds the whole passage verbatim.
 
     A contained passage brings its inner words along as whole words, so words two to four of the
-    passage must occur as a run in the document: an equality join on such runs finds every
+    passage must occur as a run in the document: an equality join on hashes of such runs finds every
     candidate without comparing all passages with all texts, and ``contains`` settles each one.
     Passages under five words carry no such run and are refused loudly.
     """
-    pw = tx.words(F.col("passage"))
-    keys = passages.select(
-        "passage_id",
-        F.when(
-            F.size(pw) < 5, F.raise_error(F.lit("passages need at least five words"))
-        ).otherwise(F.array_join(F.slice(pw, 2, 3), " ")).alias("run"),
-    )
-    runs = (
-        documents.withColumn("w", tx.words(F.col("text")))
-        .select("document_id", F.explode(_anchors(F.col("w"))).alias("run"))
-    )
+    passages = passages.withColumn("_w", tx.words(F.col("passage")))
+    short = F.raise_error(F.lit("passages need at least five words"))
+    first = F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)), F.get("_w", F.lit(3)))
+    keys = passages.select("passage_id", F.when(F.size("_w") < 5, short).otherwise(first).alias("run"))
+    passages = passages.drop("_w")
+    spoken = documents.select("document_id", tx.words(F.col("text")).alias("_w"))
+    runs = spoken.select("document_id", F.explode(_runs(F.col("_w"))).alias("run"))
     candidates = runs.join(keys, "run").select("passage_id", "document_id").distinct()
     return (
         candidates.join(passages, "passage_id")
