@@ -48,6 +48,15 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def seal(value: Column) -> Column:
+    """Compute a column once and keep it so, as a generator of exactly one row.
+
+    Catalyst copies a projected expression into the filters and lambdas that use it, where an array
+    would be computed again for every element. Nothing is copied or pushed through a generator.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def trim_ws(s: Column) -> Column:
     return F.btrim(s, F.lit(WS_CHARS))
 

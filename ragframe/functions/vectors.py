@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragframe.functions.text import let, seal
+
 # ---- fixed values -----------------------------------------------------------------------------
 DIMENSIONS = 384
 SCALE = 1_000_000
@@ -28,13 +30,12 @@ def add_hashed_counts(df: DataFrame, tokens: Column, name: str, dimensions: int
     A token's sha-256 picks its slot (first four bytes) and sign (parity of the fifth). Slot and
     sign become one sortable number 2*slot+odd, so a slot's positive run lies right before its
     negative run and run lengths are the counts: linear in tokens, inside the row, in the JVM.
-    Each step is a column of its own because lambdas would compute an inlined array once per element.
     """
     head = F.transform(tokens, lambda t: F.conv(F.substring(F.sha2(t, 256), 1, 10), 16, 10).cast("bigint"))
     code = F.transform(head, lambda v: (F.shiftright(v, 8) % dimensions * 2 + v % 2).cast("int"))
     keep = df.columns
-    codes = df.select(*keep, F.sort_array(code).alias("_code"))
-    runs = codes.select("*", run_starts(F.col("_code")).alias("_run"))
+    codes = df.select(*keep, seal(F.sort_array(code)).alias("_code"))
+    runs = codes.select("*", seal(run_starts(F.col("_code"))).alias("_run"))
 
     def entry(start: Column, j: Column) -> Column:
         value = F.get("_code", start)
@@ -48,7 +49,7 @@ def add_hashed_counts(df: DataFrame, tokens: Column, name: str, dimensions: int
         return F.struct(F.shiftright(value, 1).alias("slot"), total.alias("s"))
 
     counts = F.filter(F.transform("_run", entry), lambda x: x.s != 0)
-    return runs.select(*keep, counts.alias(name))
+    return runs.select(*keep, seal(counts).alias(name))
 
 
 def quantize_counts(counts: Column) -> Column:
@@ -65,8 +66,6 @@ def quantize_counts(counts: Column) -> Column:
             lambda x: x.q != 0,
         )
 
-    from ragframe.functions.text import let
-
     return let(F.sqrt(_fold(counts, lambda a, x: a + x.s * x.s).cast("double")), scaled)
 
 
@@ -114,6 +113,4 @@ def l2_normalize(dense: Column) -> Column:
     """Unit length; the zero vector stays as it is."""
     norm = F.sqrt(F.aggregate(dense, F.lit(0.0), lambda a, x: a + x * x))
 
-    from ragframe.functions.text import let
-
     return let(norm, lambda n: F.when(n == 0, dense).otherwise(F.transform(dense, lambda x: x / n)))

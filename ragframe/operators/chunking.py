@@ -164,13 +164,14 @@ def validate(strategy: str, tokens: int | None, chars: int | None, overlap: int
 
 
 def _cut_paragraphs(rows: DataFrame, keep: list[str], budget: int) -> DataFrame:
-    rows = rows.select(*keep, "pages", _paragraph_units(F.col("pages"), budget).alias("_units"))
+    rows = rows.select(*keep, "pages", tx.seal(_paragraph_units(F.col("pages"), budget)).alias("_units"))
     lengths = F.transform("_units", lambda u: F.length(u.text))
     starts = greedy_spans(lengths, budget, 2, F.transform("_units", lambda u: u.solo))
-    rows = rows.select("*", starts.alias("_starts"))
+    rows = rows.select("*", tx.seal(starts).alias("_starts"))
+    rows = rows.select("*", tx.seal(_spans(F.col("_starts"), F.size("_units"))).alias("_spans"))
     cut = rows.select(
         *keep, "pages", "_units",
-        F.posexplode(_spans(F.col("_starts"), F.size("_units"))).alias("chunk_index", "_span"),
+        F.posexplode("_spans").alias("chunk_index", "_span"),
     )
     part = cut.select(
         *keep, "pages", "chunk_index",
@@ -186,23 +187,22 @@ def _cut_paragraphs(rows: DataFrame, keep: list[str], budget: int) -> DataFrame:
 
 def _cut_words(rows: DataFrame, keep: list[str], budget: int, overlap: int | None) -> DataFrame:
     texts = F.transform("pages", lambda p: _joined(p.content))
-    rows = rows.select(*keep, "pages", texts.alias("_texts"))
-    whole = F.array_join("_texts", " ")
-    rows = rows.select(*keep, "pages", _offsets(F.col("_texts")).alias("_page_at"), whole.alias("_whole"))
+    rows = rows.select(*keep, "pages", tx.seal(texts).alias("_texts"))
+    rows = rows.select(*keep, "pages", "_texts", tx.seal(_offsets(F.col("_texts"))).alias("_page_at"))
+    whole = F.array_join("_texts", " ").alias("_whole")
     if overlap is None:
-        rows = rows.select(*keep, "pages", "_page_at", packed(F.col("_whole"), budget).alias("_cuts"))
+        rows = rows.select(*keep, "pages", "_page_at", tx.seal(packed(whole, budget)).alias("_cuts"))
         rows = rows.select("*", _offsets(F.col("_cuts")).alias("_cut_at"))
-        cut = rows.select(
-            *keep, "pages", "_page_at",
-            F.posexplode(F.arrays_zip(F.col("_cuts").alias("text"), F.col("_cut_at").alias("at"))).alias(
-                "chunk_index", "_cut"
-            ),
-        )
+        zipped = F.arrays_zip(F.col("_cuts").alias("text"), F.col("_cut_at").alias("at"))
+        rows = rows.select(*keep, "pages", "_page_at", tx.seal(zipped).alias("_zipped"))
+        cut = rows.select(*keep, "pages", "_page_at", F.posexplode("_zipped").alias("chunk_index", "_cut"))
     else:
+        rows = rows.select(*keep, "pages", "_page_at", whole)
         lengths = F.transform(F.filter(F.split("_whole", " "), lambda w: w != ""), F.length)
         spans = _window_udf(budget, overlap)(lengths)
+        rows = rows.select(*keep, "pages", "_page_at", "_whole", tx.seal(spans).alias("_spans"))
         cut = rows.select(
-            *keep, "pages", "_page_at", "_whole", F.posexplode(spans).alias("chunk_index", "_span")
+            *keep, "pages", "_page_at", "_whole", F.posexplode("_spans").alias("chunk_index", "_span")
         ).select(
             *keep, "pages", "_page_at", "chunk_index",
             F.struct(

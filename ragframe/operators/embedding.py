@@ -25,7 +25,7 @@ def hash_embed(df: DataFrame, text: str = "content", dimensions: int = vx.DIMENS
     """Add ``model`` and sparse ``vector`` (slot, q). One projection: no shuffle, no Python."""
     counted = vx.add_hashed_counts(df, tx.tokenize(F.col(text)), "_counts", dimensions)
     return counted.select(
-        *df.columns, F.lit(HASH_MODEL).alias("model"), vx.quantize_counts(F.col("_counts")).alias("vector")
+        *df.columns, F.lit(HASH_MODEL).alias("model"), tx.seal(vx.quantize_counts(F.col("_counts"))).alias("vector")
     )
 
 
@@ -121,12 +121,13 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf) counted inside each row over its sorted tokens: one row per distinct token."""
-    ordered = df.select(key, F.sort_array(tx.tokenize(F.col(text))).alias("_t"))
-    runs = ordered.select("*", vx.run_starts(F.col("_t")).alias("_run"))
+    ordered = df.select(key, tx.seal(F.sort_array(tx.tokenize(F.col(text)))).alias("_t"))
+    runs = ordered.select("*", tx.seal(vx.run_starts(F.col("_t"))).alias("_run"))
     pair = lambda s, j: F.struct(
         F.get("_t", s).alias("token"), (F.coalesce(F.get("_run", j + 1), F.size("_t")) - s).alias("tf")
     )
-    return runs.select(key, F.explode(F.transform("_run", pair)).alias("x")).select(key, "x.token", "x.tf")
+    pairs = runs.select(key, tx.seal(F.transform("_run", pair)).alias("_pairs"))
+    return pairs.select(key, F.explode("_pairs").alias("x")).select(key, "x.token", "x.tf")
 
 
 def term_weights(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:

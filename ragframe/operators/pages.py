@@ -44,12 +44,12 @@ def document_bundles(
     counted = lines.select(
         "*",
         F.ceil(F.size("_lines") / page_lines).cast("int").alias("_n"),
-        F.transform(
+        tx.seal(F.transform(
             _heading_flags(F.transform("_lines", tx.trim_ws)),
             lambda h: F.struct(
                 (F.floor(h.pos / page_lines).cast("int") + 1).alias("page"), h.title.alias("title")
             ),
-        ).alias("_outline"),
+        )).alias("_outline"),
     )
     source = F.concat(
         F.lit("s3://"), "organization_id", F.lit("/"), F.col("document_id").cast("string")
@@ -61,15 +61,14 @@ def document_bundles(
         return F.struct(
             p.alias("page_number"),
             tx.normalize_text(raw).alias("content"),
-            # the size test names the outline a second time, which keeps it computed once a row
-            F.when(F.size("_outline") > 0, F.try_element_at(at_or_before, F.lit(-1)).title).alias("section"),
+            F.try_element_at(at_or_before, F.lit(-1)).title.alias("section"),
             source.alias("source"),
         )
 
     numbered = F.transform(F.sequence(F.lit(1), F.least("_n", F.lit(page_limit))), page)
     return counted.select(
         *keep,
-        F.filter(numbered, lambda p: p.content != "").alias("pages"),
+        tx.seal(F.filter(numbered, lambda p: p.content != "")).alias("pages"),
         (F.col("_n") > page_limit).alias("truncated"),
         F.col("_n").alias("raw_pages"),
     )
