@@ -18,7 +18,11 @@ ZIP_MAGIC = bytes([0x50, 0x4B, 0x03, 0x04])
 
 
 def scan_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """Stored objects under ``root/{organization}/{object}.{ext}`` with tenant and provenance."""
+    """Stored objects under ``root/{organization}/{object}.{ext}`` with tenant and provenance.
+
+    Spark plans no read for a file of zero bytes, so an empty object shows up in ``missing_objects``;
+    the EMPTY_FILE rule is for bytes that arrive as rows.
+    """
     raw = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
