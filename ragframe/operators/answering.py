@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.functions import text as tx
+from ragframe.operators.joins import reduce_to
+from ragframe.session import cut_lineage
 
 CONTEXT_TOKENS = 1200
 EXTRACT = "extract"
@@ -62,14 +64,18 @@ def budget(items: Column, max_tokens: int) -> Column:
 def gather_context(hits: DataFrame, chunks: DataFrame, max_tokens: int = CONTEXT_TOKENS) -> DataFrame:
     """(query_id, context): ranked hits joined to their chunk texts and cut to the token budget.
 
-    Hits are the small side (k rows a query); similarity is clamped to [0, 1] for display only.
+    Hits are the small side (k rows a query), so chunk texts are filtered before they are moved;
+    similarity is clamped to [0, 1] for display only.
     """
     wanted = chunks.select(
         "document_id", "chunk_index",
         F.col("title") if "title" in chunks.columns else F.lit(None).cast("string").alias("title"),
         "section", F.col("page_number").alias("page"), F.col("content").alias("text"),
     )
-    joined = hits.join(wanted, ["document_id", "chunk_index"])
+    # Hits are read twice, as keys that thin out the corpus and as rows, so they are kept.
+    hits = cut_lineage(hits)
+    key = ["document_id", "chunk_index"]
+    joined = hits.join(reduce_to(wanted, hits, key), key)
     item = F.struct(
         F.col("rank").cast("int").alias("pos"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("similarity"))).alias("similarity"),

@@ -23,8 +23,8 @@ def document_list(
 ) -> DataFrame:
     """One page of the library, newest first, with ``matching_total`` and ``has_more``.
 
-    Given filters are plain comparisons and reach the scan. The total is an aggregate of its own,
-    one row broadcast onto the page; a page past the end is empty.
+    Given filters are plain comparisons and reach the scan. The total is an aggregate of its own, a
+    scalar beside the page; a page past the end is empty.
     """
     wanted = {
         "organization_id": organization_id, "uploaded_by": uploaded_by, "source_type": source_type,
@@ -40,10 +40,8 @@ def document_list(
         "embedding_status", "created_at",
     )
     page = rows.orderBy(F.desc("created_at"), "document_id").offset(offset).limit(limit)
-    total = rows.agg(F.count("*").alias("matching_total"))
-    return page.join(F.broadcast(total), F.lit(True), "inner").withColumn(
-        "has_more", F.col("matching_total") > offset + limit
-    )
+    total = rows.agg(F.count("*")).scalar()
+    return page.withColumn("matching_total", total).withColumn("has_more", F.col("matching_total") > offset + limit)
 
 
 def stage(status: Column, embedding: Column) -> Column:

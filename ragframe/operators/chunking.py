@@ -26,9 +26,6 @@ MAX_TOKENS = 4096
 CHARS_PER_TOKEN = 4
 # -----------------------------------------------------------------------------------------------
 
-SPAN = "array<struct<s:int,n:int>>"
-
-
 def _spans(starts: Column, total: Column) -> Column:
     """Turn 0-based start positions into (start, count) spans over ``total`` units."""
     return F.transform(
@@ -96,15 +93,13 @@ def window_spans(lengths: np.ndarray, budget_chars: int, overlap_chars: int) ->
 
 
 def _window_udf(budget_chars: int, overlap_chars: int):
+    """Spans as one flat array [offset, length, offset, length, ...]."""
+
     def cut(lengths: pd.Series) -> pd.Series:
-        return pd.Series(
-            [
-                [{"s": s, "n": n} for s, n in window_spans(np.asarray(x, dtype=np.int64), budget_chars, overlap_chars)]
-                for x in lengths
-            ]
-        )
+        spans = (window_spans(np.asarray(x, dtype=np.int64), budget_chars, overlap_chars) for x in lengths)
+        return pd.Series([np.array(s, dtype=np.int32).ravel() for s in spans], dtype=object)
 
-    return F.pandas_udf(cut, SPAN)
+    return F.pandas_udf(cut, "array<int>")
 
 
 def packed(text: Column, budget_chars: int) -> Column:
@@ -199,7 +194,11 @@ def _cut_words(rows: DataFrame, keep: list[str], budget: int, overlap: int | Non
     else:
         rows = rows.select(*keep, "pages", "_page_at", whole)
         lengths = F.transform(F.filter(F.split("_whole", " "), lambda w: w != ""), F.length)
-        spans = _window_udf(budget, overlap)(lengths)
+        rows = rows.select(*keep, "pages", "_page_at", "_whole", _window_udf(budget, overlap)(lengths).alias("_flat"))
+        at = F.when(F.size("_flat") > 0, F.sequence(F.lit(0), F.size("_flat") - 2, F.lit(2)))
+        spans = F.transform(
+            at, lambda i: F.struct(F.get("_flat", i).alias("s"), F.get("_flat", i + 1).alias("n"))
+        )
         rows = rows.select(*keep, "pages", "_page_at", "_whole", tx.seal(spans).alias("_spans"))
         cut = rows.select(
             *keep, "pages", "_page_at", "_whole", F.posexplode("_spans").alias("chunk_index", "_span")
@@ -278,7 +277,7 @@ def chunking_report(bundles: DataFrame, configs: dict[str, dict]) -> DataFrame:
             F.max("token_count").alias("max_tokens"),
         ).select(F.lit(label).alias("config"), "*")
         reports = one if reports is None else reports.unionByName(one)
-    return reports.join(base, F.lit(True), "inner").select(
+    return reports.withColumn("page_tokens", base.scalar()).select(
         "config", "chunks", "tokens", "max_tokens", "mean_span",
         F.greatest(F.lit(0).cast("bigint"), F.col("tokens") - F.col("page_tokens")).alias("redundant_tokens"),
     )

@@ -109,11 +109,11 @@ def repeated_vectors(df: DataFrame, vector: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(token, df, n, idf_q): idf = ln(N / (1 + df)), kept as whole ten-thousandths."""
-    tokens = df.select(F.explode(F.array_distinct(tx.tokenize(F.col(text)))).alias("token"))
+    distinct = df.select(tx.seal(F.array_distinct(tx.tokenize(F.col(text)))).alias("_t"))
+    tokens = distinct.select(F.explode("_t").alias("token"))
     n = df.agg(F.count("*").alias("n"))
     counted = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    # one row on the right: its size is proven by the aggregate
-    return counted.join(F.broadcast(n), F.lit(True), "inner").select(
+    return counted.withColumn("n", n.scalar()).select(
         "token", "df", "n", F.log(F.col("n") / (F.col("df") + 1)).alias("idf"),
         F.round(F.log(F.col("n") / (F.col("df") + 1)) * IDF_SCALE).cast("bigint").alias("idf_q"),
     )

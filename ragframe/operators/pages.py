@@ -119,7 +119,8 @@ def text_outline(documents: DataFrame, page_lines: int = PAGE_LINES) -> DataFram
     """Heading-looking lines as outline rows (document_id, page_number, ord, title)."""
     found = documents.select(
         "document_id", F.transform(F.split("text", "\n"), tx.trim_ws).alias("_lines")
-    ).select("document_id", F.explode(_heading_flags(F.col("_lines"))).alias("h"))
+    ).select("document_id", tx.seal(_heading_flags(F.col("_lines"))).alias("_h"))
+    found = found.select("document_id", F.explode("_h").alias("h"))
     return found.select(
         "document_id",
         (F.floor(F.col("h.pos") / page_lines) + 1).cast("int").alias("page_number"),

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragframe.functions import text as tx
+from ragframe.operators.joins import bounded
+from ragframe.session import cut_lineage
 
 # ---- fixed values -----------------------------------------------------------------------------
 HTTP_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]
@@ -92,22 +94,21 @@ def token_usage(calls: DataFrame) -> DataFrame:
     )
 
 
-def latency_summary(df: DataFrame, value: str, label: str, cells: int = 1024) -> DataFrame:
+def latency_summary(df: DataFrame, value: str, label: str, cells: int = 64) -> DataFrame:
     """n, mean, index percentiles sorted[min(n-1, int(p*n))] and max per label, exactly.
 
-    No label is ever sorted as a whole: equal values are counted first, a ladder of ``cells`` value
-    ranges tells in which range each rank falls, and only those ranges are ranked.
+    No label is ever sorted as a whole: equal values are counted first, sketched quantiles cut each
+    label into ``cells`` ranges of about equal weight, exact counts per range tell where each rank
+    falls, and only those ranges are ranked. The sketch decides sizes, never results.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(label, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    stats = df.groupBy(label).agg(
+    cuts = F.array(*[F.lit(i / cells) for i in range(1, cells)]) if cells > 1 else F.array(F.lit(0.5))
+    stats = cut_lineage(df.groupBy(label).agg(
         F.count(value).alias("n"), F.sum(F.round(F.col(value) * 1000000).cast("bigint")).alias("micro"),
-        F.min(value).alias("lo"), F.max(value).alias("hi"),
-    )
-    width = (F.col("hi") - F.col("lo")) / cells
-    cell = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.lit(cells - 1), F.floor((F.col("v") - F.col("lo")) / width).cast("int"))
-    )
-    placed = counts.join(stats.select(label, "lo", "hi"), label).select(label, "v", "c", cell.alias("cell"))
+        F.max(value).alias("hi"), F.array_distinct(F.percentile_approx(value, cuts, 10 * cells)).alias("cuts"),
+    ))
+    cell = F.size(F.filter("cuts", lambda b: b < F.col("v")))
+    placed = counts.join(bounded(stats.select(label, "cuts"), 1000), label).select(label, "v", "c", cell.alias("cell"))
     ladder = placed.groupBy(label, "cell").agg(F.sum("c").alias("c"))
     w = Window.partitionBy(label).orderBy("cell")  # at most ``cells`` rows a label
     ladder = ladder.select(label, "cell", F.sum("c").over(w).alias("upto"), (F.sum("c").over(w) - F.col("c")).alias("below"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from ragframe.functions import text as tx
 from ragframe.functions import vectors as vx
 from ragframe.operators import (
-    ann, answering, catalog, chunking, conversations, embedding, evaluation, ledger, pages, retrieval, telemetry, tiles,
+    ann, answering, catalog, chunking, conversations, embedding, evaluation, ledger, pages, retrieval, telemetry,
 )
 from ragframe.plans import pipelines
-from ragframe.session import cut_lineage, pin_session
+from ragframe.session import checkpoint_dir, cut_lineage, pin_session
 from ragframe.sources import files, sinks, tables
 from ragframe.streaming import jobs as streams
 
@@ -925,10 +925,7 @@ def rate_limit_breaches(spark, root):
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A folder of its own for one streaming run, next to the cluster's checkpoints."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _as_stream(spark, df: DataFrame, path: str) -> DataFrame:

@@ -24,6 +24,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         .appName("ragframe")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("RAGFRAME_DRIVER_MEMORY", "12g"))
     )
     for key, value in {**SETTINGS, **extra}.items():
@@ -41,17 +42,26 @@ def pin_session(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine gets a temporary folder; a cluster is asked for it,
+    since a machine-local folder would be lost with its executor.
+    """
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    fallback = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in reliable storage, so that lost executors never replay its lineage."""
-    spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = checkpoint_dir(df.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

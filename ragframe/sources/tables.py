@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ragframe import schemas
 from ragframe.functions import text as tx
+from ragframe.operators.joins import reduce_to
+from ragframe.session import cut_lineage
 
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -103,12 +105,13 @@ def passages_in_documents(passages: DataFrame, documents: DataFrame) -> DataFram
     first = F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)), F.get("_w", F.lit(3)))
     keys = passages.select("passage_id", F.when(F.size("_w") < 5, short).otherwise(first).alias("run"))
     passages = passages.drop("_w")
-    spoken = documents.select("document_id", tx.words(F.col("text")).alias("_w"))
-    runs = spoken.select("document_id", F.explode(_runs(F.col("_w"))).alias("run"))
-    candidates = runs.join(keys, "run").select("passage_id", "document_id").distinct()
+    spoken = documents.select("document_id", tx.seal(tx.words(F.col("text"))).alias("_w"))
+    hashed = spoken.select("document_id", tx.seal(_runs(F.col("_w"))).alias("_r"))
+    runs = hashed.select("document_id", F.explode("_r").alias("run"))
+    candidates = cut_lineage(runs.join(keys, "run").select("passage_id", "document_id").distinct())
     return (
         candidates.join(passages, "passage_id")
-        .join(documents.select("document_id", "text"), "document_id")
+        .join(reduce_to(documents.select("document_id", "text"), candidates, ["document_id"]), "document_id")
         .filter(F.col("text").contains(F.col("passage")))
         .select("passage_id", "document_id", "passage")
     )
