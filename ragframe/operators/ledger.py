@@ -125,7 +125,7 @@ def state_column(status: Column, embedding: Column, process: Column, embed: Colu
     )
 
 
-def pipeline_state(documents: DataFrame, jobs: DataFrame) -> DataFrame:
+def ingestion_state(documents: DataFrame, jobs: DataFrame) -> DataFrame:
     by_kind = jobs.groupBy("document_id").agg(
         F.max(F.when(F.col("kind") == "process", F.col("status"))).alias("process_job"),
         F.max(F.when(F.col("kind") == "embed", F.col("status"))).alias("embed_job"),

@@ -425,7 +425,7 @@ ORACLES["document_status"] = with_(*fixed(), "pc AS (SELECT document_id, count(*
  CASE WHEN status = 'ready' AND embedding_status = 'ready' THEN coalesce(cc.n, 0) ELSE 0 END AS embeddings,
  CASE WHEN status = 'failed' OR embedding_status = 'failed' THEN 'failed' WHEN embedding_status = 'ready' THEN 'ready' WHEN embedding_status = 'processing' THEN 'embedding' WHEN status = 'processing' THEN 'processing' ELSE 'uploaded' END AS stage
  FROM docs LEFT JOIN pc USING (document_id) LEFT JOIN cc USING (document_id)"""
-ORACLES["pipeline_state"] = with_(DOCS, JOBS) + """SELECT d.document_id, p.status AS process_job, e.status AS embed_job, CASE WHEN d.status = 'failed' OR d.embedding_status = 'failed' OR p.status = 'failed' OR e.status = 'failed' THEN 'FAILED'
+ORACLES["ingestion_state"] = with_(DOCS, JOBS) + """SELECT d.document_id, p.status AS process_job, e.status AS embed_job, CASE WHEN d.status = 'failed' OR d.embedding_status = 'failed' OR p.status = 'failed' OR e.status = 'failed' THEN 'FAILED'
  WHEN d.status = 'ready' AND d.embedding_status = 'ready' THEN 'READY' WHEN d.embedding_status = 'processing' OR e.status IN ('processing', 'queued') THEN 'EMBEDDING'
  WHEN d.status = 'processing' OR p.status = 'processing' THEN 'PROCESSING' WHEN p.status = 'queued' THEN 'UPLOADED' WHEN d.status = 'ready' THEN 'READY' ELSE 'UPLOADED' END AS state
  FROM docs d LEFT JOIN jobs p ON p.document_id = d.document_id AND p.kind = 'process' LEFT JOIN jobs e ON e.document_id = d.document_id AND e.kind = 'embed'"""

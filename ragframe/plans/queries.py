@@ -20,7 +20,7 @@ from ragframe.functions import vectors as vx
 from ragframe.operators import (
     ann, answering, catalog, chunking, conversations, embedding, evaluation, ledger, pages, retrieval, telemetry,
 )
-from ragframe.plans import pipelines
+from ragframe.plans import flows
 from ragframe.session import checkpoint_dir, cut_lineage, pin_session
 from ragframe.sources import files, sinks, tables
 from ragframe.streaming import jobs as streams
@@ -635,8 +635,8 @@ def document_status(spark, root):
 
 
 @query
-def pipeline_state(spark, root):
-    return ledger.pipeline_state(tables.corpus_documents(spark, root), tables.jobs(spark, root))
+def ingestion_state(spark, root):
+    return ledger.ingestion_state(tables.corpus_documents(spark, root), tables.jobs(spark, root))
 
 
 @query
@@ -981,6 +981,6 @@ def stream_memory(spark, root):
 @query
 def ask_corpus(spark, root):
     """Documents to pages, chunks, vectors, exact top-k, budgeted context and cited answers."""
-    chunks = pipelines.embedded_chunks(_docs(spark, root), "fixed")
-    answers = pipelines.ask(_questions(spark, root), chunks, scope_columns=("model",))
+    chunks = flows.embedded_chunks(_docs(spark, root), "fixed")
+    answers = flows.ask(_questions(spark, root), chunks, scope_columns=("model",))
     return answers.select("query_id", "document_id", "chunk_index", "similarity", "answer", "refused")

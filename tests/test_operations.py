@@ -64,7 +64,7 @@ STATES = [
 ]
 
 
-def test_pipeline_states(spark):
+def test_ingestion_states(spark):
     df = spark.createDataFrame(STATES, "s string, e string, p string, b string, want string")
     rows = df.select("*", ledger.state_column(F.col("s"), F.col("e"), F.col("p"), F.col("b")).alias("got")).collect()
     assert all(r.got == r.want for r in rows)

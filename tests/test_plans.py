@@ -20,7 +20,7 @@ LAZY = [
     "scan_documents", "admit_files", "upsert_embeddings", "ensure_jobs", "publishable_documents", "cascade_delete",
     "assemble_pages", "section_fill", "chunk_fixed", "chunk_overlap", "chunk_paragraph", "hash_embed_sparse", "tfidf",
     "retrievable_chunks", "scoped_search", "topk_cosine", "topk_sparse", "tfidf_topk", "expand_followups", "history_window", "turn_pairs",
-    "document_list", "conversation_list", "pipeline_state", "member_report", "request_counts", "sliding_rate",
+    "document_list", "conversation_list", "ingestion_state", "member_report", "request_counts", "sliding_rate",
     "latency_histogram", "histogram_quantile", "ledger_replay", "rate_limit_breaches",
 ]
 
