@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra:
         builder = builder.config(key, value)
     session = builder.getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
+    ship_library(session)
     return session
 
 
@@ -38,9 +41,24 @@ def pin_session(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to a session somebody else built."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship_library(spark)
     return spark
 
 
+def ship_library(spark: SparkSession) -> None:
+    """Hand the package's sources to the executors, once per application, so that Python tasks can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_ragframe_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="ragframe-")) / "ragframe-src.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._ragframe_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
