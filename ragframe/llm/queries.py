@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import simhash, substrings
+from ragframe.llm import decontaminate, quality, simhash, substrings, topk
 from ragframe.llm.common import BATCH_ROWS, table
 from ragframe.session import pin_session
 
@@ -26,13 +26,83 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op4_decontaminate(spark, root):
+    hits = decontaminate.scan(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return hits.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
+_WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+ORACLES["op4_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i + 1 : i + least(13, len(w))], ' ') AS win
+  FROM (SELECT item, w, unnest(range(0, len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+dw AS (
+  SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS i
+        FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)
+),
+hits AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, win)),
+cover AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id
+),
+met AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+
 @query
 def op5_substring_dedup(spark, root):
     out = substrings.passages(table(spark, root, "documents"))
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+@query
+def op6_threshold_topk(spark, root):
+    vectors = topk.whole_vectors(table(spark, root, "embeddings"))
+    found = topk.search(vectors.filter(F.col("id") % topk.EVERY == 0), vectors)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+ORACLES["op6_threshold_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([q.e[i] * c.e[i] FOR i IN range(1, len(q.e) + 1)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0
+),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op8_simhash(spark, root):
     out = simhash.near_duplicates(table(spark, root, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_quality_classifier(spark, root):
+    docs = table(spark, root, "documents")
+    model = quality.train(docs, table(spark, root, "labels"))
+    held = quality.held_out(F.col("doc_id")).alias("held_out")
+    return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
