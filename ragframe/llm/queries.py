@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import decontaminate, quality, simhash, substrings, topk
-from ragframe.llm.common import BATCH_ROWS, table
+from ragframe.llm import decontaminate, quality, simhash, substrings, tokenstore, topk
+from ragframe.llm.common import BATCH_ROWS, shared_path, table
 from ragframe.session import pin_session
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +27,15 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_token_blocks(spark, root):
+    path = shared_path(spark, "tokens")
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    tokenstore.write_tokens(table(spark, root, "documents"), path, tokenizer)
+    stored = tokenstore.read_tokens(spark, path)
+    return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_decontaminate(spark, root):
     hits = decontaminate.scan(table(spark, root, "documents"), table(spark, root, "benchmark"))
