@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import decontaminate, quality, simhash, substrings, tokenstore, topk
+from ragframe.llm import decontaminate, pieces, quality, simhash, substrings, tokenstore, topk, urls
 from ragframe.llm.common import BATCH_ROWS, shared_path, table
 from ragframe.session import pin_session
 
@@ -36,6 +36,69 @@ def op1_token_blocks(spark, root):
     return stored.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query
+def op2_sentencepiece(spark, root):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, root, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    encoded = pieces.encode(docs, model).select("doc_id", "sha", "ids")
+    back = pieces.decode(encoded, model)
+    return back.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
+        (F.sha2("decoded", 256) == F.col("sha")).alias("round_trip"),
+    )
+
+
+@query
+def op3_url_filters(spark, root):
+    return urls.judge(table(spark, root, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+_HOST_SQL = "translate(regexp_extract(coalesce({u}, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH_SQL = "regexp_extract(coalesce({u}, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's')"
+_NODE_SQL = (
+    "CASE WHEN instr({u}, '://') > 0 THEN lower(regexp_extract({u}, '^(.*?)://', 1, 's')) || '://' || "
+    + _HOST_SQL + " || regexp_extract({u}, '^.*?://[^/?#]*([^#]*)', 1, 's') END"
+)
+_RULE_SQL = (
+    "(SELECT max_by(r, len(r.host || r.path)) FROM rules r WHERE ({h} = r.host OR ends_with({h}, '.' || r.host)) "
+    "AND starts_with({p}, r.path))"
+)
+ORACLES["op3_url_filters"] = f"""
+WITH RECURSIVE rules(verdict, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+         ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+),
+tags AS (
+  SELECT url, unnest(
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '<link\\b[^>]*>', 0, 'is'),
+                               lambda t: regexp_matches(t, '\\brel\\s*=\\s*["'']?canonical\\b', 'is')),
+                   lambda t: regexp_extract(t, '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'))
+    || list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '<meta\\b[^>]*>', 0, 'is'),
+                                  lambda t: regexp_matches(t, '\\bhttp-equiv\\s*=\\s*["'']?refresh\\b', 'is')),
+                      lambda t: regexp_extract(t, '\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'is'))) AS href
+  FROM pages
+),
+links AS (
+  SELECT {_NODE_SQL.format(u="url")} AS s, {_NODE_SQL.format(u="target")} AS t FROM (
+    SELECT url, replace(href, '&amp;', '&') AS target FROM tags WHERE href LIKE '%://%')
+),
+step AS (SELECT s AS a, t AS b FROM links UNION SELECT t, s FROM links),
+reach(a, b) AS (SELECT a, b FROM step UNION SELECT r.a, s.b FROM reach r JOIN step s ON r.b = s.a),
+blocked AS (
+  SELECT DISTINCT a FROM (SELECT a, {_RULE_SQL.format(h=_HOST_SQL.format(u="b"), p=_PATH_SQL.format(u="b"))} AS r FROM reach)
+  WHERE r.verdict = 'block'
+),
+p AS (
+  SELECT page_id, {_HOST_SQL.format(u="url")} AS host, {_PATH_SQL.format(u="url")} AS path, {_NODE_SQL.format(u="url")} AS node
+  FROM pages
+),
+j AS (SELECT *, {_RULE_SQL.format(h="p.host", p="p.path")} AS r FROM p)
+SELECT page_id, j.host, j.path, r.host || r.path AS rule,
+       coalesce(r.verdict, CASE WHEN node IN (SELECT a FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j
+"""
+
+
 @query
 def op4_decontaminate(spark, root):
     hits = decontaminate.scan(table(spark, root, "documents"), table(spark, root, "benchmark"))
