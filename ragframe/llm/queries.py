@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import decontaminate, pieces, quality, simhash, substrings, tokenstore, topk, urls
+from ragframe.llm import decontaminate, lines, pieces, quality, simhash, substrings, tokenstore, topk, urls
 from ragframe.llm.common import BATCH_ROWS, shared_path, table
 from ragframe.session import pin_session
 
@@ -167,6 +167,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+@query
+def op7_line_dedup(spark, root):
+    found = lines.removed_lines(table(spark, root, "documents"))
+    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 @query
 def op8_simhash(spark, root):
     out = simhash.near_duplicates(table(spark, root, "documents"))
