@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import decontaminate, lines, pieces, quality, simhash, substrings, tokenstore, topk, urls
+from ragframe.llm import decontaminate, lines, pieces, quality, simhash, substrings, suffixes, tokenstore, topk, urls
 from ragframe.llm.common import BATCH_ROWS, shared_path, table
 from ragframe.session import pin_session
 
@@ -179,6 +179,12 @@ def op8_simhash(spark, root):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@query
+def op9_suffix_dedup(spark, root):
+    found = suffixes.repeated_bytes(table(spark, root, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @query
 def op10_quality_classifier(spark, root):
     docs = table(spark, root, "documents")
