@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ragframe.session import checkpoint_dir
 
@@ -38,7 +38,7 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, UPPER.lower())
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """Apply ``rows`` to every Arrow batch of ``df``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,13 +50,12 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``(row, doc)``: the rows of ``docs`` as structs, so that no name of theirs can clash, and their numbers."""
+    fields = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*fields).alias("doc"))
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as no bytes."""
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
-
-
-def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row number and position in its row of each item of rows with these lengths."""
-    rows = np.repeat(np.arange(len(lengths)), lengths)
-    ends = np.cumsum(lengths)
-    return rows, np.arange(len(rows)) - np.repeat(ends - lengths, lengths)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import ascii_lower, written
+from ragframe.llm.common import ascii_lower, numbered, written
 
 WINDOW = 13
 # A document is contaminated when at least 1 / SHARE of its words are hit.
@@ -117,15 +117,15 @@ def scan(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", window: i
 def drop_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` without its contaminated rows, columns unchanged."""
     bad = scan(docs, items, id_column).filter("contaminated").select("row")
-    return docs.withColumn("row", F.monotonically_increasing_id()).join(bad, "row", "left_anti").select(docs.columns)
+    return numbered(docs).join(bad, "row", "left_anti").select("doc.*")
 
 
 def drop_spans(docs: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with hit words, and what stands before each of them, cut from ``text``; other rows are unchanged."""
-    hits = scan(docs, items, id_column).filter("n_hit > 0").select("row", "hits")
-    keyed = docs.withColumn("row", F.monotonically_increasing_id())
-    pieces = keyed.join(hits, "row").select(
-        "row", F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("at", "piece")
+    hits = written(scan(docs, items, id_column).filter("n_hit > 0").select("row", "hits"), "spans")
+    rows = numbered(docs)
+    pieces = rows.join(hits, "row").select(
+        "row", F.posexplode(F.regexp_extract_all("doc.text", F.lit(PIECE), F.lit(0))).alias("at", "piece")
     )
     gone = hits.select("row", F.explode("hits").alias("h")).select(
         "row", F.explode(F.sequence(F.col("h.start"), F.col("h.start") + F.col("h.length") - 1)).alias("at")
@@ -134,6 +134,6 @@ def drop_spans(docs: DataFrame, items: DataFrame, id_column: str = "doc_id") ->
     kept = pieces.join(gone, ["row", "at"], "left_anti").groupBy("row").agg(
         F.array_join(F.transform(left, lambda p: p["piece"]), "").alias("cut")
     )
-    cut = F.when(F.col("hit"), F.coalesce("cut", F.lit(""))).otherwise(F.col("text"))
-    joined = keyed.join(hits.select("row", F.lit(True).alias("hit")), "row", "left").join(kept, "row", "left")
-    return joined.withColumn("text", cut).select(docs.columns)
+    cut = F.when(F.col("hit"), F.coalesce("cut", F.lit(""))).otherwise(F.col("doc.text"))
+    joined = rows.join(hits.select("row", F.lit(True).alias("hit")), "row", "left").join(kept, "row", "left")
+    return joined.select(F.col("doc").withField("text", cut).alias("doc")).select("doc.*")

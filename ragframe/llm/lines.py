@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import arrow_map, texts_of, written
+from ragframe.llm.common import arrow_map, numbered, texts_of, written
 
 SIMILARITY = 0.8
 # Words are counted in this many hashed slots: any order makes the join exact, a rarer-first order makes it fast.
@@ -356,11 +356,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
 def drop_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id") -> DataFrame:
     """``docs`` without the removed lines, columns unchanged; documents that lose every line with a word go."""
     marks = removed_lines(docs, similarity, id_column).filter(F.size("removed") > 0).select("row", "removed")
-    joined = docs.withColumn("row", F.monotonically_increasing_id()).join(marks, "row", "left")
-    parts = F.split("text", "\n", -1)
+    parts = F.split("doc.text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
-    kept = F.transform(left, lambda i: F.get(parts, i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    cut = joined.withColumn("text", text)
-    worded = F.col("removed").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return cut.filter(worded).select(docs.columns)
+    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+    fresh = F.col("doc").withField("text", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept))
+    cut = numbered(docs).join(marks, "row", "left").select("removed", fresh.alias("doc"))
+    return cut.filter(F.col("removed").isNull() | F.col("doc.text").rlike(r"[^\x20\x09-\x0D]")).select("doc.*")

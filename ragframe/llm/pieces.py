@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ragframe.llm.common import arrow_map
 
@@ -217,8 +218,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
         return pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*names, "ids"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return arrow_map(base, rows, f"{fields}, ids array<int>")
+    more = StructField("ids", ArrayType(IntegerType()))
+    return arrow_map(base, rows, StructType([*base.schema.fields, more]))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -232,5 +233,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         texts = pa.array([model.decode(i or ()) for i in batch.column(at).to_pylist()], pa.string())
         return pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, "decoded"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return arrow_map(base, rows, f"{fields}, decoded string")
+    return arrow_map(base, rows, StructType([*base.schema.fields, StructField("decoded", StringType())]))

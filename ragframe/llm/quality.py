@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ragframe.llm.common import arrow_map, texts_of
 
@@ -270,5 +271,16 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame
         return pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*names, "score", "predicted"])
 
     base = docs.select(*(F.col(f"`{c}`") for c in names))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
-    return arrow_map(base, rows, f"{fields}, score double, predicted int")
+    more = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
+    return arrow_map(base, rows, StructType([*base.schema.fields, *more]))
+
+
+def keep_good(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, columns unchanged."""
+    at = docs.columns.index("text")
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, counts = encode_whole(texts_of(batch.column(at)))
+        return batch.filter(pa.array(np.round(model.forward(x.astype(np.float64), counts)[0], 9) >= THRESHOLD))
+
+    return arrow_map(docs, rows, docs.schema)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import arrow_map, texts_of, written
+from ragframe.llm.common import arrow_map, numbered, texts_of, written
 from ragframe.llm.components import connected_components
 
 DISTANCE = 4
@@ -219,3 +219,13 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHIN
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(id_column, "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with one row of each component, the one of the least id (null last), columns unchanged."""
+    rows = numbered(docs)
+    classes = near_duplicates(rows.select("row", "doc.text"), distance, words, "row")
+    ids = rows.select("row", F.col("doc")[id_column].alias("id"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    first = classes.join(ids, "row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(first, "row", "left_semi").select("doc.*")
