@@ -35,7 +35,7 @@ def _initial(status: Column) -> Column:
 def transition(acc: Column, e: Column) -> Column:
     """One ledger event applied to one job row; events the current status forbids change nothing."""
     status, action = acc.status, e.action
-    opens = (action == "enqueue") & (status == "absent")
+    opens = action.isin("enqueue", "open") & (status == "absent")
     claims = (action == "claim") & (status == "queued")
     succeeds = (action == "succeed") & (status == "processing")
     fails = (action == "fail") & (status != "absent")
@@ -54,7 +54,8 @@ def transition(acc: Column, e: Column) -> Column:
         succeeded=F.coalesce(acc.succeeded, F.when(succeeds, e["at"])),
     )
     same = {f: acc[f] for f in ("status", "claims", "touched", "error", "own_start", "started", "finished", "succeeded")}
-    kept = _state(**{f: (acc.ignored + 1) if f == "ignored" else same[f] for f in
+    refused = F.when(action == "open", acc.ignored).otherwise(acc.ignored + 1)
+    kept = _state(**{f: refused if f == "ignored" else same[f] for f in
                      ("status", "claims", "ignored", "touched", "error", "own_start", "started", "finished", "succeeded")})
     return F.when(opens | claims | ends | requeues, moved).otherwise(kept)
 
@@ -67,7 +68,7 @@ def _fold(events: DataFrame) -> DataFrame:
     block results are chained: a document that owns a third of all events still spreads.
     """
     blocks = events.groupBy("document_id", "kind", F.floor(F.col("seq") / BLOCK).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("seq", "at", "action", "error"))).alias("steps")
+        F.sort_array(F.collect_list(F.struct("seq", "late", "at", "action", "error"))).alias("steps")
     )
     entries = F.array(*map(F.lit, ENTRY_STATES))
     folded = blocks.select(
@@ -94,16 +95,20 @@ def _fold(events: DataFrame) -> DataFrame:
 def replay(events: DataFrame) -> DataFrame:
     """Fold ledger events into the current row of each (document, kind).
 
-    The first success of a process job opens the document's embed job, as an enqueue before any
-    other event of that job.
+    ``seq`` numbers the events of one job in order of time, densely and without repeats. The first success
+    of a process job opens the document's embed job at that time, before the embed events of the same
+    moment; embed events that came earlier met a job that was not there.
     """
-    known = events.select("document_id", "kind", "seq", "at", "action", "error")
+    known = events.select("document_id", "kind", "seq", F.lit(0).alias("late"), "at", "action", "error")
     process = _fold(known.filter(F.col("kind") == "process"))
-    opened = process.filter(F.col("s.succeeded").isNotNull()).select(
-        "document_id", F.lit("embed").alias("kind"), F.lit(-1).cast("bigint").alias("seq"),
-        F.col("s.succeeded").alias("at"), F.lit("enqueue").alias("action"), F.lit(None).cast("string").alias("error"),
+    done = process.filter(F.col("s.succeeded").isNotNull()).select("document_id", F.col("s.succeeded").alias("done"))
+    embeds = known.filter(F.col("kind") == "embed")
+    before = embeds.join(done, "document_id").filter(F.col("at") < F.col("done")).groupBy("document_id").agg(F.max("seq").alias("seq"))
+    opened = done.join(before, "document_id", "left").select(
+        "document_id", F.lit("embed").alias("kind"), F.coalesce("seq", F.lit(-(2**40))).alias("seq"), F.lit(1).alias("late"),
+        F.col("done").alias("at"), F.lit("open").alias("action"), F.lit(None).cast("string").alias("error"),
     )
-    embed = _fold(known.filter(F.col("kind") == "embed").unionByName(opened))
+    embed = _fold(embeds.unionByName(opened))
     return process.unionByName(embed).filter(F.col("s.status") != "absent").select(
         "document_id", "kind", F.col("s.status").alias("status"), F.col("s.claims").alias("attempts"),
         F.col("s.ignored").alias("ignored"), F.col("s.error").alias("error"),

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ragframe.functions import text as tx
 
 PAGE_LINES = 8
-PAGE_LIMIT = 1000
 
 
 def _heading_flags(lines: Column) -> Column:
@@ -32,12 +31,12 @@ def _heading_flags(lines: Column) -> Column:
 
 
 def document_bundles(
-    documents: DataFrame, page_lines: int = PAGE_LINES, page_limit: int = PAGE_LIMIT
+    documents: DataFrame, page_lines: int = PAGE_LINES, page_limit: int | None = None
 ) -> DataFrame:
     """Each document with its ordered ``pages`` array, built inside the row.
 
-    Blank pages are dropped while numbering goes on; pages past ``page_limit`` are cut off and the
-    document is flagged ``truncated``. ``section`` is the last heading at or before the page.
+    Blank pages are dropped while numbering goes on. Whole documents are read; where a ``page_limit`` is
+    asked for, pages past it are cut off and the document is flagged ``truncated``. ``section`` is the last heading at or before the page.
     """
     keep = [c for c in documents.columns if c != "text"]
     lines = documents.select(*keep, F.split("text", "\n").alias("_lines"))
@@ -65,11 +64,12 @@ def document_bundles(
             source.alias("source"),
         )
 
-    numbered = F.transform(F.sequence(F.lit(1), F.least("_n", F.lit(page_limit))), page)
+    last = F.col("_n") if page_limit is None else F.least("_n", F.lit(page_limit))
+    numbered = F.transform(F.sequence(F.lit(1), last), page)
     return counted.select(
         *keep,
         tx.seal(F.filter(numbered, lambda p: p.content != "")).alias("pages"),
-        (F.col("_n") > page_limit).alias("truncated"),
+        (F.lit(False) if page_limit is None else F.col("_n") > page_limit).alias("truncated"),
         F.col("_n").alias("raw_pages"),
     )
 
@@ -90,25 +90,27 @@ def assemble_pages(documents: DataFrame, **limits: int) -> DataFrame:
     )
 
 
-def bundle_pages(pages: DataFrame, page_limit: int = PAGE_LIMIT) -> DataFrame:
-    """Gather a page table into one row a document; ``page_limit`` bounds every group."""
+def bundle_pages(pages: DataFrame) -> DataFrame:
+    """Gather a page table into one row a document: a group is one document's pages."""
     bad = F.raise_error(F.lit("page_number must be >= 1"))
     checked = pages.withColumn(
         "page_number", F.when(F.col("page_number") < 1, bad).otherwise(F.col("page_number"))
-    ).filter(F.col("page_number") <= page_limit)
+    )
     page = F.struct("page_number", "content", "section", "source")
     return checked.groupBy("document_id", "organization_id").agg(
         F.sort_array(F.collect_list(page)).alias("pages")
     )
 
 
-def extraction_summary(documents: DataFrame, **limits: int) -> DataFrame:
+def extraction_summary(documents: DataFrame, page_limit: int | None = None, **limits: int) -> DataFrame:
     """Pages, blank pages, tokens and flags per document; documents without pages stay in."""
+    seen = F.col("raw_pages") if page_limit is None else F.least("raw_pages", F.lit(page_limit))
     sizes = F.transform("pages", lambda p: tx.estimate_tokens(p.content))
-    return document_bundles(documents, **limits).select(
+    return document_bundles(documents, page_limit=page_limit, **limits).select(
         "document_id",
+        "raw_pages",
         F.size("pages").alias("pages"),
-        (F.least("raw_pages", F.lit(limits.get("page_limit", PAGE_LIMIT))) - F.size("pages")).alias("blank_pages"),
+        (seen - F.size("pages")).alias("blank_pages"),
         F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total_tokens"),
         (F.size("pages") == 0).alias("empty"),
         "truncated",

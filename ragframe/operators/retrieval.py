@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,9 @@ ID_SHIFT = 1 << 20  # chunks of one document fit below
 
 def item_id(document_id: Column, chunk_index: Column) -> Column:
     """One sortable number for (document, chunk); its order is the tie-break everywhere."""
-    return document_id * F.lit(ID_SHIFT) + chunk_index
+    fits = (chunk_index >= 0) & (chunk_index < ID_SHIFT) & (document_id >= 0) & (document_id < 2**43)
+    packed = document_id * F.lit(ID_SHIFT) + chunk_index
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("document or chunk number out of range")).cast("bigint"))
 
 
 def split_item(item: Column) -> list[Column]:
@@ -45,13 +49,23 @@ def retrievable(vectors: DataFrame, documents: DataFrame, source_type: str | Non
     return vectors.drop(*dropped).join(keys, "document_id")
 
 
-def metadata_contains(metadata: Column, wanted: dict[str, str]) -> Column:
-    """Every wanted key holds exactly the wanted value (containment); ``metadata`` is a JSON text."""
+def metadata_contains(metadata: Column, wanted: dict[str, str | int | float | bool]) -> Column:
+    """Every wanted key holds exactly the wanted value (containment); ``metadata`` is the text of a JSON object.
+
+    Text, numbers and truth values are told apart: 69 is not "69". A key is a name, whatever signs it holds.
+    """
     if len(wanted) > 20:
         raise ValueError("at most 20 metadata keys")
+    held = F.from_json(metadata, "map<string,variant>")
     checks = F.lit(True)
     for key, value in wanted.items():
-        checks = checks & F.get_json_object(metadata, f"$.{key}").eqNullSafe(F.lit(value))
+        item = F.try_element_at(held, F.lit(key))
+        if isinstance(value, bool) or isinstance(value, str):
+            same = F.to_json(item) == F.lit(json.dumps(value, ensure_ascii=False))
+        else:
+            number = ~F.schema_of_variant(item).isin("STRING", "BOOLEAN")
+            same = number & (F.try_variant_get(item, "$", "double") == F.lit(float(value)))
+        checks = checks & F.coalesce(same, F.lit(False))
     return checks
 
 

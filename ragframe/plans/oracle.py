@@ -90,7 +90,7 @@ GOLDENS = """goldens AS (SELECT b.item_id, b.text AS expected_answer, d.doc_id A
 QUESTIONS = "questions AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 
 
-def pages(limit: int = 1000) -> str:
+def pages(limit: int = 1 << 30) -> str:
     heading = (
         "line <> '' AND length(line) <= 60 AND NOT regexp_matches(line, '[.!?:;]$') AND regexp_matches(coalesce(nxt, ''), '^[A-Z]')"
     )
@@ -227,7 +227,11 @@ ORACLES["admit_files"] = with_(DOCS, WSC_CTE, f"""up AS (SELECT document_id, con
 ORACLES["upsert_embeddings"] = with_(DOCS) + """SELECT document_id, 'hash-384' AS model, CASE WHEN embedding_status = 'ready' THEN 1 ELSE 2 END AS version,
  length(text) * CASE WHEN embedding_status = 'ready' THEN 1 ELSE 2 END AS payload FROM docs WHERE embedding_status <> 'none'"""
 ORACLES["ensure_jobs"] = with_(DOCS) + "SELECT document_id, 'embed' AS kind FROM docs WHERE status <> 'ready'"
-ORACLES["publishable_documents"] = with_(*fixed(), f"ok AS (SELECT document_id, len({tok('content')}) > 0 AND token_count <= 510 AS good FROM chunks)") + """SELECT document_id, count(*) AS rows, count(*) FILTER (WHERE NOT good) AS bad_rows, bool_and(good) AS publish FROM ok GROUP BY document_id"""
+ORACLES["scan_raw_files"] = "SELECT source AS organization_id, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY source"
+ORACLES["report_round_trip"] = with_(DOCS) + "SELECT organization_id, source_type, count(*) AS documents, sum(size)::BIGINT AS size FROM docs GROUP BY ALL"
+ORACLES["upsert_repeated_embeddings"] = with_(DOCS) + """SELECT document_id, 'hash-384' AS model, v AS version, (length(text) * v)::BIGINT AS payload
+ FROM (SELECT *, CASE embedding_status WHEN 'ready' THEN 1 WHEN 'processing' THEN 2 ELSE 3 END AS v FROM docs WHERE embedding_status IN ('ready', 'processing', 'failed'))"""
+ORACLES["publishable_documents"] = with_(*fixed(), f"ok AS (SELECT document_id, len({tok('content')}) > 0 AND token_count <= 510 AS good FROM chunks)") + """SELECT d.document_id, count(good) AS rows, count(*) FILTER (WHERE NOT good) AS bad_rows, coalesce(bool_and(good), false) AS publish FROM docs d LEFT JOIN ok USING (document_id) GROUP BY d.document_id"""
 
 JOBS = """jobs AS (SELECT document_id, organization_id, kind, st AS status, CASE WHEN st = 'queued' THEN 0 WHEN st = 'failed' THEN document_id % 4 + 1 ELSE 1 END AS attempts, 3 AS max_attempts,
  CASE WHEN st = 'failed' THEN ['pdf extraction failed: bad header', 'connection reset', 'model said 400, not retryable', 'retries exhausted after 3'][document_id % 4 + 1] END AS error,
@@ -244,8 +248,8 @@ ORACLES["orphan_audit"] = with_(*fixed(), JOBS) + """SELECT child, count(*) FILT
 ORACLES["normalize_text"] = with_(WSC_CTE) + f"SELECT doc_id AS document_id, {normalize('text')} AS normalized FROM documents"
 ORACLES["estimate_tokens"] = with_(WSC_CTE) + f"SELECT doc_id AS document_id, {est('text')} AS tokens, {word_est('text')} AS word_tokens FROM documents"
 ORACLES["assemble_pages"] = with_(*BASE) + f"SELECT document_id, page_number, content, {est('content')} AS token_count, section, concat('s3://', organization_id, '/', document_id) AS source FROM pgs"
-ORACLES["extraction_summary"] = with_(WSC_CTE, DOCS, pages(5)) + f"""SELECT d.document_id, count(p.page_number) AS pages, least(any_value(r.n), 5) - count(p.page_number) AS blank_pages,
- coalesce(sum({est('p.content')}) FILTER (WHERE p.content IS NOT NULL), 0)::BIGINT AS total_tokens, count(p.page_number) = 0 AS empty, any_value(r.n) > 5 AS truncated
+ORACLES["extraction_summary"] = with_(*BASE) + f"""SELECT d.document_id, any_value(r.n) AS raw_pages, count(p.page_number) AS pages, any_value(r.n) - count(p.page_number) AS blank_pages,
+ coalesce(sum({est('p.content')}) FILTER (WHERE p.content IS NOT NULL), 0)::BIGINT AS total_tokens, count(p.page_number) = 0 AS empty, false AS truncated
  FROM docs d LEFT JOIN pgs p USING (document_id) LEFT JOIN (SELECT document_id, max(page_number) AS n FROM all_pages GROUP BY 1) r USING (document_id) GROUP BY d.document_id"""
 ORACLES["section_fill"] = with_(*BASE) + "SELECT document_id, page_number, section FROM pgs"
 ORACLES["html_outline"] = with_(WSC_CTE, """h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>')) AS raw, generate_subscripts(regexp_extract_all(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>'), 1) - 1 AS ord FROM pages)""") + f"""SELECT page_id, ord, substr(raw, 3, 1)::INT AS level, {fold("regexp_replace(raw, '<[^>]*>', ' ', 'g')")} AS title FROM h"""
@@ -316,7 +320,9 @@ ORACLES["hash_embed_sparse"] = with_(*fixed(), VEC) + "SELECT document_id, chunk
 _CHECK = """SELECT c.document_id, c.chunk_index, 384 AS dimensions, coalesce(sum(v.q * (v.slot + 1)), 0)::BIGINT AS checksum
  FROM chunks c LEFT JOIN vec v ON v.document_id = c.document_id AND v.chunk_index = c.chunk_index GROUP BY c.document_id, c.chunk_index"""
 ORACLES["hash_embed_dense"] = with_(*fixed(), VEC) + _CHECK
-ORACLES["score_in_batches"] = ORACLES["hash_embed_dense"]
+ORACLES["score_in_batches"] = with_(*fixed(), """u AS (SELECT document_id, chunk_index, [unicode(x) FOR x IN string_split(content, '')] AS c FROM chunks),
+tri AS (SELECT document_id, chunk_index, unnest([(c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 256 FOR i IN range(1, len(c) - 1)]) AS slot FROM u)""") + """SELECT u.document_id, u.chunk_index, 256 AS dimensions, coalesce(sum(t.slot + 1), 0)::BIGINT AS checksum
+ FROM u LEFT JOIN tri t ON t.document_id = u.document_id AND t.chunk_index = u.chunk_index GROUP BY u.document_id, u.chunk_index"""
 ORACLES["validate_vectors"] = """WITH v AS (SELECT concat(label, '/', vec_id % 7) AS owner, CASE WHEN vec_id % 28 = 21 THEN 'empty' WHEN vec_id % 28 = 7 THEN 'not_finite' WHEN vec_id % 28 = 0 THEN 'dimension' WHEN vec_id % 28 = 14 THEN 'all_zero' END AS problem FROM embeddings)
 SELECT owner, count(*) AS vectors, count(problem) AS bad_vectors, min(problem) AS first_problem, count(problem) = 0 AS publishable FROM v GROUP BY owner"""
 ORACLES["vector_integrity"] = with_(*fixed(), VEC, "whole AS (SELECT c.document_id, c.chunk_index, list(struct_pack(slot := slot, q := q) ORDER BY slot) FILTER (WHERE slot IS NOT NULL) AS v FROM chunks c LEFT JOIN vec USING (document_id, chunk_index) GROUP BY ALL)") + """SELECT copies, count(*) AS groups FROM (SELECT count(*) AS copies FROM whole GROUP BY v HAVING count(*) > 1) GROUP BY copies"""
@@ -333,7 +339,7 @@ SELECT vec_id, generate_subscripts(x, 1) - 1 AS pos, round(unnest(x) / n, 6) AS
 # ---- retrieval
 ORACLES["retrievable_chunks"] = with_(*fixed()) + """SELECT c.document_id, c.chunk_index, c.token_count, d.organization_id, d.uploaded_by, d.source_type
  FROM chunks c JOIN docs d USING (document_id) WHERE d.status = 'ready' AND d.embedding_status = 'ready'"""
-ORACLES["metadata_filter"] = "SELECT event_id, user_id AS client, props FROM events WHERE json_extract_string(props, '$.k') = '69'"
+ORACLES["metadata_filter"] = "SELECT event_id, user_id AS client, props FROM events WHERE json_extract(props, '$.k')::VARCHAR = '69'"
 ORACLES["similarity_floor"] = with_(*corpus(20, 0.4)) + "SELECT query_id, rank, document_id, chunk_index, similarity FROM hits"
 DENSE = """q AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda e: round(e::DOUBLE * 1000000)::BIGINT) AS v FROM embeddings),
 l AS MATERIALIZED (SELECT vec_id, generate_subscripts(v, 1) AS slot, unnest(v) AS x FROM q),
@@ -404,10 +410,11 @@ ORACLES["answer_usage"] = with_(*ANSWERED, RENDERED) + f"""SELECT query_id, CASE
 # ---- conversations
 REF = f"(regexp_matches(content, '{tx.REFERENTIAL.replace(chr(39), chr(39) * 2)}') OR regexp_matches(content, '{tx.PRONOUN}'))"
 ORACLES["referential_turns"] = with_(MESSAGES) + f"SELECT conversation_id, position, {REF} AS referential FROM messages WHERE role = 'user'"
-ORACLES["expand_followups"] = with_(WSC_CTE, MESSAGES, f"""seen AS (SELECT *, last_value(CASE WHEN role = 'user' THEN content END IGNORE NULLS) OVER w AS u, last_value(CASE WHEN role = 'assistant' THEN content END IGNORE NULLS) OVER w AS a FROM messages
- WINDOW w AS (PARTITION BY conversation_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- clipped AS (SELECT *, regexp_replace({trim('a')}, '{WS}*\\[\\d+\\]{WS}*$', '') AS c FROM seen WHERE role = 'user'),
- cut AS (SELECT *, nullif(CASE WHEN length(c) <= 400 THEN c ELSE rtrim(substr(c, 1, 400), ' ,;') END, '') AS tail FROM clipped)""") + f"""SELECT conversation_id, position, CASE WHEN {REF} AND (u IS NOT NULL OR tail IS NOT NULL) THEN concat_ws(' — ', nullif(u, ''), tail, content) ELSE content END AS expanded FROM cut"""
+_EXPANDED = (f"""sides AS (SELECT conversation_id, asked, max_by(content, position) FILTER (WHERE role = 'user') AS u, max_by(content, position) FILTER (WHERE role = 'assistant') AS a FROM hist GROUP BY ALL),
+ seen AS (SELECT m.*, u, a FROM messages m LEFT JOIN sides s ON s.conversation_id = m.conversation_id AND s.asked = m.position WHERE role = 'user'),
+ clipped AS (SELECT *, regexp_replace({trim('a')}, '{WS}*\\[\\d+\\]{WS}*$', '') AS c FROM seen),
+ cut AS (SELECT *, nullif(CASE WHEN length(c) <= 400 THEN c ELSE rtrim(substr(c, 1, 400), ' ,;') END, '') AS tail FROM clipped)""", f"""SELECT conversation_id, position, CASE WHEN {REF} AND (u IS NOT NULL OR tail IS NOT NULL) THEN concat_ws(' — ', nullif(u, ''), tail, content) ELSE content END AS expanded FROM cut""")
+ORACLES["expand_followups"] = with_(WSC_CTE, MESSAGES, history(20, 800), _EXPANDED[0]) + _EXPANDED[1]
 ORACLES["history_window"] = with_(WSC_CTE, MESSAGES, history(5, 150)) + """SELECT u.conversation_id, u.position, coalesce(string_agg(concat(h.position, ':', h.role), ',' ORDER BY h.position) FILTER (WHERE h.position IS NOT NULL), '') AS kept
  FROM messages u LEFT JOIN hist h ON h.conversation_id = u.conversation_id AND h.asked = u.position WHERE u.role = 'user' GROUP BY u.conversation_id, u.position"""
 ORACLES["turn_pairs"] = with_(MESSAGES) + """SELECT u.conversation_id, u.position AS user_position, a.position AS assistant_position, m.p + 1 AS next_position FROM messages u
@@ -503,7 +510,7 @@ ORACLES["demo_check"] = with_(*ANSWERED, GOLDENS) + f"""SELECT g.item_id, g.expe
 def _gate(label: str, chars: int, gate: str) -> str:
     pool = "true" if gate == "none" else "c.document_id = q.document_id AND c.section = q.section"
     return "(" + with_(
-        *BASE, f"heads AS MATERIALIZED (SELECT document_id, page_number, substr(string_split(content, {NL})[1], 1, 60) AS section FROM pgs)",
+        *BASE, f"heads AS MATERIALIZED (SELECT document_id, page_number, string_split(content, {NL})[1] AS section FROM pgs)",
         WORDS, greedy(chars), "span AS (SELECT *, lead(s) OVER (PARTITION BY document_id ORDER BY chunk_index) AS t FROM cut)", placed("span", "heads"),
         GOLDENS, RESOLVED,
         """questions AS MATERIALIZED (SELECT r.item_id * 1048576 + r.expected_document AS query_id, r.expected_answer AS question, r.expected_document AS document_id, h.section
@@ -546,18 +553,21 @@ ORACLES["retry_schedule"] = with_(DOCS, JOBS, """t AS (SELECT *, NOT CASE kind W
 # Every job's events are known by construction: r bounced runs, then the last step of its status.
 LEDGER = """led AS (SELECT document_id, kind, status, epoch(enqueued_at)::BIGINT AS t0, CASE WHEN status = 'queued' THEN 0 ELSE document_id % 4 END AS r FROM jobs),
 led_out AS (SELECT document_id, kind, status, CASE WHEN status = 'queued' THEN 0 ELSE r + 1 END AS attempts,
- CASE WHEN status = 'queued' THEN 1 ELSE 0 END + CASE WHEN kind = 'embed' THEN 1 ELSE 0 END AS ignored,
+ CASE WHEN status = 'queued' THEN 1 ELSE 0 END + CASE WHEN kind = 'embed' AND document_id % 5 = 1 THEN 1 ELSE 0 END AS ignored,
  CASE WHEN status = 'failed' THEN concat('attempt ', 3 * r + 2) END AS error,
  CASE WHEN status <> 'queued' THEN t0 + 3 * r + 1 END AS started_s, CASE WHEN status IN ('succeeded', 'failed') THEN t0 + 3 * r + 2 END AS finished_s FROM led)"""
 ORACLES["ledger_replay"] = with_(DOCS, JOBS, LEDGER) + "SELECT * FROM led_out"
 ORACLES["rate_limit_breaches"] = with_(REQUESTS) + "SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, client, count(*) AS requests, count(*) - 3 AS rejected FROM requests GROUP BY ALL HAVING count(*) > 3"
 
 # ---- streaming: what the drained stream must equal
-ORACLES["stream_ingest"] = with_(*fixed(), VEC) + "SELECT c.document_id, c.chunk_index, any_value(c.token_count) AS token_count, count(v.slot) AS slots FROM chunks c LEFT JOIN vec v ON v.document_id = c.document_id AND v.chunk_index = c.chunk_index GROUP BY c.document_id, c.chunk_index"
+# Every third document is delivered again cut to half, every fifth then once more, turned round.
+_CHANGED = DOCS.replace("created_at, text FROM documents)", """created_at, text FROM (SELECT * REPLACE (
+ CASE WHEN doc_id % 5 = 0 THEN reverse(text) WHEN doc_id % 3 = 0 THEN substr(text, 1, (length(text) // 2)::BIGINT) ELSE text END AS text) FROM documents))""")
+ORACLES["stream_ingest"] = with_(*[_CHANGED if p == DOCS else p for p in fixed()], VEC) + "SELECT c.document_id, c.chunk_index, any_value(c.token_count) AS token_count, count(v.slot) AS slots FROM chunks c LEFT JOIN vec v ON v.document_id = c.document_id AND v.chunk_index = c.chunk_index GROUP BY c.document_id, c.chunk_index"
 ORACLES["stream_telemetry"] = with_(REQUESTS) + f"""SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, method, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, count(*) FILTER (WHERE seconds <= {telemetry.HTTP_BUCKETS[5]}) AS le_5
  FROM requests WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL"""
 ORACLES["stream_ledger"] = with_(DOCS, JOBS, LEDGER) + "SELECT document_id, kind, status, attempts, ignored, error FROM led_out"
 ORACLES["stream_memory"] = with_(
-    WSC_CTE, MESSAGES, history(20, 800), f"expanded AS ({ORACLES['expand_followups'].replace('WITH RECURSIVE ', 'WITH ', 1)})"
+    WSC_CTE, MESSAGES, history(20, 800), _EXPANDED[0], f"expanded AS ({_EXPANDED[1]})"
 ) + """SELECT e.conversation_id, e.position, any_value(e.expanded) AS expanded, coalesce(string_agg(h.position::VARCHAR, ',' ORDER BY h.position) FILTER (WHERE h.position IS NOT NULL), '') AS kept
  FROM expanded e LEFT JOIN hist h ON h.conversation_id = e.conversation_id AND h.asked = e.position GROUP BY e.conversation_id, e.position"""

@@ -6,8 +6,6 @@ callable takes (spark, table folder) and returns a DataFrame of scalar columns.
 
 from __future__ import annotations
 
-import hashlib
-import re
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -131,6 +129,31 @@ def upsert_embeddings(spark, root):
     return sinks.upsert(old, new, ["document_id", "model"])
 
 
+@query
+def upsert_repeated_embeddings(spark, root):
+    """Vectors delivered in several versions at once: the newest counts."""
+    old = _vector_rows(spark, root, ["ready", "processing"], 1)
+    new = _vector_rows(spark, root, ["processing", "failed"], 2).unionByName(_vector_rows(spark, root, ["failed"], 3))
+    return sinks.upsert(old, new, ["document_id", "model"], F.col("version"))
+
+
+@query
+def scan_raw_files(spark, root):
+    """Stored text objects of every tenant, read back as bytes."""
+    path = _scratch(spark, "objects")
+    _docs(spark, root).select("organization_id", "text").write.partitionBy("organization_id").text(path)
+    tenant = F.regexp_extract("organization_id", "=(.*)$", 1).alias("organization_id")
+    return files.scan_files(spark, path, "*.txt").groupBy(tenant).agg(F.sum("length").alias("bytes"))
+
+
+@query
+def report_round_trip(spark, root):
+    path = _scratch(spark, "report")
+    kinds = tables.corpus_documents(spark, root).groupBy("organization_id", "source_type")
+    sinks.write_report(kinds.agg(F.count("*").alias("documents"), F.sum("size").alias("size")), path)
+    return sinks.read_report(spark, path, "organization_id string, source_type string, documents bigint, size bigint")
+
+
 @query
 def ensure_jobs(spark, root):
     d = tables.corpus_documents(spark, root)
@@ -144,7 +167,7 @@ def ensure_jobs(spark, root):
 @query
 def publishable_documents(spark, root):
     ok = (F.size(tx.tokenize(F.col("content"))) > 0) & (F.col("token_count") <= 510)
-    return sinks.publishable(_chunks(spark, root), "document_id", ok)
+    return sinks.publishable(_chunks(spark, root), "document_id", ok, _docs(spark, root))
 
 
 def _children(spark, root) -> dict[str, DataFrame]:
@@ -196,7 +219,7 @@ def assemble_pages(spark, root):
 
 @query
 def extraction_summary(spark, root):
-    return pages.extraction_summary(_docs(spark, root), page_limit=5)
+    return pages.extraction_summary(_docs(spark, root))
 
 
 @query
@@ -327,28 +350,21 @@ def hash_embed_dense(spark, root):
     return rows.select("document_id", "chunk_index", F.size("d").alias("dimensions"), _checksum(F.col("d")).alias("checksum"))
 
 
-def hash_model(texts: Sequence[str]) -> list[np.ndarray]:
-    """The hash embedder as a plain ``texts -> vectors`` callable, for the pluggable path."""
-    seen: dict[str, tuple[int, float]] = {}
-    out = []
-    for text in texts:
-        v = np.zeros(vx.DIMENSIONS)
-        for token in re.findall(tx.TOKEN, text.lower()):
-            if token not in seen:
-                d = hashlib.sha256(token.encode()).digest()
-                seen[token] = (int.from_bytes(d[:4], "big") % vx.DIMENSIONS, 1.0 if d[4] % 2 == 0 else -1.0)
-            slot, sign = seen[token]
-            v[slot] += sign
-        out.append(np.round(v / (np.sqrt((v * v).sum()) or 1.0), 6))
-    return out
+def trigram_model(texts: Sequence[str]) -> np.ndarray:
+    """A model foreign to the engine: counts of hashed character trigrams, all texts of a slice at once."""
+    points = [np.frombuffer(t.encode("utf-32-le"), "<u4").astype(np.int64) for t in texts]
+    slots = [(c[:-2] * 961 + c[1:-1] * 31 + c[2:]) % 256 for c in points]
+    return np.stack([np.bincount(s, minlength=256) for s in slots]).astype(float)
 
 
 @query
 def score_in_batches(spark, root):
     rows = _chunks(spark, root).select("document_id", "chunk_index", "content")
-    scored = embedding.score_in_batches(rows, hash_model)
+    scored = embedding.score_in_batches(rows, trigram_model)
+    weighed = F.transform("vector", lambda v, i: v.cast("bigint") * (i + 1))
     return scored.select(
-        "document_id", "chunk_index", F.size("vector").alias("dimensions"), _checksum(F.col("vector")).alias("checksum")
+        "document_id", "chunk_index", F.size("vector").alias("dimensions"),
+        F.aggregate(weighed, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("checksum"),
     )
 
 
@@ -408,7 +424,7 @@ def retrievable_chunks(spark, root):
 @query
 def metadata_filter(spark, root):
     r = tables.requests(spark, root)
-    return r.filter(retrieval.metadata_contains(F.col("props"), {"k": "69"})).select("event_id", "client", "props")
+    return r.filter(retrieval.metadata_contains(F.col("props"), {"k": 69})).select("event_id", "client", "props")
 
 
 @query
@@ -791,8 +807,8 @@ def eval_sweep(spark, root):
 
 
 def _headed(bundles: DataFrame) -> DataFrame:
-    """Pages whose section is their own opening line (at most 60 characters)."""
-    head = lambda p: F.substring(F.element_at(F.split(p.content, "\n"), 1), 1, 60)
+    """Pages whose section is their own opening line."""
+    head = lambda p: F.element_at(F.split(p.content, "\n"), 1)
     return bundles.withColumn(
         "pages",
         F.transform("pages", lambda p: F.struct(p.page_number.alias("page_number"), p.content.alias("content"),
@@ -808,7 +824,7 @@ def section_gate_study(spark, root):
         F.col("document_id").alias("expected_document"), F.col("p.page_number").alias("expected_page"), F.col("p.section").alias("section")
     )
     q = g.join(heads, ["expected_document", "expected_page"]).select(
-        retrieval.item_id(F.col("item_id"), F.col("expected_document")).alias("query_id"),
+        F.xxhash64("item_id", "expected_document").alias("query_id"),
         F.col("expected_answer").alias("question"), F.col("expected_answer").alias("gold"),
         F.col("expected_document").alias("document_id"), "section",
     )
@@ -936,10 +952,19 @@ def _as_stream(spark, df: DataFrame, path: str) -> DataFrame:
 
 @query
 def stream_ingest(spark, root):
+    """Three deliveries: all documents; every third one cut to half, twice; every fifth one turned round."""
     path = _scratch(spark, "ingest")
-    docs = _as_stream(spark, _docs(spark, root).select("document_id", "organization_id", "uploaded_by", "text"), path)
-    streams.run_once(streams.ingest(docs, "fixed"), f"{path}/ck", streams.ingest_writer(f"{path}/out"))
-    return spark.read.parquet(f"{path}/out").select("document_id", "chunk_index", "token_count", F.size("vector").alias("slots"))
+    docs = _docs(spark, root).select("document_id", "organization_id", "uploaded_by", "text")
+    half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    cut = docs.filter("document_id % 3 = 0").withColumn("text", half)
+    turned = docs.filter("document_id % 5 = 0").withColumn("text", F.reverse("text"))
+    for version, rows in enumerate((docs, cut.unionByName(cut), turned)):
+        rows = rows.withColumn("version", F.lit(version).cast("bigint"))
+        rows.write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{path}/in")
+        streams.run_once(source, f"{path}/ck", streams.ingest_writer(f"{path}/out", "fixed"))
+    chunks = streams.current_chunks(spark, f"{path}/out")
+    return chunks.select("document_id", "chunk_index", "token_count", F.size("vector").alias("slots"))
 
 
 @query
@@ -960,7 +985,8 @@ def stream_ledger(spark, root):
     path = _scratch(spark, "ledger")
     events = _as_stream(spark, tables.spread(tables.ledger_events(spark, root), "document_id"), path)
     streams.run_once(streams.streaming_ledger(events), f"{path}/ck", streams.ledger_writer(f"{path}/out"), "update")
-    return spark.read.parquet(f"{path}/out").select("document_id", "kind", "status", "attempts", "ignored", "error")
+    jobs = streams.current_jobs(spark, f"{path}/out")
+    return jobs.select("document_id", "kind", "status", "attempts", "ignored", "error")
 
 
 @query

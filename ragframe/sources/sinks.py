@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.session import cut_lineage
-
 
 def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """One row per key, the last by ``order``.
@@ -17,8 +15,12 @@ def latest(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_v")).select(*keys, "_v.*").select(*df.columns)
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``existing`` with the rows of ``new`` put over rows of equal keys (``new`` has unique keys)."""
+def upsert(existing: DataFrame, new: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
+    """``existing`` with the rows of ``new`` put over rows of equal keys.
+
+    Where ``new`` can repeat a key, ``order`` says which of its rows came last.
+    """
+    new = new if order is None else latest(new, keys, order)
     return existing.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
@@ -31,11 +33,13 @@ def insert_missing(candidates: DataFrame, existing: DataFrame, keys: list[str],
     )
 
 
-def publishable(rows: DataFrame, owner: str, ok: Column) -> DataFrame:
-    """Owners all of whose rows are good: they appear together or not at all."""
-    return rows.groupBy(owner).agg(
+def publishable(rows: DataFrame, owner: str, ok: Column, owners: DataFrame) -> DataFrame:
+    """Owners all of whose rows are good: they appear together or not at all. Without a row nothing appears."""
+    counted = rows.groupBy(owner).agg(
         F.count("*").alias("rows"), F.count_if(~ok).alias("bad_rows"), F.bool_and(ok).alias("publish")
     )
+    none = {"rows": 0, "bad_rows": 0, "publish": False}
+    return owners.select(owner).distinct().join(counted, owner, "left").fillna(none)
 
 
 def cascade_delete(documents: DataFrame, children: dict[str, DataFrame], doomed: DataFrame, key: str = "document_id") -> dict[str, DataFrame]:
@@ -60,22 +64,12 @@ def orphan_audit(documents: DataFrame, children: dict[str, DataFrame], key: str
 # ---- tables on disk -----------------------------------------------------------------------------
 
 
-def upsert_table(new: DataFrame, path: str, keys: list[str], partition_by: list[str]) -> None:
-    """Upsert into a partitioned parquet table; only partitions that ``new`` touches are rewritten.
+def write_batch(rows: DataFrame, path: str, batch: int) -> None:
+    """Append one micro-batch as its own partition; the same batch delivered again replaces itself.
 
-    ``partition_by`` must be decided by the keys (a tenant, a hash bucket of the key), so equal keys
-    meet in one partition. The merge is cut from its lineage before the overwrite, since it reads
-    the partitions that it replaces.
+    Nothing that is stored already is read or rewritten. ``latest`` over the table gives the current rows.
     """
-    spark = new.sparkSession
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    exists = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path)
-    merged = new
-    if exists:
-        touched = new.select(*partition_by).distinct()
-        old = spark.read.schema(new.schema).parquet(path).join(touched, partition_by, "left_semi")
-        merged = cut_lineage(upsert(old.select(*new.columns), new, keys))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    rows.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def write_report(df: DataFrame, path: str, fmt: str = "json") -> None:

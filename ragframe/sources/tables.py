@@ -85,6 +85,10 @@ def questions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+# Passages too short to be found by a run of words; a list of them is written into the plan.
+SHORT_PASSAGES = 1000
+
+
 def _runs(tokens: Column) -> Column:
     """Hashes of all runs of three neighbouring words."""
     at = F.sequence(F.lit(0), F.size(tokens) - 3)
@@ -98,23 +102,30 @@ def passages_in_documents(passages: DataFrame, documents: DataFrame) -> DataFram
     A contained passage brings its inner words along as whole words, so words two to four of the
     passage must occur as a run in the document: an equality join on hashes of such runs finds every
     candidate without comparing all passages with all texts, and ``contains`` settles each one.
-    Passages under five words carry no such run and are refused loudly.
+    Passages under five words carry no such run: a short list of them is looked for in every text.
     """
-    passages = passages.withColumn("_w", tx.words(F.col("passage")))
-    short = F.raise_error(F.lit("passages need at least five words"))
+    worded = passages.withColumn("_w", tx.words(F.col("passage")))
     first = F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)), F.get("_w", F.lit(3)))
-    keys = passages.select("passage_id", F.when(F.size("_w") < 5, short).otherwise(first).alias("run"))
-    passages = passages.drop("_w")
+    keys = worded.filter(F.size("_w") >= 5).select("passage_id", first.alias("run"))
     spoken = documents.select("document_id", tx.seal(tx.words(F.col("text"))).alias("_w"))
     hashed = spoken.select("document_id", tx.seal(_runs(F.col("_w"))).alias("_r"))
     runs = hashed.select("document_id", F.explode("_r").alias("run"))
     candidates = cut_lineage(runs.join(keys, "run").select("passage_id", "document_id").distinct())
-    return (
+    brief = worded.filter(F.size("_w") < 5).select("passage_id", "passage").limit(SHORT_PASSAGES + 1).collect()
+    if len(brief) > SHORT_PASSAGES:
+        raise ValueError(f"more than {SHORT_PASSAGES} passages of fewer than five words")
+    found = (
         candidates.join(passages, "passage_id")
         .join(reduce_to(documents.select("document_id", "text"), candidates, ["document_id"]), "document_id")
         .filter(F.col("text").contains(F.col("passage")))
         .select("passage_id", "document_id", "passage")
     )
+    if not brief:
+        return found
+    listed = F.array(*[F.struct(F.lit(r.passage_id).alias("passage_id"), F.lit(r.passage).alias("passage")) for r in brief])
+    held = F.filter(listed, lambda p: F.col("text").contains(p["passage"]))
+    direct = documents.select("document_id", F.explode(held).alias("p"))
+    return found.unionByName(direct.select("p.passage_id", "document_id", "p.passage"))
 
 
 def goldens(spark: SparkSession, root: str) -> DataFrame:
@@ -194,7 +205,10 @@ def jobs(spark: SparkSession, root: str) -> DataFrame:
 
 
 def ledger_events(spark: SparkSession, root: str) -> DataFrame:
-    """The claims, requeues and outcomes behind the ledger: doc_id mod 4 failed runs come first."""
+    """The claims, requeues and outcomes behind the ledger: doc_id mod 4 failed runs come first.
+
+    Some embed jobs are claimed a day before they exist.
+    """
     j = jobs(spark, root).select("document_id", "kind", "status", "enqueued_at")
     i = F.col("document_id")
     bounce = F.flatten(
@@ -216,7 +230,11 @@ def ledger_events(spark: SparkSession, root: str) -> DataFrame:
         "document_id", "kind", "enqueued_at",
         F.posexplode(F.concat(F.array(F.lit("enqueue")), bounce, last)).alias("seq", "action"),
     )
-    return steps.select(
+    early = j.filter((F.col("kind") == "embed") & (i % 5 == 1)).select(
+        "document_id", "kind", (F.col("enqueued_at") - F.expr("interval 1 day")).alias("enqueued_at"),
+        F.lit(-1).alias("seq"), F.lit("claim").alias("action"),
+    )
+    return steps.unionByName(early).select(
         "document_id",
         "kind",
         F.col("seq").cast("bigint").alias("seq"),

@@ -19,7 +19,7 @@ from ragframe.sources import sinks
 
 # ---- fixed values: our own lateness rules --------------------------------------------------------
 WATERMARK = "10 minutes"
-BUCKETS = 64
+IDLE_MS = 7 * 24 * 3600 * 1000
 # -------------------------------------------------------------------------------------------------
 
 
@@ -50,18 +50,39 @@ def run_once(df: DataFrame, checkpoint: str, write: Callable, mode: str = "appen
 
 def ingest(documents: DataFrame, strategy: str = "paragraph", **budgets) -> DataFrame:
     """Documents to embedded chunks: stateless, so the same plan serves batch and stream."""
-    rows = chunking.chunk_bundles(pages.document_bundles(documents), strategy, **budgets)
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
-    return embedding.hash_embed(rows).withColumn("bucket", bucket)
+    rows = chunking.chunk_bundles(pages.document_bundles(documents.drop("version")), strategy, **budgets)
+    return embedding.hash_embed(rows)
 
 
-def ingest_writer(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, _: int) -> None:
-        sinks.upsert_table(batch, path, ["document_id", "chunk_index", "model"], ["bucket"])
+def ingest_writer(path: str, strategy: str = "paragraph", **budgets) -> Callable[[DataFrame, int], None]:
+    """Micro-batches of documents with a ``version`` to chunks, one document replaced as a whole.
+
+    Of several deliveries of a document in a batch the newest is chunked. Chunks are written before the list of
+    documents they belong to, so a document appears whole or not at all; nothing stored is rewritten.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        newest = sinks.latest(batch, ["document_id"], F.struct("version", "text"))
+        sinks.write_batch(ingest(newest, strategy, **budgets), f"{path}/chunks", number)
+        sinks.write_batch(newest.select("document_id", "version"), f"{path}/documents", number)
 
     return write
 
 
+def current_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Chunks of the newest version of every document; of equal versions, the one delivered last."""
+    listed = spark.read.parquet(f"{path}/documents")
+    newest = listed.groupBy("document_id").agg(F.max(F.struct("version", "batch")).alias("v")).select("document_id", F.col("v.batch").alias("batch"))
+    return spark.read.parquet(f"{path}/chunks").join(newest, ["document_id", "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Write the current chunks and documents of ``path`` as the first batch of a new table."""
+    sinks.write_batch(current_chunks(spark, path), f"{target}/chunks", 0)
+    listed = spark.read.parquet(f"{path}/documents").groupBy("document_id").agg(F.max("version").alias("version"))
+    sinks.write_batch(listed, f"{target}/documents", 0)
+
+
 # ---- telemetry ----------------------------------------------------------------------------------
 
 
@@ -136,18 +157,17 @@ def streaming_ledger(events: DataFrame, timeout_seconds: int | None = None) -> D
         old = state.get if state.exists else (0, *_NEW_JOB, *_NEW_JOB)
         clean = [None if pd.isna(v) else v for v in old]
         version, jobs = clean[0], {"process": tuple(clean[1:7]), "embed": tuple(clean[7:])}
-        opened = jobs["process"][0] == "succeeded" or jobs["embed"][0] != "absent"
         if state.hasTimedOut:
             now = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
             for kind, job in jobs.items():
                 if job[0] == "processing" and (now - pd.Timestamp(job[4])).total_seconds() >= timeout_seconds:
                     jobs[kind], _ = apply_event(job, "requeue", now, f"no outcome after {timeout_seconds} s")
         else:
-            rows = pd.concat(list(batches)).sort_values(["at", "seq"])
+            # What a process run does at some moment comes before the embed events of that moment.
+            rows = pd.concat(list(batches)).sort_values(["at", "kind", "seq"], ascending=[True, False, True])
             for r in rows.itertuples():
                 jobs[r.kind], legal = apply_event(jobs[r.kind], r.action, r.at, r.error)
-                if r.kind == "process" and r.action == "succeed" and legal and not opened:
-                    opened = True
+                if r.kind == "process" and r.action == "succeed" and legal and jobs["embed"][0] == "absent":
                     jobs["embed"], _ = apply_event(jobs["embed"], "enqueue", r.at, None)
         state.update((version + 1, *jobs["process"], *jobs["embed"]))
         running = [pd.Timestamp(j[4]) for j in jobs.values() if j[0] == "processing"]
@@ -172,56 +192,64 @@ def streaming_ledger(events: DataFrame, timeout_seconds: int | None = None) -> D
 
 
 def ledger_writer(path: str) -> Callable[[DataFrame, int], None]:
-    def write(batch: DataFrame, _: int) -> None:
-        now = sinks.latest(batch, ["document_id", "kind"], F.col("version"))
-        bucket = F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
-        sinks.upsert_table(now.withColumn("bucket", bucket), path, ["document_id", "kind"], ["bucket"])
+    def write(batch: DataFrame, number: int) -> None:
+        sinks.write_batch(sinks.latest(batch, ["document_id", "kind"], F.col("version")), path, number)
 
     return write
 
 
+def current_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of every job."""
+    rows = spark.read.parquet(path)
+    return sinks.latest(rows, ["document_id", "kind"], F.col("version")).drop("batch")
+
+
 # ---- conversation memory ------------------------------------------------------------------------
 
 MEMORY_OUT = (
-    "conversation_id bigint, position bigint, question string, last_user string, last_assistant string, "
+    "conversation_id bigint, position bigint, question string, "
     "history array<struct<position:bigint,role:string,content:string>>"
 )
-MEMORY_STATE = "positions array<bigint>, roles array<string>, contents array<string>, last_user string, last_assistant string"
+MEMORY_STATE = "positions array<bigint>, roles array<string>, contents array<string>"
 
 
-def streaming_memory(messages: DataFrame, max_messages: int = conversations.HISTORY_MESSAGES) -> DataFrame:
+def streaming_memory(
+    messages: DataFrame, max_messages: int = conversations.HISTORY_MESSAGES, idle_ms: int | None = None
+) -> DataFrame:
     """For every arriving user turn: the turns before it and the expanded question.
 
-    The state keeps ``max_messages`` turns and the last line of each side, nothing more. Python only
-    keeps the window; budget and expansion are the batch expressions over it.
+    The state keeps the ``max_messages`` turns of the highest positions; a turn that arrives late takes its place
+    among them. With ``idle_ms``, for streams that run on (a drained one would never end), a conversation idle
+    for so long is forgotten; IDLE_MS is a fair value. Python only keeps the window; budget and
+    expansion are the batch expressions over it.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            p, r, c, user, reply = state.get
-            turns = list(zip(p, r, c))
-        else:
-            turns, user, reply = [], None, None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        turns = list(zip(*state.get)) if state.exists else []
         out = []
-        rows = pd.concat(list(batches)).sort_values("position")
-        for m in rows.itertuples():
-            if m.role == "user":
-                history = [{"position": int(p), "role": r, "content": c} for p, r, c in turns]
-                out.append((key[0], m.position, m.content, user, reply, history))
-                user = m.content
-            elif m.role == "assistant":
-                reply = m.content
-            turns = (turns + [(int(m.position), m.role, m.content)])[-max_messages:]
-        state.update(([t[0] for t in turns], [t[1] for t in turns], [t[2] for t in turns], user, reply))
-        yield pd.DataFrame(
-            out, columns=["conversation_id", "position", "question", "last_user", "last_assistant", "history"]
-        )
-
+        for rows in batches:
+            for m in rows.sort_values("position").itertuples():
+                if m.role == "user":
+                    history = [{"position": int(p), "role": r, "content": c} for p, r, c in turns if p < m.position]
+                    out.append((key[0], m.position, m.content, history))
+                turns = sorted([*turns, (int(m.position), m.role, m.content)], key=lambda t: t[0])[-max_messages:]
+        state.update(tuple([t[i] for t in turns] for i in range(3)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame(out, columns=["conversation_id", "position", "question", "history"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     kept = messages.groupBy("conversation_id").applyInPandasWithState(
-        update, MEMORY_OUT, MEMORY_STATE, "append", GroupStateTimeout.NoTimeout
+        update, MEMORY_OUT, MEMORY_STATE, "append", timeout
     )
+    fitted = conversations.fit_history(F.col("history"))
     return kept.select(
         "conversation_id", "position",
-        conversations.splice(F.col("question"), F.col("last_user"), F.col("last_assistant")).alias("expanded"),
-        F.transform(conversations.fit_history(F.col("history")), lambda t: t.position).alias("kept"),
+        conversations.splice(
+            F.col("question"), conversations.last_said(fitted, "user"), conversations.last_said(fitted, "assistant")
+        ).alias("expanded"),
+        F.transform(fitted, lambda t: t.position).alias("kept"),
     )

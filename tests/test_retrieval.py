@@ -113,9 +113,19 @@ def test_title_search_escapes(spark):
 
 
 def test_metadata_containment(spark):
-    df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": 1}',), ("{}",)], "m string")
+    odd = '{"a.b": 2, "it\'s [0]": true, "n": "1", "q": "say \\"é\\""}'
+    df = spark.createDataFrame([('{"a": 1, "b": "x"}',), ('{"a": 1.0}',), ("{}",), (odd,), (None,)], "m string")
     count = lambda want: df.filter(rt.metadata_contains(F.col("m"), want)).count()
-    assert count({"a": "1"}) == 2 and count({"a": "1", "b": "x"}) == 1 and count({}) == 3
+    assert count({"a": 1}) == 2 and count({"a": 1, "b": "x"}) == 1 and count({}) == 5
+    assert count({"a": "1"}) == 0 and count({"n": 1}) == 0 and count({"n": "1"}) == 1
+    assert count({"a.b": 2}) == 1 and count({"it's [0]": True}) == 1 and count({"it's [0]": False}) == 0 and count({"q": 'say "é"'}) == 1
+
+
+def test_packed_ids_never_collide(spark):
+    pairs = spark.createDataFrame([(0, 1048577), (2**43, 0), (-1, 0)], "d bigint, c bigint")
+    for r in pairs.collect():
+        with pytest.raises(Exception, match="out of range"):
+            pairs.filter(F.col("d") == r.d).select(rt.item_id(F.col("d"), F.col("c"))).collect()
 
 
 def test_tfidf_against_a_plain_definition(spark):
