@@ -14,7 +14,7 @@ from ragframe.session import checkpoint_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Documents are read by Python tasks in batches of this many rows, so that a batch stays a few megabytes.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ DECAY = 1e-4
 THRESHOLD = 0.3
 FOLDS = 5
 # Longer texts are encoded piece by piece, each cut at white space.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def _shapes() -> np.ndarray:
