@@ -18,9 +18,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -30,16 +32,16 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from ragframe.llm.common import texts_of
 from ragframe.llm.mixing import BLOCK, decode_blocks, encode_blocks
 
 FORMAT = "token_blocks"
 SCHEMA = "doc_id long, start long, n_tokens long, ids binary"
 MAGIC = b"TKBLK1\r\n"
-LANES = 1024
+LANES = 2048
 MEMO_WORDS = 400_000
 END_ID = 2
 BATCH_IDS = 1 << 20
+BATCH_BYTES = 16 << 20
 
 
 def _store(path: str):
@@ -75,13 +77,10 @@ class Words:
             return core.lower(), word[len(core) :]
         return word, b""
 
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
+    def _learn(self, words: list[bytes]) -> None:
         if len(self.memo) > MEMO_WORDS:
             self.forget()
-        words = [t.split() for t in texts]
-        new = {w for ws in words for w in ws if w not in self.memo}
-        cut = {w: self._split(w) for w in new}
+        cut = {w: self._split(w) for w in words if w not in self.memo}
         unknown = list({p for pair in cut.values() for p in pair if p and p not in self.parts})
         for at in range(0, len(unknown), 10_000):
             part = unknown[at : at + 10_000]
@@ -89,18 +88,52 @@ class Words:
             self.parts.update((p, e.ids) for p, e in zip(part, encoded, strict=True))
         for w, (core, marks) in cut.items():
             self.memo[w] = self.parts[core] + self.parts[marks] if marks else self.parts[core]
-        memo = self.memo
-        flat, counts = [], np.zeros(len(texts), np.int64)
-        for i, ws in enumerate(words):
-            found = [x for w in ws for x in memo[w]]
-            counts[i] = len(found)
-            flat.append(np.array(found, np.uint32))
-        return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), counts
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); null texts have none."""
+        lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.large_string()).fill_null("")))
+        coded = lists.flatten().dictionary_encode()
+        words = [w.encode() for w in coded.dictionary.to_pylist()]
+        self._learn([w for w in words if w])
+        found = [self.memo[w] if w else () for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        pool = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        index = np.asarray(coded.indices)
+        lengths = sizes[index]
+        ends = np.cumsum(lengths)
+        firsts = (np.cumsum(sizes) - sizes)[index]
+        flat = pool[np.repeat(firsts - (ends - lengths), lengths) + np.arange(len(lengths) and ends[-1])]
+        sums = np.r_[0, ends]
+        offsets = np.asarray(lists.offsets)
+        return flat, sums[offsets[1:] - offsets[0]] - sums[offsets[:-1] - offsets[0]]
+
+
+_LOADED: dict[str, Words] = {}
+
+
+def loaded(path: str) -> Words:
+    """One tokenizer, with the words it remembers, per worker process."""
+    if path not in _LOADED:
+        _LOADED[path] = Words(path)
+    return _LOADED[path]
 
 
 # ---- writing ------------------------------------------------------------------------------------
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about BATCH_BYTES, so that a batch's words repeat."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 @dataclass
 class Shard(WriterCommitMessage):
     order: int
@@ -152,7 +185,7 @@ class Writer(DataSourceArrowWriter):
         self.end = int(options.get("end_id", END_ID))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Shard:
-        words = Words(self.tokenizer)
+        words = loaded(self.tokenizer)
         order = TaskContext.get().partitionId()
         store, root = _store(self.path)
         store.create_dir(root, recursive=True)
@@ -160,8 +193,8 @@ class Writer(DataSourceArrowWriter):
         docs = tokens = 0
         with store.open_output_stream(f"{root}/{name}") as stream:
             out = ShardWriter(stream, words.tokenizer.get_vocab_size())
-            for batch in iterator:
-                ids, counts = words.ids(texts_of(batch.column(1)))
+            for batch in _gathered(iterator):
+                ids, counts = words.ids(batch.column(1))
                 ends = np.cumsum(counts)
                 out.add(np.insert(ids, ends, np.uint32(self.end)))
                 keys = batch.column(0)

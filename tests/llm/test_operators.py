@@ -118,7 +118,7 @@ def test_word_memo_equals_library(rows):
     library, words = Tokenizer.from_file(path), tokenstore.Words(path)
     odd = ["don't stop... they'll", "áb ́x <|endoftext|>now ok<|endoftext|>", "x y z", "ΑΣ. ΣΑΣ,", "3.14%%% a1b2", "'s 's", "Ǆ!", "日本 語。"]
     texts = odd + [r[1] or "" for r in rows]
-    ids, counts = words.ids([t.encode() for t in texts])
+    ids, counts = words.ids(pa.array(texts))
     parts = np.split(ids, np.cumsum(counts)[:-1])
     assert [p.tolist() for p in parts] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
