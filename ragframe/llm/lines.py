@@ -26,8 +26,12 @@ SLOTS = 1 << 18
 # Packed entries per bucket, about.
 BUCKET_ENTRIES = 500_000
 # Candidates tried per word and class before a class meets all others.
-TRIES = 2
+TRIES = 8
+# Classes and words of at most this many rows are broadcast to find what is left.
+FEW = 200_000
 BLOCK = 512
+# Words of at most this many classes are paired without a loop.
+SMALL = 24
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93))
 
@@ -96,7 +100,8 @@ class LineSets:
         counts = _line_counts(texts)
         line, word, _ = words_by_line(texts) if any(texts) else (np.zeros(0, np.int64), np.zeros(0, np.uint64), None)
         seen = rare[(word & np.uint64(SLOTS - 1)).astype(np.int64)] if rare is not None else np.zeros(len(word))
-        order = np.lexsort((word, seen, line))
+        order = np.argsort(word) if rare is None else np.lexsort((word, seen))
+        order = order[np.argsort(line[order].astype(np.uint16 if len(counts) and counts.sum() < 1 << 16 else np.int64), kind="stable")]
         line, word = line[order], word[order]
         new = np.r_[True, (line[1:] != line[:-1]) | (word[1:] != word[:-1])][: len(word)]
         self.word, line = word[new], line[new]
@@ -188,9 +193,23 @@ def earliest(e: dict[str, np.ndarray], similarity: float, tries: int) -> tuple[n
     token = e["token"]
     heads = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)]), len(token)]
     left, right, more = [], [], []
-    for a, b in zip(heads[:-1], heads[1:], strict=True):
-        if b - a < 2:
-            continue
+    sizes = np.diff(heads)
+    for at in range(0, len(sizes), 1 << 16):  # the many words of few lines, all at once
+        own = np.arange(at, min(at + (1 << 16), len(sizes)))
+        own = own[(sizes[own] > 1) & (sizes[own] <= SMALL)]
+        start = np.repeat(heads[:-1][own], sizes[own])
+        place = np.arange(len(start)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
+        x = np.repeat(start + place, place)
+        y = np.repeat(start, place) + np.arange(len(x)) - np.repeat(np.cumsum(place) - place, place)
+        ok = _passes(e, x, y, similarity)
+        x, y = x[ok], y[ok]
+        first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]][: len(x)])
+        rank = np.arange(len(x)) - np.repeat(first, np.diff(np.r_[first, len(x)]))
+        pick = rank <= tries
+        left.append(x[pick])
+        right.append(y[pick])
+        more.append(rank[pick] == tries)
+    for a, b in zip(heads[:-1][sizes > SMALL], heads[1:][sizes > SMALL], strict=True):
         open_rows, found = np.arange(a + 1, b), np.zeros(b - a, np.int64)
         for start in range(a, b - 1, BLOCK):
             open_rows = open_rows[open_rows > start]
@@ -283,19 +302,21 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: st
     firsts = lines.groupBy("key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     equal = lines.join(firsts.select("key", "check", "first"), ["key", "check"]).filter(place != F.col("first")).select("row", "line")
 
-    packed = written(
-        arrow_map(rows.select("id", "text"), lambda b: _entries(b, held.value, buckets, similarity), "bucket long, rows long, data binary"),
-        "entries",
-    )
+    packed = arrow_map(rows.select("id", "text"), lambda b: _entries(b, held.value, buckets, similarity), "bucket long, rows long, data binary")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    tried = written(dealt.mapInArrow(lambda it: _pairs(it, similarity, TRIES), PAIR), "pairs")
-    alike = _verified(rows, tried.drop("more").distinct(), similarity)
-    settled = alike.select("a").distinct()
-    stubborn = tried.filter("more").select("a").distinct().join(settled, "a", "left_anti")
-    stubborn = written(stubborn, "stubborn")
+    found = dealt.mapInArrow(lambda it: _pairs(it, similarity, TRIES), PAIR)
+    tried = written(found.groupBy(*(c for c in found.columns if c != "more")).agg(F.max("more").alias("more")), "pairs")
+    sets = _sets(rows, tried)
+    # Most lines are like the earliest line that they meet; the others are compared with the rest of theirs.
+    nearest = tried.groupBy("a").agg(F.min(F.struct("b_id", "b_line", "b")).alias("e")).select("a", "e.b")
+    alike = written(_similar(nearest, sets, similarity), "alike")
+    rest = written(tried.join(alike, "a", "left_anti"), "rest")
+    alike = alike.unionByName(written(_similar(rest.select("a", "b"), sets, similarity), "alike"))
+    stubborn = written(rest.filter("more").select("a").distinct().join(alike, "a", "left_anti"), "stubborn")
     if not stubborn.isEmpty():
-        alike = alike.unionByName(_verified(rows, _meet_all(packed, stubborn, similarity), similarity))
-    similar = alike.select("a").distinct().join(lines.select(F.col("key").alias("a"), "row", "line"), "a").select("row", "line")
+        pairs = written(_meet_all(packed, stubborn, similarity), "met")
+        alike = alike.unionByName(_similar(pairs.select("a", "b"), _sets(rows, pairs), similarity))
+    similar = alike.distinct().join(lines.select(F.col("key").alias("a"), "row", "line"), "a").select("row", "line")
     marks = equal.unionByName(similar).groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     counted = rows.select(
         "row", F.col("id").alias(id_column),
@@ -308,9 +329,12 @@ def _meet_all(packed: DataFrame, stubborn: DataFrame, similarity: float) -> Data
     """Every pair of a stubborn class and an earlier class that passes the filters."""
     fields = "token long, key long, bitmap long, n int, at int, id long, line int"
     entries = packed.mapInArrow(_unfolded, fields)
-    asked = entries.join(stubborn.withColumnRenamed("a", "key"), "key")
-    x = asked.select(*(F.col(c).alias(f"a_{c}") if c != "token" else F.col(c) for c in entries.columns))
-    y = entries.select(*(F.col(c).alias(f"b_{c}") if c != "token" else F.col(c) for c in entries.columns))
+    keys = stubborn.withColumnRenamed("a", "key")
+    asked = written(entries.join(_hinted(keys), "key"), "asked")
+    tokens = written(asked.select("token").distinct(), "tokens")
+    entries = entries.join(_hinted(tokens), "token", "left_semi")
+    named = lambda side: [F.col(c).alias(f"{side}_{c}") for c, _ in ENTRY if c != "token"]
+    x, y = asked.select("token", *named("a")), entries.select("token", *named("b"))
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     fits = (
         (least <= F.least("a_n", "b_n"))
@@ -323,9 +347,13 @@ def _meet_all(packed: DataFrame, stubborn: DataFrame, similarity: float) -> Data
     ).distinct()
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose word sets, taken from the texts, are similar."""
-    pairs = written(pairs, "candidates")
+def _hinted(rows: DataFrame) -> DataFrame:
+    """Written rows, broadcast only where their number proves them small."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
+def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, words) of the classes in ``pairs``, taken from the texts."""
     ends = pairs.select("a_id", "a_line", "a").unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("b_line").alias("a_line"), F.col("b").alias("a")))
     wanted = ends.distinct().groupBy("a_id").agg(F.collect_set("a_line").alias("lines"))
 
@@ -343,14 +371,17 @@ def _verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
         )
 
     known = rows.select(F.coalesce("id", F.lit(-(2**63))).alias("a_id"), "text").join(wanted, "a_id").select("text", "lines")
-    words = written(arrow_map(known, sets, "key long, words array<long>").dropDuplicates(["key"]), "sets")
+    return written(arrow_map(known, sets, "key long, words array<long>").dropDuplicates(["key"]), "sets")
+
+
+def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """The classes ``a`` of the pairs whose word sets are similar."""
     joined = (
-        pairs.select("a", "b").distinct()
-        .join(words.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
+        pairs.join(words.select(F.col("key").alias("a"), F.col("words").alias("x")), "a")
         .join(words.select(F.col("key").alias("b"), F.col("words").alias("y")), "b")
     )
     common = F.size(F.array_intersect("x", "y"))
-    return joined.filter(common >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.size("x") + F.size("y")) - 1e-9)).select("a", "b")
+    return joined.filter(common >= F.ceil(F.lit(similarity / (1 + similarity)) * (F.size("x") + F.size("y")) - 1e-9)).select("a").distinct()
 
 
 def drop_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id") -> DataFrame:
