@@ -8,7 +8,9 @@ ones are remembered.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,9 @@ from ragframe.llm.common import arrow_map
 SPACE = "▁"
 # Fixed value: what an uncovered character costs below the least score of the pieces.
 UNKNOWN_PENALTY = 10.0
-# Segments up to this length are remembered, this many at most.
+# Segments up to this length are remembered, twice this many at most.
 MEMO_CHARS = 40
-MEMO_SEGMENTS = 300_000
+MEMO_SEGMENTS = 150_000
 # Uncommitted characters between two looks for a common boundary.
 LOOK = 64
 FEED = 1 << 16
@@ -42,7 +44,7 @@ class Pieces:
         self.text: list[str] = [""] * n
         self.byte_of = [-1] * n
         self.unknown = model.unk_id()
-        scores = {}
+        scores: dict[str, tuple[float, int]] = {}
         for i, name in enumerate(self.names):
             if model.is_byte(i):
                 self.bytes[int(name[1:-1], 16)] = i
@@ -52,15 +54,26 @@ class Pieces:
                 self.text[i] = name.replace(SPACE, " ")
         self.longest = max(map(len, scores), default=1)
         self.worst = min((s for s, _ in scores.values()), default=0.0) - UNKNOWN_PENALTY
-        # Every prefix of a piece is a key, so that a search knows when no longer piece can follow.
-        self.table: dict[str, tuple[float, int] | None] = dict(scores)
-        for name in scores:
-            for i in range(1, len(name)):
-                self.table.setdefault(name[:i], None)
+        self.scores = scores
+        # No piece crosses between two characters that stand side by side in none.
+        self.side_by_side = {name[i : i + 2] for name in scores for i in range(len(name) - 1)}
         # Boundaries before a space are final if no piece has a space behind another character.
         self.splits = not any(b == SPACE and a != SPACE for name in scores for a, b in zip(name, name[1:], strict=False))
         self.line_alone = not any("\n" in name for name in scores)
+        # What was looked up lately, and before that.
         self.memo: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
+
+    @cached_property
+    def root(self) -> list:
+        """A trie of the pieces: nodes are [next nodes by character, score and id of the piece that ends here]."""
+        top: list = [{}, None, -1]
+        for name, entry in self.scores.items():
+            node = top
+            for char in name:
+                node = node[0].setdefault(char, [{}, None, -1])
+            node[1:] = entry
+        return top
 
     def char_ids(self, char: str) -> list[int]:
         ids = [self.bytes[b] for b in char.encode("utf-8")]
@@ -70,7 +83,7 @@ class Pieces:
 
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of the best segmentation of the concatenated ``chunks``, in lists that are final when they leave."""
-        table, longest, worst = self.table, self.longest, self.worst
+        root, longest, worst = self.root, self.longest, self.worst
         text, at = "", 0  # text from the last common boundary on; start being extended
         best: list[float | None] = [0.0]
         back: list[tuple[int, int]] = [(0, -1)]
@@ -90,15 +103,17 @@ class Pieces:
             while at < stop:
                 base = best[at]
                 single = False
-                for to in range(at + 1, min(len(text), at + longest) + 1):
-                    entry = table.get(text[at:to], False)
-                    if entry is False:
+                node, to = root, at
+                for char in text[at : at + longest]:
+                    node = node[0].get(char)
+                    if node is None:
                         break
-                    if entry is not None:
+                    to += 1
+                    if node[1] is not None:
                         single = single or to == at + 1
-                        total = base + entry[0]
+                        total = base + node[1]
                         if best[to] is None or total > best[to]:
-                            best[to], back[to] = total, (at, entry[1])
+                            best[to], back[to] = total, (at, node[2])
                 if not single:
                     total = base + worst
                     if best[at + 1] is None or total > best[at + 1]:
@@ -138,13 +153,41 @@ class Pieces:
         if len(part) > MEMO_CHARS:
             feed = (part[i : i + FEED] for i in range(0, len(part), FEED))
             return [i for ids in self.stream(feed) for i in ids]
-        found = self.memo.get(part)
+        found = self.memo.get(part) or self.older.get(part)
         if found is None:
-            if len(self.memo) >= MEMO_SEGMENTS:
-                self.memo.clear()
-            found = self.memo[part] = [i for ids in self.stream((part,)) for i in ids]
+            # Letters after the first sign: few such words hold a pair that no piece has, so none is looked for.
+            if not part[1:].isalpha() and not all(part[i : i + 2] in self.side_by_side for i in range(len(part) - 1)):
+                cuts = [0, *(i + 1 for i in range(len(part) - 1) if part[i : i + 2] not in self.side_by_side), len(part)]
+                found = [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self.segment(part[a:b])]
+            else:
+                found = self.window(part)
+        if len(self.memo) >= MEMO_SEGMENTS:
+            self.memo, self.older = {}, self.memo
+        self.memo[part] = found
         return found
 
+    def window(self, text: str) -> list[int]:
+        """The search over a text that lies between final boundaries and fits one window: ids leave at its end."""
+        n, root, longest = len(text), self.root, self.longest
+        best, back = [0.0] + [-math.inf] * n, [(0, -1)] * (n + 1)
+        for at in range(n):
+            base, to = best[at], at
+            kids, single = root[0], False
+            for char in text[at : at + longest]:
+                node = kids.get(char)
+                if node is None:
+                    break
+                kids, score, piece = node
+                to += 1
+                if score is not None:
+                    if to == at + 1:
+                        single = True
+                    if base + score > best[to]:
+                        best[to], back[to] = base + score, (at, piece)
+            if not single and base + self.worst > best[at + 1]:
+                best[at + 1], back[at + 1] = base + self.worst, (at, -1)
+        return self._ids(text, n, back)
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text, which is not normalised but for a leading space and the space mark; none for no text."""
         if not text:
@@ -154,7 +197,6 @@ class Pieces:
         out: list[int] = []
         lines = text.split("\n") if self.line_alone else [text]
         line_end = self.char_ids("\n")
-        memo = self.memo
         for k, line in enumerate(lines):
             if k:
                 out += line_end
@@ -163,8 +205,8 @@ class Pieces:
             head = SPACE if k == 0 else ""
             for w in words:
                 if w:
-                    part = held + head + w
-                    out += memo.get(part) or self.segment(part)
+                    part = held + head + w if held else head + w
+                    out += self.memo.get(part) or self.segment(part)
                     held = ""
                 else:
                     held += head
