@@ -11,7 +11,7 @@ class that passes the filters; only classes whose earliest candidates prove unli
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,15 +65,19 @@ def _line_counts(texts: list[bytes]) -> np.ndarray:
     return np.array([t.count(b"\n") + 1 if t else 0 for t in texts], np.int64)
 
 
-def rarity(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words by hashed slot over all of ``docs``: SLOTS numbers, whatever the corpus."""
+def _word_hashes(texts: list[bytes]) -> np.ndarray:
+    return words_by_line(texts)[1]
+
+
+def rarity(docs: DataFrame, hashes: Callable[[list[bytes]], np.ndarray] = _word_hashes) -> np.ndarray:
+    """Occurrences of words, or of other ``hashes``, by slot over all of ``docs``: SLOTS numbers, whatever the corpus."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for batch in batches:
             texts = texts_of(batch.column(0))
             if any(texts):
-                total += np.bincount((words_by_line(texts)[1] & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+                total += np.bincount((hashes(texts) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         parts = total.reshape(64, -1)
         yield pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array([p.tobytes() for p in parts])], names=["part", "counts"])
 
