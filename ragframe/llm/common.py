@@ -51,9 +51,13 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | N
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """``(row, doc)``: the rows of ``docs`` as structs, so that no name of theirs can clash, and their numbers."""
+    """``(row, doc)``: the rows of ``docs`` as structs, so that no name of theirs can clash, and their numbers.
+
+    The table is written once. Numbers follow the splits of a scan, which change with the executors that are there
+    when it runs, so jobs that number the rows anew cannot be joined by them.
+    """
     fields = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*fields).alias("doc"))
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*fields).alias("doc")), "rows")
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -69,10 +69,16 @@ def _covered(hits: Column) -> Column:
 def scan(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """One row per row of ``docs``: (row, id_column, n_words, n_hit, n_items, items, contaminated, hits).
 
-    ``row`` numbers the rows of ``docs`` as monotonically_increasing_id does. ``items`` holds the sorted ids of
-    the items with a window in the text, ``hits`` the (start, length) of each occurrence. Null texts and texts
-    without words are clean. Rows that repeat an id, and repeated items, are judged one by one.
+    ``row`` tells the rows of one result apart; another scan of ``docs`` may number them otherwise. ``items`` holds
+    the sorted ids of the items with a window in the text, ``hits`` the (start, length) of each occurrence. Null texts
+    and texts without words are clean. Rows that repeat an id, and repeated items, are judged one by one.
     """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), "text")
+    return _scan(rows, items, id_column, window)
+
+
+def _scan(rows: DataFrame, items: DataFrame, id_column: str, window: int = WINDOW) -> DataFrame:
+    """``scan`` of ``rows(row, id, text)``."""
     bench = written(benchmark_windows(items, window), "windows")
     sets = bench.select("length", "window").distinct().withColumn("window_id", F.xxhash64("length", "window"))
     size = bench.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
@@ -81,13 +87,13 @@ def scan(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", window: i
     lengths = sorted(r[0] for r in bench.select("length").distinct().collect())  # at most ``window`` numbers
 
     sentinel = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("window")))
-    worded = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("id"), words_of(F.col("text")).alias("words")
-    ).select("row", "id", F.size("words").cast("long").alias("n_words"), "words")
-    rows = worded.select(
+    worded = rows.select("row", "id", words_of(F.col("text")).alias("words")).select(
+        "row", "id", F.size("words").cast("long").alias("n_words"), "words"
+    )
+    windows = worded.select(
         "row", "id", "n_words", F.inline(F.concat(sentinel, *[_windows(F.col("words"), n) for n in lengths]))
     )
-    found = rows.join(hinted(sets.drop("length")), "window", "left").filter("window_id is not null or start < 0")
+    found = windows.join(hinted(sets.drop("length")), "window", "left").filter("window_id is not null or start < 0")
     real = F.col("window_id").isNotNull()
     per_row = written(
         found.groupBy("row", "id", "n_words").agg(
@@ -114,16 +120,21 @@ def scan(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", window: i
     )
 
 
+def _fields(rows: DataFrame, id_column: str) -> DataFrame:
+    return rows.select("row", F.col("doc")[id_column].alias("id"), F.col("doc.text").alias("text"))
+
+
 def drop_documents(docs: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` without its contaminated rows, columns unchanged."""
-    bad = scan(docs, items, id_column).filter("contaminated").select("row")
-    return numbered(docs).join(bad, "row", "left_anti").select("doc.*")
+    rows = numbered(docs)
+    bad = _scan(_fields(rows, id_column), items, id_column).filter("contaminated").select("row")
+    return rows.join(bad, "row", "left_anti").select("doc.*")
 
 
 def drop_spans(docs: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """``docs`` with hit words, and what stands before each of them, cut from ``text``; other rows are unchanged."""
-    hits = written(scan(docs, items, id_column).filter("n_hit > 0").select("row", "hits"), "spans")
     rows = numbered(docs)
+    hits = written(_scan(_fields(rows, id_column), items, id_column).filter("n_hit > 0").select("row", "hits"), "spans")
     pieces = rows.join(hits, "row").select(
         "row", F.posexplode(F.regexp_extract_all("doc.text", F.lit(PIECE), F.lit(0))).alias("at", "piece")
     )

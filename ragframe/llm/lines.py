@@ -280,16 +280,21 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id") -> DataFrame:
     """(row, id_column, n_lines, removed) per row of ``docs``; ``removed`` lists line numbers from 0, ascending.
 
-    ``row`` numbers the rows as monotonically_increasing_id does. Lines are what stands between line feeds. A line
+    ``row`` tells the rows of one result apart; another scan of ``docs`` may number them otherwise. Lines are what stands between line feeds. A line
     with a word goes if a line with a smaller (id, line number) has the same word set, or one whose Jaccard
     similarity is ``similarity`` or more; what that line's own fate is does not matter. Null ids count as smallest.
     Of rows that repeat an id, equal lines at one number keep one, and ties of similar lines go by hash. Null and
     empty texts have no lines; lines without a word stay. ``id_column`` is a whole number.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("id"), "text")
-    rare = rarity(docs)
+    return _removed(numbered(docs.select(id_column, "text")), similarity, id_column)
+
+
+def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame:
+    """``removed_lines`` of ``numbers(row, doc)``, a written table that every job reads."""
+    rows = numbers.select("row", F.col("doc")[id_column].cast("long").alias("id"), F.col("doc.text").alias("text"))
+    rare = rarity(rows)
     buckets = max(16, int(rare.sum()) // 5 // BUCKET_ENTRIES)
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     held = spark.sparkContext.broadcast(rare)  # SLOTS numbers
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -390,10 +395,11 @@ def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame
 
 def drop_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str = "doc_id") -> DataFrame:
     """``docs`` without the removed lines, columns unchanged; documents that lose every line with a word go."""
-    marks = removed_lines(docs, similarity, id_column).filter(F.size("removed") > 0).select("row", "removed")
+    rows = numbered(docs)
+    marks = _removed(rows, similarity, id_column).filter(F.size("removed") > 0).select("row", "removed")
     parts = F.split("doc.text", "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
     kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
     fresh = F.col("doc").withField("text", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept))
-    cut = numbered(docs).join(marks, "row", "left").select("removed", fresh.alias("doc"))
+    cut = rows.join(marks, "row", "left").select("removed", fresh.alias("doc"))
     return cut.filter(F.col("removed").isNull() | F.col("doc.text").rlike(r"[^\x20\x09-\x0D]")).select("doc.*")
