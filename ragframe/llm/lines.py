@@ -6,7 +6,8 @@ and pairs are dropped by their lengths, by the places of the shared word, and by
 difference from below, before the sets themselves are compared. A line goes if an earlier line is equal or similar.
 
 Equal sets are one class, so that repeated lines never pair up. At a word, each class is paired with the earliest
-class that passes the filters; only classes whose earliest candidates prove unlike meet all the others.
+class that passes the filters; only classes whose earliest candidates prove unlike meet all the others. A word of many
+classes is dealt in parts, and a class there that finds nothing like it in its own part meets the other parts as well.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ SIMILARITY = 0.8
 SLOTS = 1 << 18
 # Packed entries per bucket, about.
 BUCKET_ENTRIES = 500_000
+# Prefix entries of one word in one task, about; words of more are dealt in parts by class.
+WORD_ENTRIES = 500_000
 # Candidates tried per word and class before a class meets all others.
 TRIES = 8
 # Classes and words of at most this many rows are broadcast to find what is left.
@@ -146,8 +150,30 @@ def _unpack(data: bytes, rows: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _entries(batch: pa.RecordBatch, rare: np.ndarray, buckets: int, similarity: float) -> pa.RecordBatch | None:
-    """(id, text) -> per bucket, the packed prefix entries of the batch's earliest line of every class."""
+def _prefix_words(texts: list[bytes], rare: np.ndarray, similarity: float) -> np.ndarray:
+    """The prefix words of the batch's classes, as ``_entries`` deals them."""
+    sets = LineSets(texts, rare)
+    keep = np.unique(sets.key, return_index=True)[1]
+    n = sets.size[keep]
+    prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
+    rows = np.repeat(np.arange(len(keep)), prefix)
+    return sets.word[sets.first[keep][rows] + np.arange(len(rows)) - np.repeat(np.cumsum(prefix) - prefix, prefix)]
+
+
+def word_parts(docs: DataFrame, rare: np.ndarray, similarity: float) -> np.ndarray:
+    """By slot of the word: in how many parts its prefix entries are dealt."""
+    if rare.max() <= WORD_ENTRIES:  # a word has no more entries than occurrences
+        return np.ones(SLOTS, np.int64)
+    held = docs.sparkSession.sparkContext.broadcast(rare)  # SLOTS numbers
+    counts = rarity(docs, lambda texts: _prefix_words(texts, held.value, similarity))
+    return np.maximum(1, -(-counts // WORD_ENTRIES))
+
+
+def _entries(batch: pa.RecordBatch, rare: np.ndarray, buckets: int, parts: np.ndarray, similarity: float) -> pa.RecordBatch | None:
+    """(id, text) -> per bucket, the packed prefix entries of the batch's earliest line of every class.
+
+    Parts of divided words have the buckets from ``buckets`` on, one each.
+    """
     sets = LineSets(texts_of(batch.column(1)), rare)
     if not len(sets.first):
         return None
@@ -160,6 +186,11 @@ def _entries(batch: pa.RecordBatch, rare: np.ndarray, buckets: int, similarity:
     at = np.arange(len(rows)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     word = sets.word[sets.first[keep][rows] + at]
     of = ((word >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    slot = (word & np.uint64(SLOTS - 1)).astype(np.int64)
+    split = parts[slot] > 1
+    own = (sets.key[keep][rows][split] % parts[slot[split]].astype(np.uint64)).astype(np.int64)
+    extra = np.where(parts > 1, parts, 0)
+    of[split] = buckets + (np.cumsum(extra) - extra)[slot[split]] + own
     cut = np.argsort(of, kind="stable")
     columns = {
         "token": (word & np.uint64(0xFFFFFFFF))[cut], "key": sets.key[keep][rows][cut], "bitmap": sets.bitmap[keep][rows][cut],
@@ -247,22 +278,30 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for b, rows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b != bucket and held:
-                yield _merged(held)
+                yield bucket, _merged(held)
                 held = []
             bucket = b
             held.append((rows, data))
     if held:
-        yield _merged(held)
+        yield bucket, _merged(held)
 
 
 PAIR = "a long, a_id long, a_line int, b long, b_id long, b_line int, more boolean"
 
 
-def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, tries: int) -> Iterator[pa.RecordBatch]:
-    for e in _by_bucket(batches):
+def _pairs(batches: Iterator[pa.RecordBatch], similarity: float, tries: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Candidates; in a part of a divided word every class has more, and one without candidates comes with a null ``b``."""
+    for bucket, e in _by_bucket(batches):
+        side = lambda i: [pa.array(e["key"][i].view(np.int64)), pa.array(e["id"][i]), pa.array(e["line"][i].astype(np.int32))]  # noqa: E731, B023
         x, y, more = earliest(e, similarity, tries)
+        if bucket >= buckets:
+            more = np.ones(len(x), bool)
+            alone = np.setdiff1d(np.arange(len(e["key"])), x)
+            none = [pa.nulls(len(alone), t) for t in (pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays(
+                [*side(alone), *none, pa.array(np.ones(len(alone), bool))], names=["a", "a_id", "a_line", "b", "b_id", "b_line", "more"]
+            )
         if len(x):
-            side = lambda i: [pa.array(e["key"][i].view(np.int64)), pa.array(e["id"][i]), pa.array(e["line"][i].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
                 [*side(x), *side(y), pa.array(more)], names=["a", "a_id", "a_line", "b", "b_id", "b_line", "more"]
             )
@@ -294,7 +333,7 @@ def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame
     rows = numbers.select("row", F.col("doc")[id_column].cast("long").alias("id"), F.col("doc.text").alias("text"))
     rare = rarity(rows)
     buckets = max(16, int(rare.sum()) // 5 // BUCKET_ENTRIES)
-    spark = rows.sparkSession
+    spark, tries = rows.sparkSession, TRIES
     held = spark.sparkContext.broadcast(rare)  # SLOTS numbers
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -311,19 +350,22 @@ def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame
     firsts = lines.groupBy("key", "check").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
     equal = lines.join(firsts.select("key", "check", "first"), ["key", "check"]).filter(place != F.col("first")).select("row", "line")
 
-    packed = arrow_map(rows.select("id", "text"), lambda b: _entries(b, held.value, buckets, similarity), "bucket long, rows long, data binary")
+    parts = word_parts(rows, rare, similarity)
+    packed = _packed(rows, held, buckets, parts, similarity)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(lambda it: _pairs(it, similarity, TRIES), PAIR)
-    tried = written(found.groupBy(*(c for c in found.columns if c != "more")).agg(F.max("more").alias("more")), "pairs")
+    found = dealt.mapInArrow(lambda it: _pairs(it, similarity, tries, buckets), PAIR)
+    found = written(found.groupBy(*(c for c in found.columns if c != "more")).agg(F.max("more").alias("more")), "pairs")
+    tried, alone = found.filter("b is not null"), found.filter("b is null").select("a")
     sets = _sets(rows, tried)
     # Most lines are like the earliest line that they meet; the others are compared with the rest of theirs.
     nearest = tried.groupBy("a").agg(F.min(F.struct("b_id", "b_line", "b")).alias("e")).select("a", "e.b")
     alike = written(_similar(nearest, sets, similarity), "alike")
     rest = written(tried.join(alike, "a", "left_anti"), "rest")
     alike = alike.unionByName(written(_similar(rest.select("a", "b"), sets, similarity), "alike"))
-    stubborn = written(rest.filter("more").select("a").distinct().join(alike, "a", "left_anti"), "stubborn")
+    unsure = rest.filter("more").select("a").unionByName(alone).distinct()
+    stubborn = written(unsure.join(alike, "a", "left_anti"), "stubborn")
     if not stubborn.isEmpty():
-        pairs = written(_meet_all(packed, stubborn, similarity), "met")
+        pairs = written(_meet_all(packed, stubborn, parts, similarity), "met")
         alike = alike.unionByName(_similar(pairs.select("a", "b"), _sets(rows, pairs), similarity))
     similar = alike.distinct().join(lines.select(F.col("key").alias("a"), "row", "line"), "a").select("row", "line")
     marks = equal.unionByName(similar).groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
@@ -334,7 +376,14 @@ def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame
     return counted.join(marks, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
-def _meet_all(packed: DataFrame, stubborn: DataFrame, similarity: float) -> DataFrame:
+def _packed(rows: DataFrame, rare: Broadcast, buckets: int, parts: np.ndarray, similarity: float) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast(parts)  # SLOTS numbers
+    return arrow_map(
+        rows.select("id", "text"), lambda b: _entries(b, rare.value, buckets, held.value, similarity), "bucket long, rows long, data binary"
+    )
+
+
+def _meet_all(packed: DataFrame, stubborn: DataFrame, parts: np.ndarray, similarity: float) -> DataFrame:
     """Every pair of a stubborn class and an earlier class that passes the filters."""
     fields = "token long, key long, bitmap long, n int, at int, id long, line int"
     entries = packed.mapInArrow(_unfolded, fields)
@@ -343,7 +392,14 @@ def _meet_all(packed: DataFrame, stubborn: DataFrame, similarity: float) -> Data
     tokens = written(asked.select("token").distinct(), "tokens")
     entries = entries.join(_hinted(tokens), "token", "left_semi")
     named = lambda side: [F.col(c).alias(f"{side}_{c}") for c, _ in ENTRY if c != "token"]
-    x, y = asked.select("token", *named("a")), entries.select("token", *named("b"))
+    # A divided word's entries are dealt by class here too; those that ask go to all of its parts.
+    split = packed.sparkSession.createDataFrame(
+        [(int(s), int(parts[s])) for s in np.flatnonzero(parts > 1)], "slot long, parts long"
+    )  # no more rows than entries / WORD_ENTRIES
+    dealt = lambda df: df.withColumn("slot", F.col("token").bitwiseAND(SLOTS - 1)).join(F.broadcast(split), "slot", "left")
+    n = F.coalesce("parts", F.lit(1))
+    x = dealt(asked).select("token", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("part"), *named("a"))
+    y = dealt(entries).select("token", F.pmod("key", n).alias("part"), *named("b"))
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     fits = (
         (least <= F.least("a_n", "b_n"))
@@ -351,7 +407,7 @@ def _meet_all(packed: DataFrame, stubborn: DataFrame, similarity: float) -> Data
         & (F.bit_count(F.col("a_bitmap").bitwiseXOR(F.col("b_bitmap"))) <= F.col("a_n") + F.col("b_n") - 2 * least)
         & (F.struct("b_id", "b_line", "b_key") < F.struct("a_id", "a_line", "a_key"))
     )
-    return x.join(y, "token").filter(fits).select(
+    return x.join(y, ["token", "part"]).filter(fits).select(
         F.col("a_key").alias("a"), "a_id", "a_line", F.col("b_key").alias("b"), "b_id", "b_line"
     ).distinct()
 
