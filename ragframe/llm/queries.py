@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import decontaminate, lines, pieces, quality, simhash, substrings, suffixes, tokenstore, topk, urls
+from ragframe.llm import codes, decontaminate, lines, pieces, quality, repair, simhash, substrings, suffixes, tokenstore, topk, urls
 from ragframe.llm.common import BATCH_ROWS, shared_path, table
 from ragframe.session import pin_session
 
@@ -191,3 +192,172 @@ def op10_quality_classifier(spark, root):
     model = quality.train(docs, table(spark, root, "labels"))
     held = quality.held_out(F.col("doc_id")).alias("held_out")
     return quality.score(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
+
+
+@query
+def op11_vector_codes(spark, root):
+    coded, books = codes.compress(table(spark, root, "embeddings"))
+    digest = hashlib.sha256(books.text().encode()).hexdigest()
+    return codes.label_errors(coded).select(
+        "doc.vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256")
+    )
+
+
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    nearest = """
+a{r} AS MATERIALIZED (
+  SELECT vec_id, p, any_value(label) AS label, any_value(x) AS x,
+         min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), 'i': i}}) AS m
+  FROM v JOIN b{r} USING (p) GROUP BY vec_id, p
+)"""
+    mean = """
+s{r} AS (SELECT p, m.i AS i, generate_subscripts(x, 1) AS pos, CAST(unnest(x) AS BIGINT) AS x FROM a{r}),
+m{r} AS (SELECT p, i, pos, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM s{r} GROUP BY ALL),
+f{r} AS (SELECT p, i, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY pos) AS c FROM m{r} GROUP BY ALL),
+b{next} AS MATERIALIZED (SELECT b.p, b.i, coalesce(f.c, b.c) AS c FROM b{r} b LEFT JOIN f{r} f ON f.p = b.p AND f.i = b.i)"""
+    steps = [nearest.format(r=0)]
+    for r in range(rounds):
+        steps += [mean.format(r=r, next=r + 1), nearest.format(r=r + 1)]
+    return f"""
+WITH w AS (
+  SELECT vec_id, label, [floor({scale} * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+v AS MATERIALIZED (
+  SELECT vec_id, label, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS x FROM w, range({parts}) t(p)
+),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, x AS c FROM v
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}
+),{",".join(steps)},
+coded AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(m.i AS INTEGER)), '' ORDER BY p) AS code,
+         CAST(sum(m.d) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id
+),
+books AS (
+  SELECT sha256(string_agg(CAST(CAST(x AS BIGINT) AS VARCHAR), ',' ORDER BY p, i, pos)) AS digest
+  FROM (SELECT p, i, generate_subscripts(c, 1) AS pos, unnest(c) AS x FROM b{rounds})
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+FROM coded, books
+"""
+
+
+ORACLES["op11_vector_codes"] = _codes_sql(parts=4, entries=256, rounds=4, scale=1024)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows with the faults that the query repairs, chosen by a checksum of conversation and turn."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    fault = (F.crc32(key) % 20).alias("fault")
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), fault)
+    text = F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    return rows.filter("fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query
+def op12_conversation_repair(spark, root):
+    rows = table(spark, root, "conversations")
+    found = repair.repair_digests(damaged(rows))
+    none = hashlib.sha256(b"").hexdigest()
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(none)).alias("repaired_sha256"))
+
+
+def _repair_sql() -> str:
+    def add(way: str, cost: str, edit: str) -> str:
+        return f"(lpad(CAST(CAST({way}[1:8] AS INTEGER) + {cost} AS VARCHAR), 8, '0') || {way}[9:] || '{edit}')"
+
+    gone, cut = "blank OR again", "(CASE WHEN cut THEN 1 ELSE 0 END)"
+    def taken(way: str, initial: str) -> str:
+        return (f"CASE WHEN {gone} THEN NULL WHEN initial = '{initial}' THEN {add(way, cut, 'K')} "
+                f"ELSE {add(way, '2 + ' + cut, 'R')} END")
+
+    inserted = ", ".join([
+        "w0", "w1", f"least(w2, {add('w0', '2', 'I')}, {add('w1', '2', 'I')}, {add('w3', '2', 'I')}) AS i2", "w3"])
+    return f"""
+WITH RECURSIVE bits AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM range(256) r(i))
+),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ord(x) AS BIGINT) FOR x IN string_split(
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')],
+           lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 20 AS fault
+  FROM conversations, bits
+),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+         CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, range(2) c(copy) WHERE fault <> 0 AND (copy = 0 OR fault = 3)
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+         NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, substr(role, 1, 1) AS initial
+  FROM damaged
+),
+marked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen FROM placed),
+r AS MATERIALIZED (
+  SELECT *, seen AND NOT blank AS again, NOT blank AND NOT seen AND NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM marked
+),
+way(conv_id, i, w0, w1, w2, w3) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '00000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM r
+  UNION ALL
+  SELECT conv_id, i,
+         {add('w0', '3', 'D')},
+         least({add('w1', '3', 'D')}, CASE WHEN initial = 's' AND NOT ({gone}) THEN {add('w0', cut, 'K')} END),
+         least({add('i2', '3', 'D')}, {taken('w0', 'u')}, {taken('w1', 'u')}, {taken('i3', 'u')}),
+         least({add('i3', '3', 'D')}, {taken('i2', 'a')})
+  FROM (
+    SELECT *, least(w3, {add('i2', '2', 'I')}) AS i3 FROM (
+      SELECT r.conv_id, r.i, initial, blank, again, cut, {inserted}
+      FROM way JOIN r ON r.conv_id IS NOT DISTINCT FROM way.conv_id AND r.i = way.i + 1)
+  )
+),
+best AS (
+  SELECT conv_id, least(w0, w3, {add('i2', '2', 'I')}) AS w FROM (
+    SELECT way.conv_id, {inserted} FROM way JOIN (SELECT DISTINCT conv_id, n FROM r) e
+      ON e.conv_id IS NOT DISTINCT FROM way.conv_id AND e.n = way.i)
+),
+steps AS (
+  SELECT conv_id, j, w[8 + j] AS edit, CAST(len(replace(w[9 : 8 + j], 'I', '')) AS BIGINT) AS i
+  FROM (SELECT *, unnest(range(1, len(w) - 7)) AS j FROM best)
+),
+lines AS (
+  SELECT s.conv_id, s.j, s.edit, CASE WHEN s.edit = 'I' THEN '' ELSE r.text END AS text, r.role,
+         row_number() OVER (PARTITION BY s.conv_id ORDER BY s.j) AS k
+  FROM steps s LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i WHERE s.edit <> 'D'
+),
+shaped AS (
+  SELECT *, k - CAST(max(CASE WHEN k = 1 AND edit = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS BIGINT) AS p FROM lines
+),
+mended AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN p % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS body
+  FROM shaped GROUP BY conv_id
+),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+         count(*) FILTER (again) AS duplicate, count(*) FILTER (cut) AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(w[1:8], '0') AS BIGINT) AS cost,
+       coalesce(w[9:], '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN counted ON counted.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN mended ON mended.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+ORACLES["op12_conversation_repair"] = _repair_sql()
