@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragframe.llm import codes, decontaminate, lines, pieces, quality, repair, simhash, substrings, suffixes, tokenstore, topk, urls
+from ragframe.llm import codes, decontaminate, lines, minhash, pieces, quality, repair, simhash, substrings, suffixes, tokenstore, topk, urls
 from ragframe.llm.common import BATCH_ROWS, shared_path, table
 from ragframe.session import pin_session
 
@@ -361,3 +361,35 @@ LEFT JOIN mended ON mended.conv_id IS NOT DISTINCT FROM c.conv_id
 
 
 ORACLES["op12_conversation_repair"] = _repair_sql()
+
+
+@query
+def op13_minhash(spark, root):
+    out = minhash.near_duplicates(table(spark, root, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+ORACLES["op13_minhash"] = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, hash(sh) AS h, sh FROM (
+    SELECT doc_id, array_to_string(w[i + 1 : i + 5], ' ') AS sh
+    FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)
+  )
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS MATERIALIZED (
+  SELECT c.a, c.b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.h = y.h AND x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL
+  ) c JOIN n p ON p.doc_id = c.a JOIN n q ON q.doc_id = c.b WHERE 100 * c.c >= 85 * (p.n + q.n - c.c)
+),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM step UNION SELECT r.a, s.b FROM reach r JOIN step s ON s.a = r.b),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id,
+       d.doc_id <= coalesce(l.b, d.doc_id) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
+"""
