@@ -6,9 +6,10 @@ as bit planes: two signatures agree at as many places as their planes differ now
 chance once in 2^BITS, similarity is estimated as (agreement - chance) / (1 - chance). Candidates whose agreement a pair
 of the least similarity would almost never fall short of are verified on the whole sets.
 
-Equal sets are one class from the start. In a bucket the first class, the one of the least id, meets all others; then
-classes that are still in different components meet their nearest by estimate, until that links nothing new; what is
-left meets in tiles. So a group of copies costs as much as it has members, and no pair of different sets is lost.
+Equal sets are one class from the start. In a bucket the first class, the one of the least id, meets all others. Classes
+that this leaves in different components are clustered by their candidate pairs, of which a task returns a forest, and
+each cluster's texts meet once, in tiles, where candidates are compared until they are known to be linked or not. So
+a group of copies costs as much as it has members, rows never grow with its pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ragframe.llm.common import arrow_map, numbered, texts_of, written
 from ragframe.llm.components import connected_components
 from ragframe.llm.shingles import shingle_hashes
+from ragframe.llm.simhash import Labels
 
 SHINGLE = 5
 PERCENT = 85
@@ -34,11 +36,10 @@ ROWS = 4
 BANDS = 24
 # Odds that a pair of the least similarity agrees at fewer places than are asked for.
 MISS = 1e-8
-# Members of a bucket compared in one task, and pairs verified against one copy of a document.
+# Members and shingles of a tile (a task compares two), and pairs verified against one copy of a document.
 TILE = 4_000
+TILE_SHINGLES = 1_000_000
 SALT = 1_000
-# Nearest members, by estimate, that a member is verified with at a time.
-NEAREST = 4
 # Documents looked up by a broadcast list of at most this many row numbers.
 FEW = 500_000
 _WORDS = MINIMA // 64
@@ -152,14 +153,18 @@ def _close(percent: int, n: Column, m: Column, x: Column, y: Column) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (total <= MINIMA - least_agreement(percent))
 
 
+def _hinted(rows: DataFrame) -> DataFrame:
+    """Written rows, broadcast only where their number proves them small."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of row numbers whose whole sets are similar enough.
 
     A document streams past the copies of the one it is compared with, which is dealt anew for every SALT pairs.
     """
     ends = written(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct(), "ends")
-    ends = F.broadcast(ends) if ends.count() <= FEW else ends
-    bodies = written(rows.select("row", "text").join(ends, "row"), "bodies")
+    bodies = written(rows.select("row", "text").join(_hinted(ends), "row"), "bodies")
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     dealt = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), "b")
     members = dealt.join(bodies.withColumnRenamed("row", "b"), "b").select("a", "salt", "b", "text")
@@ -194,65 +199,118 @@ def _verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> Da
     return written(side.mapInArrow(run, "a long, b long"), "links")
 
 
-def _near(rows: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, nearest: int | None, percent: int):
-    """Candidate pairs of one bucket or tile between different components; of each member the ``nearest``, or all."""
-    least, left, right = least_agreement(percent), [], []
-    for at in range(0, len(rows), 256):
-        block = slice(at, at + 256)
-        agree = agreement(sigs[block][:, None, :], sigs[None, :, :])
-        small, large = np.minimum(sizes[block][:, None], sizes[None, :]), np.maximum(sizes[block][:, None], sizes[None, :])
-        ok = (agree >= least) & (roots[block][:, None] != roots[None, :]) & (100 * small >= percent * large)
-        if nearest is not None and ok.shape[1] > nearest:
-            score = np.where(ok, agree, -1)
-            bar = np.partition(score, -nearest, axis=1)[:, -nearest]
-            over = score > bar[:, None]
-            at_bar = (score == bar[:, None]) & ok
-            room = nearest - over.sum(1)
-            ok = over & ok | at_bar & (np.cumsum(at_bar, axis=1) <= room[:, None])
-        x, y = np.nonzero(ok)
-        left.append(rows[block][x])
-        right.append(rows[y])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _apart(members: DataFrame, classes: DataFrame, links: DataFrame, nearest: int | None, percent: int) -> DataFrame:
-    """(a, b), a < b: candidates among ``members(band, row)`` that ``links`` leave in different components."""
-    roots = connected_components(links).withColumnRenamed("node", "row")
-    placed = members.join(roots, "row", "left").select("band", "row", F.coalesce("root", "row").alias("root"))
-    open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-    open_ = open_.filter("low < high").select("band", F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
-    left = placed.join(open_, "band").join(classes.select("row", "n", "sig"), "row")
+def _open_pairs(roots: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int, block: slice) -> np.ndarray:
+    """(rows of the block, all rows): pairs of different components whose sizes and signatures leave them a chance."""
+    agree = agreement(sigs[block][:, None, :], sigs[None, :, :])
+    small, large = np.minimum(sizes[block][:, None], sizes[None, :]), np.maximum(sizes[block][:, None], sizes[None, :])
+    return (agree >= least_agreement(percent)) & (roots[block][:, None] != roots[None, :]) & (100 * small >= percent * large)
+
+
+def _forest(roots: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> np.ndarray:
+    """For each member of a bucket or tile the first of those that candidate pairs connect it with."""
+    labels = Labels(len(roots))
+    for at in range(0, len(roots), 256):
+        x, y = np.nonzero(_open_pairs(roots, sizes, sigs, percent, slice(at, at + 256)))
+        labels.join(x + at, y)
+    return labels.of
+
+
+def _links(texts: list[bytes], roots: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, words: int, percent: int) -> list[tuple[int, int]]:
+    """Spanning links between the components of the members: candidates compared on their whole sets, one after another."""
+    sets, roots, out = Sets(texts, words), roots.copy(), []
+    if not len(sets.hash):
+        return out
+    ids = np.unique(sets.hash, return_inverse=True)[1]
+    own = np.zeros(ids.max() + 1, bool)
+    for at in range(0, len(roots), 256):
+        grid = _open_pairs(roots, sizes, sigs, percent, slice(at, at + 256))
+        for x in np.flatnonzero(grid.any(1)) + at:
+            y = np.flatnonzero(grid[x - at, x + 1 :] & (roots[x + 1 :] != roots[x])) + x + 1
+            if not len(y):
+                continue
+            mine = ids[sets.first[x] : sets.first[x] + sets.size[x]]
+            own[mine] = True
+            heads = np.cumsum(sets.size[y]) - sets.size[y]
+            flat = np.repeat(sets.first[y] - heads, sets.size[y]) + np.arange(sets.size[y].sum())
+            common = np.add.reduceat(own[ids[flat]], heads, dtype=np.int64)
+            own[mine] = False
+            for other in y[100 * common >= percent * (sets.size[x] + sets.size[y] - common)]:
+                if roots[other] != roots[x]:
+                    out.append((x, other))
+                    roots[roots == roots[other]] = roots[x]
+    return out
+
+
+def _tiled(members: DataFrame, key: str) -> DataFrame:
+    """``members(key, row, root, n, ...)``, those of a large group dealt to every pair of its tiles, in order of it."""
+    sizes = members.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("row"), F.col("tiles")).cast("int")
-    tiled = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row", "root", "n", "sig"
-    )
-    ordered = tiled.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "row")
+    dealt = members.join(sizes, key).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    columns = [c for c in members.columns if c != key]
+    dealt = dealt.select(key, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+    return dealt.repartition(key, "i", "j").sortWithinPartitions(key, "i", "j", "row")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
 
-        def close(parts: list[tuple]) -> pa.RecordBatch:
-            rows, roots, sizes, sigs = (np.concatenate(c) for c in zip(*(p[1:] for p in parts), strict=True))
-            a, b = _near(rows, roots, sizes, sigs, nearest, percent)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of a group whose first three columns are equal and stand together, as one batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = np.column_stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
+        cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if start == end:
+                continue
+            if held and [held[0].column(i)[0].as_py() for i in range(3)] != keys[start].tolist():
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.concat_batches(held)
 
-        for batch in batches:
-            keys = np.column_stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)])
-            rows, roots, sizes = (np.asarray(batch.column(i)) for i in (3, 4, 5))
-            sigs = np.asarray(batch.column(6).flatten()).view(np.uint64).reshape(len(rows), -1)
-            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(rows)]
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                part = slice(start, end)
-                if held and start < end and (held[-1][0][-1] != keys[start]).any():
-                    yield close(held)
-                    held = []
-                if start < end:
-                    held.append((keys[part], rows[part], roots[part], sizes[part], sigs[part]))
-        if held:
-            yield close(held)
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+def _numbers(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, components, sizes and signatures of a group."""
+    rows, roots, sizes = (np.asarray(group.column(i)) for i in (3, 4, 5))
+    return rows, roots, sizes, np.asarray(group.column(6).flatten()).view(np.uint64).reshape(len(rows), -1)
+
+
+def _edges(rows: np.ndarray, left, right) -> pa.RecordBatch:
+    index = lambda i: pa.array(rows[np.asarray(i, np.int64)])
+    return pa.RecordBatch.from_arrays([index(left), index(right)], names=["a", "b"])
+
+
+def _rest(members: DataFrame, classes: DataFrame, rows: DataFrame, roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between members of a bucket that ``roots(row, root)`` leaves in different components.
+
+    Candidates by signature are connected first, bucket by bucket; each of these clusters then brings its texts together
+    once, in tiles, and a task returns the links that it verified, never more than it has members.
+    """
+    placed = members.join(roots, "row", "left").select("band", "row", F.coalesce("root", "row").alias("root"))
+    open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    shapes = classes.select("row", "n", "sig")
+    inside = placed.join(open_.select("band"), "band").join(shapes, "row").select("band", "row", "root", "n", "sig")
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            numbers, roots, sizes, sigs = _numbers(group)
+            first = _forest(roots, sizes, sigs, percent)
+            more = np.flatnonzero(first != np.arange(len(first)))
+            yield _edges(numbers, more, first[more])
+
+    clusters = connected_components(_tiled(inside, "band").mapInArrow(connect, "a long, b long"))
+    asked = clusters.select(F.col("node").alias("row"), F.col("root").alias("cluster"))
+    together = asked.join(roots, "row", "left").select("cluster", "row", F.coalesce("root", "row").alias("root"))
+    together = written(together.join(shapes, "row").select("cluster", "row", "root", "n", "sig"), "clusters")
+    bodies = rows.select("row", "text").join(_hinted(together.select("row")), "row", "left_semi")
+    full = together.join(bodies, "row").select("cluster", "row", "root", "n", "sig", "text")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            numbers, roots, sizes, sigs = _numbers(group)
+            links = _links(texts_of(group.column(7)), roots, sizes, sigs, words, percent)
+            yield _edges(numbers, [a for a, _ in links], [b for _, b in links])
+
+    return written(_tiled(full, "cluster").mapInArrow(verify, "a long, b long"), "links")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_column: str = "doc_id") -> DataFrame:
@@ -279,19 +337,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     one = classes.select("row", "n", "sig")
     star = star.join(one.toDF("a", "n", "x"), "a").join(one.toDF("b", "m", "y"), "b")
     star = star.filter(_close(percent, F.col("n"), F.col("m"), F.col("x"), F.col("y"))).select("a", "b")
-    tested = written(star, "star")
-    links = _verified(tested, rows, words, percent)
-    members = members.select("band", "row")
-    pairs = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tested = pairs(tested)
-    for nearest in (NEAREST, NEAREST, None):
-        more = written(_apart(members, classes, links, nearest, percent).join(tested, ["a", "b"], "left_anti"), "more")
-        if more.isEmpty():
-            if nearest is None:
-                break
-            continue
-        tested = tested.unionByName(more)
-        links = links.unionByName(_verified(more, rows, words, percent))
+    links = _verified(written(star, "star"), rows, words, percent)
+    roots = written(connected_components(links).withColumnRenamed("node", "row"), "roots")
+    links = links.unionByName(_rest(members.select("band", "row"), classes, rows, roots, words, percent))
     roots = connected_components(links).withColumnRenamed("node", "row")
     placed = alike.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     least = placed.groupBy("root").agg(F.min("least").alias("component"))
