@@ -219,7 +219,8 @@ def streaming_memory(
     """For every arriving user turn: the turns before it and the expanded question.
 
     The state keeps the ``max_messages`` turns of the highest positions; a turn that arrives late takes its place
-    among them. With ``idle_ms``, for streams that run on (a drained one would never end), a conversation idle
+    among them, and the turns of one trigger are read in order of position whatever order and pieces they arrive in; a
+    trigger's size bounds what a task holds of a conversation. With ``idle_ms``, for streams that run on (a drained one would never end), a conversation idle
     for so long is forgotten; IDLE_MS is a fair value. Python only keeps the window; budget and
     expansion are the batch expressions over it.
     """
@@ -229,13 +230,17 @@ def streaming_memory(
             state.remove()
             return
         turns = list(zip(*state.get)) if state.exists else []
+        # A group comes in pieces of the session's Arrow size, in no order: the turns of a trigger are put in theirs first.
+        arrived = pd.concat([rows[["position", "role", "content"]] for rows in batches]).sort_values("position", kind="stable")
         out = []
-        for rows in batches:
-            for m in rows.sort_values("position").itertuples():
-                if m.role == "user":
-                    history = [{"position": int(p), "role": r, "content": c} for p, r, c in turns if p < m.position]
-                    out.append((key[0], m.position, m.content, history))
-                turns = sorted([*turns, (int(m.position), m.role, m.content)], key=lambda t: t[0])[-max_messages:]
+        for position, role, content in arrived.itertuples(index=False, name=None):
+            if role == "user":
+                history = [{"position": int(p), "role": r, "content": c} for p, r, c in turns if p < position]
+                out.append((key[0], position, content, history))
+            turns.append((int(position), role, content))
+            if len(turns) > 1 and turns[-1][0] < turns[-2][0]:
+                turns.sort(key=lambda t: t[0])
+            del turns[:-max_messages]
         state.update(tuple([t[i] for t in turns] for i in range(3)))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)

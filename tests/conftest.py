@@ -12,8 +12,3 @@ from ragframe.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     return local_session(8, shuffle_partitions=4)
-
-
-def one(spark, column):
-    """Value of a column expression on a single row."""
-    return spark.range(1).select(column.alias("v")).collect()[0]["v"]

@@ -8,26 +8,11 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import one
+from helpers import EVENTS, one, random_events
 from ragframe.operators import catalog, evaluation as ev, ledger, telemetry
 from ragframe.sources import files, sinks, tables
 from ragframe.streaming import jobs as streams
 
-EVENTS = "document_id bigint, kind string, seq bigint, at timestamp, action string, error string"
-
-
-def random_events(seed, documents, n):
-    rng = random.Random(seed)
-    t0 = dt.datetime(2024, 1, 1)
-    rows = []
-    for d in range(documents):
-        for kind in ("process", "embed"):
-            for s in range(rng.randint(0, n)):
-                action = rng.choice(["enqueue", "claim", "claim", "succeed", "fail", "requeue"])
-                rows.append((d, kind, s, t0 + dt.timedelta(minutes=d, seconds=s), action, f"e{s}" if action in ("fail", "requeue") else None))
-    return rows
-
-
 def plain_replay(rows):
     """One event after the other in order of time, a process run's before the embed job's of the same moment."""
     jobs = {}

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import os
+import random
 import uuid
 
 from pyspark.sql import functions as F
 
 from ragframe.operators import conversations, ledger
 from ragframe.streaming import jobs as st
-from test_operations import EVENTS, random_events
+from helpers import EVENTS, random_events
 
 
 def scratch():
@@ -108,3 +109,26 @@ def test_memory_puts_late_turns_in_place(spark):
     st.run_once(st.streaming_memory(staged(spark, parts, schema, path)), f"{path}/ck", lambda b, n: b.write.mode("append").parquet(f"{path}/out"))
     kept = {r.position: list(r.kept) for r in spark.read.parquet(f"{path}/out").collect()}
     assert kept == {1: [], 2: [1], 5: [1, 2, 4]}
+
+
+def test_memory_of_a_long_shuffled_conversation(spark):
+    """A conversation that reaches the task in many pieces, and one whose turns arrive over three batches."""
+    schema = "conversation_id bigint, position bigint, role string, content string"
+    rows = [(1, p, ("user", "assistant")[p % 2], f"what about that {p}") for p in range(20_000)]
+    rows += [(2, p, ("user", "assistant")[p % 2], f"and it {p}") for p in range(60)]
+    random.Random(6).shuffle(rows)
+    late = [[r for r in rows if r[0] == 2 and r[1] // 20 == part] for part in range(3)]
+    parts = [[r for r in rows if r[0] == 1] + late[0], late[1], late[2]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "300")
+    try:
+        path = scratch()
+        out = st.streaming_memory(staged(spark, parts, schema, path))
+        st.run_once(out, f"{path}/ck", lambda b, n: b.write.mode("append").parquet(f"{path}/out"))
+        got = sorted((r.conversation_id, r.position, r.expanded, list(r.kept)) for r in spark.read.parquet(f"{path}/out").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    m = spark.createDataFrame(rows, schema)
+    e = {(r.conversation_id, r.position): r.expanded for r in conversations.expand_followups(m).collect()}
+    h = {(r.conversation_id, r.position): [t.position for t in r.history] for r in conversations.history_window(m).collect()}
+    assert got == sorted((*k, e[k], h[k]) for k in e)

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import one
+from helpers import one
 from ragframe.functions import text as tx
 from ragframe.functions import vectors as vx
 
