@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ragframe.session import checkpoint_dir
+from ragframe.session import checkpoint_dir, pin_session
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Documents are read by Python tasks in batches of this many rows, so that a batch stays a few megabytes.
@@ -21,6 +21,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` and small Arrow batches, so that ``spark`` keeps its own."""
+    own = pin_session(spark).newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return own
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder that the driver and all executors can read."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

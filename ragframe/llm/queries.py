@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ragframe.llm import codes, decontaminate, lines, minhash, pieces, quality, repair, simhash, substrings, suffixes, tokenstore, topk, urls
-from ragframe.llm.common import BATCH_ROWS, shared_path, table
-from ragframe.session import pin_session
+from ragframe.llm.common import own_session, shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -20,9 +19,7 @@ ORACLES: dict[str, str] = {}
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, root: str) -> DataFrame:
-        pin_session(spark)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-        return fn(spark, root)
+        return fn(own_session(spark), root)
 
     REGISTRY[fn.__name__] = run
     return fn
