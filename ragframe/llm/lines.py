@@ -34,8 +34,9 @@ TRIES = 8
 # Classes and words of at most this many rows are broadcast to find what is left.
 FEW = 200_000
 BLOCK = 512
-# Words of at most this many classes are paired without a loop.
+# Words of at most this many classes are paired without a loop, about PAIRS pairs at a time.
 SMALL = 24
+PAIRS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93))
 
@@ -229,9 +230,9 @@ def earliest(e: dict[str, np.ndarray], similarity: float, tries: int) -> tuple[n
     heads = np.r_[np.flatnonzero(np.r_[True, token[1:] != token[:-1]][: len(token)]), len(token)]
     left, right, more = [], [], []
     sizes = np.diff(heads)
-    for at in range(0, len(sizes), 1 << 16):  # the many words of few lines, all at once
-        own = np.arange(at, min(at + (1 << 16), len(sizes)))
-        own = own[(sizes[own] > 1) & (sizes[own] <= SMALL)]
+    small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
+    pairs = np.cumsum(sizes[small] * (sizes[small] - 1) // 2)
+    for own in np.split(small, np.searchsorted(pairs, np.arange(PAIRS, pairs[-1] if len(pairs) else 0, PAIRS))):  # the many words of few lines
         start = np.repeat(heads[:-1][own], sizes[own])
         place = np.arange(len(start)) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
         x = np.repeat(start + place, place)
