@@ -1,18 +1,24 @@
-"""Approximate top-k by cells: train centroids, keep the cell as a partition column, probe few.
+"""Approximate top-k by cells: keep the cell as a partition column of the stored vectors, probe few.
 
-Stored chunks carry their cell, so probing is an equality join on (scope, cell), which a table
-partitioned by cell turns into partition pruning. Vectors within the probed cells are ranked
+Cells come from trained centroids or from whole-number hyperplanes, which need no training and give every
+engine the same cells. The stored table is partitioned by cell and read through a semi join with the cells
+that the queries probe, which prunes its partitions at run time. Vectors within the probed cells are ranked
 exactly by the same tiles as the exact search.
 """
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragframe.functions import text as tx
+from ragframe.functions import vectors as vx
 from ragframe.operators import retrieval as rt
 
 TRAIN_ROWS = 50_000
+# Cells of the stored table are 2^PLANES; a query reads PROBES of them, the nearest by its distance to the planes.
+PLANES = 5
+PROBES = 26
 
 
 def train_cells(vectors: DataFrame, key: str, vector: str, cells: int, seed: int = 7) -> np.ndarray:
@@ -57,6 +63,58 @@ def ann_topk(
     return rt.topk(q, items, k, "cosine", **tiling)
 
 
+# ---- stored cells -------------------------------------------------------------------------------
+
+
+def plane(number: int, dimensions: int) -> list[int]:
+    """Components of a hyperplane's normal, from -1000 to 1000 by rule."""
+    at = [number * dimensions + j + 1 for j in range(dimensions)]
+    return [(x**3 * 2654435761 + x * 40503) % 2**32 // 65536 % 2001 - 1000 for x in at]
+
+
+def margins(vector: Column, dimensions: int, planes: int = PLANES) -> Column:
+    """Dot products of a whole-number vector with every plane: whole numbers, so cells never depend on rounding."""
+    normals = [F.array(*[F.lit(v).cast("bigint") for v in plane(n, dimensions)]) for n in range(planes)]
+    return F.array(*[vx.dot(vector, n) for n in normals])
+
+
+def _bits(margin: Column, planes: int) -> Column:
+    return sum((F.when(margin[n] >= 0, 1 << n).otherwise(0) for n in range(planes)), F.lit(0))
+
+
+def write_cells(vectors: DataFrame, vector: str, path: str, dimensions: int, planes: int = PLANES) -> None:
+    """Store ``vectors`` with their ``cell``, which is the table's partition column.
+
+    Rows of a cell are dealt to several files by a hash, so that a hot cell is written by many tasks.
+    """
+    placed = vectors.select("*", tx.seal(margins(F.col(vector), dimensions, planes)).alias("_m"))
+    placed = placed.select(*vectors.columns, _bits(F.col("_m"), planes).cast("int").alias("cell"))
+    placed.write.partitionBy("cell").parquet(path)
+
+
+def probe(queries: DataFrame, vector: str, dimensions: int, planes: int = PLANES, probes: int = PROBES) -> DataFrame:
+    """``queries`` once per cell they read: those that the smallest sum of margins separates from their own."""
+    asked = queries.select("*", tx.seal(margins(F.col(vector), dimensions, planes)).alias("_m"))
+    cost = lambda mask: sum((F.when(mask.bitwiseAND(1 << n) != 0, F.abs(F.col("_m")[n])).otherwise(0) for n in range(planes)), F.lit(0))
+    masks = F.transform(F.sequence(F.lit(0), F.lit((1 << planes) - 1)), lambda m: F.struct(cost(m).alias("cost"), m.alias("mask")))
+    asked = asked.select(*queries.columns, _bits(F.col("_m"), planes).alias("_own"), tx.seal(F.slice(F.array_sort(masks), 1, probes)).alias("_p"))
+    return asked.select(*queries.columns, "_own", F.explode("_p.mask").alias("_mask")).select(
+        *queries.columns, F.col("_own").bitwiseXOR(F.col("_mask")).cast("int").alias("cell")
+    )
+
+
+def stored_topk(
+    table: DataFrame, queries: DataFrame, key: str, vector: str, dimensions: int, k: int = 5, planes: int = PLANES,
+    probes: int = PROBES, **tiling
+) -> DataFrame:
+    """(query_id, item_id, score, rank) of ``queries`` against a table written by ``write_cells``."""
+    probing = probe(queries, vector, dimensions, planes, probes)
+    read = table.join(F.broadcast(probing.select("cell").distinct()), "cell", "left_semi")  # at most 2^planes numbers
+    items = rt.dense_items(read, key, vector, F.col("cell").cast("string"))
+    q = rt.as_queries(rt.dense_items(probing, key, vector, F.col("cell").cast("string")))
+    return rt.topk(q, items, k, "cosine", **tiling)
+
+
 def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
     """Share of the exact neighbours that the approximate search found."""
     hit = exact.select("query_id", "item_id").join(

@@ -261,23 +261,108 @@ def chunk_pages(pages: DataFrame, strategy: str = "paragraph", **budgets) -> Dat
     return chunk_bundles(bundle_pages(pages), strategy, **budgets)
 
 
+def unit_spans(sizes: list[int], alone: list[bool], budget_chars: int, sep: int) -> list[tuple[int, int]]:
+    """Greedy packing of units as (first, last): one that would pass the budget, or stands alone, opens a new span."""
+    spans: list[tuple[int, int]] = []
+    length = 0
+    for i, size in enumerate(sizes):
+        if spans and not (alone[i] or alone[i - 1] or length + sep + size > budget_chars):
+            spans[-1] = (spans[-1][0], i)
+            length += sep + size
+        else:
+            spans.append((i, i))
+            length = size
+    return spans
+
+
+def _shape(lengths: np.ndarray, firsts: np.ndarray, lasts: np.ndarray, numbers: np.ndarray, repeated: int) -> dict:
+    """Counts of a document's chunks of these lengths, from and to these pages."""
+    tokens = np.maximum(1, -(-lengths // CHARS_PER_TOKEN))
+    return {
+        "chunks": len(lengths), "tokens": int(tokens.sum()), "max_tokens": int(tokens.max(initial=0)),
+        "pages": int((numbers[lasts] - numbers[firsts] + 1).sum()), "repeated_chars": repeated,
+    }
+
+
+def document_shapes(
+    words: np.ndarray, page_at: np.ndarray, numbers: np.ndarray, para_page: np.ndarray, para_size: np.ndarray,
+    para_words: list[np.ndarray], settings: list[tuple[str, int, int]],
+) -> list[dict]:
+    """Shapes of one document's chunks for every (strategy, budget, overlap) in characters, from lengths alone."""
+    out = []
+    for strategy, budget, overlap in settings:
+        if strategy == "paragraph":
+            units = [
+                (size, page, alone)
+                for page, whole, inside in zip(para_page, para_size, para_words, strict=True)
+                for size, alone in ([(n, True) for _, n in window_spans(inside, budget, 0)] if whole > budget else [(int(whole), False)])
+                for page in (page,)
+            ]
+            sizes = [u[0] for u in units]
+            spans = unit_spans(sizes, [u[2] for u in units], budget, 2)
+            lengths = np.array([sum(sizes[a : b + 1]) + 2 * (b - a) for a, b in spans], np.int64)
+            at = np.array([[units[a][1], units[b][1]] for a, b in spans], np.int64).reshape(-1, 2)
+            out.append(_shape(lengths, at[:, 0], at[:, 1], numbers, 0))
+            continue
+        spans = np.array(window_spans(words, budget, overlap), np.int64).reshape(-1, 2)
+        start, length = spans[:, 0], spans[:, 1]
+        place = lambda x: np.searchsorted(page_at, x, "right") - 1
+        # Every word belongs to a chunk; what the chunks hold beyond the words is repeated.
+        repeated = int((length + 1).sum() - (words + 1).sum())
+        out.append(_shape(length, place(start), place(start + length - 1), numbers, repeated))
+    return out
+
+
 def chunking_report(bundles: DataFrame, configs: dict[str, dict]) -> DataFrame:
-    """Chunks, tokens, page span and repeated tokens for each named configuration."""
-    base = bundles.select(
-        F.sum(
-            F.aggregate("pages", F.lit(0).cast("bigint"), lambda a, p: a + tx.estimate_tokens(p.content))
-        ).alias("page_tokens")
-    )
-    reports = None
-    for label, config in configs.items():
-        one = chunk_bundles(bundles, **config).agg(
-            F.count("*").alias("chunks"),
-            F.sum("token_count").alias("tokens"),
-            F.avg((F.col("page_end") - F.col("page_start") + 1).cast("double")).alias("mean_span"),
-            F.max("token_count").alias("max_tokens"),
-        ).select(F.lit(label).alias("config"), "*")
-        reports = one if reports is None else reports.unionByName(one)
-    return reports.withColumn("page_tokens", base.scalar()).select(
-        "config", "chunks", "tokens", "max_tokens", "mean_span",
-        F.greatest(F.lit(0).cast("bigint"), F.col("tokens") - F.col("page_tokens")).alias("redundant_tokens"),
+    """Chunks, tokens, page span and repeated tokens for each named configuration, from one pass over the documents.
+
+    Python sees lengths of words and paragraphs, never text: the chunk boundaries of every budget follow from their
+    prefix sums. ``redundant_tokens`` are the words (with their blanks) that stand in more than one chunk, each time
+    after the first, in tokens.
+    """
+    settings = []
+    for config in configs.values():
+        strategy = config.get("strategy", "paragraph")
+        tokens, chars, overlap = validate(strategy, config.get("chunk_tokens"), config.get("chunk_chars"), config.get("overlap_tokens"))
+        budget = chars if strategy == "fixed" else tokens * CHARS_PER_TOKEN
+        settings.append((strategy, budget, overlap * CHARS_PER_TOKEN if strategy == "overlap" else 0))
+    rows = bundles.select(F.filter("pages", lambda p: tx.trim_ws(p.content) != "").alias("pages"))
+    texts = F.transform("pages", lambda p: _joined(p.content))
+    rows = rows.select("pages", tx.seal(texts).alias("_texts"))
+    paragraphs = F.flatten(F.transform(
+        "pages", lambda p, o: F.transform(tx.split_paragraphs(p.content), lambda t: F.struct(o.alias("page"), t.alias("text")))
+    ))
+    rows = rows.select("pages", "_texts", tx.seal(paragraphs).alias("_paras"))
+    sizes = lambda text: F.transform(F.filter(F.split(text, " "), lambda w: w != ""), F.length)
+    measured = rows.select(
+        F.flatten(F.transform("_texts", sizes)).alias("words"), _offsets(F.col("_texts")).alias("page_at"),
+        F.transform("pages", lambda p: p.page_number).alias("numbers"), F.transform("_paras", lambda p: p.page).alias("para_page"),
+        F.transform("_paras", lambda p: F.length(p.text)).alias("para_size"),
+        F.transform("_paras", lambda p: sizes(_joined(p.text))).alias("para_words"),
     )
+
+    def shapes(words, page_at, numbers, para_page, para_size, para_words):
+        whole = lambda x: np.asarray(x, dtype=np.int64)
+        return pd.Series([
+            document_shapes(whole(w), whole(at), whole(no), whole(pp), whole(ps), [whole(x) for x in pw], settings)
+            for w, at, no, pp, ps, pw in zip(words, page_at, numbers, para_page, para_size, para_words, strict=True)
+        ], dtype=object)
+
+    fields = "chunks bigint, tokens bigint, max_tokens bigint, pages bigint, repeated_chars bigint"
+    udf = F.pandas_udf(shapes, f"array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>")
+    done = measured.select(tx.seal(udf(*measured.columns)).alias("s"))
+    sums = [
+        f(F.col("s")[i][c]).alias(f"{c}{i}")
+        for i in range(len(settings)) for c, f in (("chunks", F.sum), ("tokens", F.sum), ("max_tokens", F.max), ("pages", F.sum), ("repeated_chars", F.sum))
+    ]
+    wide = done.agg(*sums)
+    lines = F.array(*[
+        F.struct(
+            F.lit(label).alias("config"), F.coalesce(f"chunks{i}", F.lit(0)).alias("chunks"), F.col(f"tokens{i}").alias("tokens"),
+            F.nullif(f"max_tokens{i}", F.lit(0)).alias("max_tokens"),
+            F.when(F.col(f"chunks{i}") > 0, F.col(f"pages{i}") / F.col(f"chunks{i}")).alias("mean_span"),
+            F.ceil(F.coalesce(f"repeated_chars{i}", F.lit(0)) / CHARS_PER_TOKEN).alias("redundant_tokens"),
+        )
+        for i, label in enumerate(configs)
+    ])
+    return wide.select(F.explode(lines).alias("r")).select("r.*")

@@ -107,6 +107,24 @@ def repeated_vectors(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
+def vector_drift(stored: DataFrame, text: str, vector: str, tolerance: float = 1e-5) -> DataFrame:
+    """``stored`` with the Euclidean ``distance`` of each stored sparse vector to that of its text embedded again.
+
+    Both vectors meet in the row: their slots are zipped, and a slot that one of them lacks counts as zero there.
+    ``drifted`` marks distances above the tolerance; a missing vector is as far as the new one is long.
+    """
+    fresh = hash_embed(stored.withColumnRenamed(vector, "_stored"), text)
+    by_slot = lambda v: F.map_from_entries(F.coalesce(v, F.array().cast("array<struct<slot:int,q:bigint>>")))
+    zero = F.lit(0).cast("bigint")
+    squares = F.map_zip_with(
+        by_slot(F.col("_stored")), by_slot(F.col("vector")),
+        lambda slot, a, b: (F.coalesce(a, zero) - F.coalesce(b, zero)) * (F.coalesce(a, zero) - F.coalesce(b, zero)),
+    )
+    total = F.aggregate(F.map_values(squares), zero, lambda acc, x: acc + x)
+    out = fresh.withColumn("distance", F.sqrt(total.cast("double")) / F.lit(float(vx.SCALE)))
+    return out.withColumn("drifted", F.col("distance") > tolerance).drop("vector").withColumnRenamed("_stored", vector)
+
+
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(token, df, n, idf_q): idf = ln(N / (1 + df)), kept as whole ten-thousandths."""
     distinct = df.select(tx.seal(F.array_distinct(tx.tokenize(F.col(text)))).alias("_t"))

@@ -140,6 +140,21 @@ def search(
     )
 
 
+def filtered_search(
+    queries: DataFrame, chunks: DataFrame, documents: DataFrame, *, source_type: str | None = None,
+    metadata: dict[str, str | int | float | bool] | None = None, floor: float | None = None, k: int = DEFAULT_K,
+    scope_columns: tuple[str, ...] = ("organization_id", "uploaded_by", "model"), **tiling,
+) -> DataFrame:
+    """``search`` among the ready chunks of one source type whose ``metadata`` (JSON text) holds the wanted values.
+
+    The filters come before the search, so that the best k are the best of what passes.
+    """
+    ready = retrievable(chunks, documents, source_type)
+    if metadata:
+        ready = ready.filter(metadata_contains(F.col("metadata"), metadata))
+    return search(queries, ready, k, floor, scope_columns, **tiling)
+
+
 def tfidf_topk(
     queries: DataFrame, documents: DataFrame, key: str, text: str, k: int = 3, metric: str = "cosine", **tiling
 ) -> DataFrame:

@@ -271,49 +271,73 @@ ORACLES["normalize_route"] = with_(REQUESTS) + """SELECT CASE event_id % 5 WHEN
 # ---- chunking
 ORACLES["chunk_fixed"] = with_(*fixed(512)) + CHUNK_OUT
 ORACLES["chunk_token"] = with_(*fixed(2048)) + CHUNK_OUT
-ORACLES["chunk_overlap"] = with_(*BASE, WORDS, f"""win AS (SELECT document_id, 0 AS chunk_index, 1::BIGINT AS s, 0::BIGINT AS b FROM we WHERE i = 1
+def windows(budget: int, overlap: int, n: str = "") -> list[str]:
+    """Overlapping windows as spans of word numbers in span{n}, found window after window."""
+    return [f"""win{n} AS (SELECT document_id, 0 AS chunk_index, 1::BIGINT AS s, 0::BIGINT AS b FROM we WHERE i = 1
  UNION ALL SELECT n.document_id, n.chunk_index, n.s, y.e - length(y.w) - 1 FROM
   (SELECT h.document_id, h.chunk_index + 1 AS chunk_index, greatest(h.s + 1, coalesce(min(x.i), h.stop - 1)) AS s FROM
-   (SELECT c.document_id, c.chunk_index, c.s, min(u.i) AS stop, min(u.e - length(u.w) - 1) AS full_e FROM win c JOIN we u ON u.document_id = c.document_id AND u.i > c.s AND u.e - 1 - c.b > 2048 GROUP BY ALL) h
-   LEFT JOIN we x ON x.document_id = h.document_id AND x.i > h.s AND x.i < h.stop AND h.full_e - 1 - (x.e - length(x.w) - 1) <= 512 GROUP BY h.document_id, h.chunk_index, h.s, h.stop) n
+   (SELECT c.document_id, c.chunk_index, c.s, min(u.i) AS stop, min(u.e - length(u.w) - 1) AS full_e FROM win{n} c JOIN we u ON u.document_id = c.document_id AND u.i > c.s AND u.e - 1 - c.b > {budget} GROUP BY ALL) h
+   LEFT JOIN we x ON x.document_id = h.document_id AND x.i > h.s AND x.i < h.stop AND h.full_e - 1 - (x.e - length(x.w) - 1) <= {overlap} GROUP BY h.document_id, h.chunk_index, h.s, h.stop) n
   JOIN we y ON y.document_id = n.document_id AND y.i = n.s)""",
-  "span AS (SELECT c.document_id, c.chunk_index, c.s, min(u.i) AS t FROM win c LEFT JOIN we u ON u.document_id = c.document_id AND u.i > c.s AND u.e - 1 - c.b > 2048 GROUP BY c.document_id, c.chunk_index, c.s)",
-  placed("span")) + CHUNK_OUT
-_PB = 512  # characters: 128 tokens
-ORACLES["chunk_paragraph"] = with_(*BASE, PARAGRAPHS, f"""long_w AS (SELECT document_id, page_number, pos, w, row_number() OVER (PARTITION BY document_id, page_number, pos ORDER BY j) AS i FROM
-  (SELECT document_id, page_number, pos, unnest({words('paragraph')}) AS w, generate_subscripts({words('paragraph')}, 1) AS j FROM paras WHERE length(paragraph) > {_PB})),
-lw AS MATERIALIZED (SELECT concat_ws('/', document_id, page_number, pos) AS document_id, document_id AS d, page_number, pos, w, i, (sum(length(w) + 1) OVER (PARTITION BY document_id, page_number, pos ORDER BY i))::BIGINT AS e FROM long_w)""",
-  greedy(_PB, "lw", "lcut"),
-  "lspan AS (SELECT *, lead(s) OVER (PARTITION BY document_id ORDER BY chunk_index) AS t FROM lcut)",
-  f"""units AS (SELECT w.d AS document_id, w.page_number, w.pos, s.chunk_index AS piece, string_agg(w.w, ' ' ORDER BY w.i) AS text, true AS solo FROM lspan s JOIN lw w ON w.document_id = s.document_id AND w.i >= s.s AND (s.t IS NULL OR w.i < s.t) GROUP BY ALL
-  UNION ALL SELECT document_id, page_number, pos, 0, paragraph, false FROM paras WHERE length(paragraph) <= {_PB}),
-un AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number, pos, piece) AS i FROM units),
-ue AS MATERIALIZED (SELECT *, (sum(length(text) + 2) OVER (PARTITION BY document_id ORDER BY i))::BIGINT AS e, solo OR coalesce(lag(solo) OVER (PARTITION BY document_id ORDER BY i), false) AS wall FROM un),
-pcut AS (SELECT document_id, 0 AS chunk_index, 1::BIGINT AS s, 0::BIGINT AS b FROM ue WHERE i = 1
-  UNION ALL SELECT c.document_id, c.chunk_index + 1, min(u.i), min(u.e - length(u.text) - 2) FROM pcut c JOIN ue u ON u.document_id = c.document_id AND u.i > c.s AND (u.wall OR u.e - 2 - c.b > {_PB}) GROUP BY c.document_id, c.chunk_index),
-pspan AS (SELECT *, lead(s) OVER (PARTITION BY document_id ORDER BY chunk_index) AS t FROM pcut),
-placed AS (SELECT s.document_id, s.chunk_index, {trim("string_agg(u.text, chr(10) || chr(10) ORDER BY u.i)")} AS content, min(u.page_number) AS page_start, max(u.page_number) AS page_end
+  f"span{n} AS (SELECT c.document_id, c.chunk_index, c.s, min(u.i) AS t FROM win{n} c LEFT JOIN we u ON u.document_id = c.document_id AND u.i > c.s AND u.e - 1 - c.b > {budget} GROUP BY c.document_id, c.chunk_index, c.s)"]
+
+
+ORACLES["chunk_overlap"] = with_(*BASE, WORDS, *windows(2048, 512), placed("span")) + CHUNK_OUT
+def packed_paragraphs(budget: int, n: str = "") -> list[str]:
+    """Units in ue{n} (paragraphs, or pieces of one over the budget) and their spans in pspan{n}."""
+    return [f"""long_w{n} AS (SELECT document_id, page_number, pos, w, row_number() OVER (PARTITION BY document_id, page_number, pos ORDER BY j) AS i FROM
+  (SELECT document_id, page_number, pos, unnest({words('paragraph')}) AS w, generate_subscripts({words('paragraph')}, 1) AS j FROM paras WHERE length(paragraph) > {budget})),
+lw{n} AS MATERIALIZED (SELECT concat_ws('/', document_id, page_number, pos) AS document_id, document_id AS d, page_number, pos, w, i, (sum(length(w) + 1) OVER (PARTITION BY document_id, page_number, pos ORDER BY i))::BIGINT AS e FROM long_w{n})""",
+  greedy(budget, f"lw{n}", f"lcut{n}"),
+  f"lspan{n} AS (SELECT *, lead(s) OVER (PARTITION BY document_id ORDER BY chunk_index) AS t FROM lcut{n})",
+  f"""units{n} AS (SELECT w.d AS document_id, w.page_number, w.pos, s.chunk_index AS piece, string_agg(w.w, ' ' ORDER BY w.i) AS text, true AS solo FROM lspan{n} s JOIN lw{n} w ON w.document_id = s.document_id AND w.i >= s.s AND (s.t IS NULL OR w.i < s.t) GROUP BY ALL
+  UNION ALL SELECT document_id, page_number, pos, 0, paragraph, false FROM paras WHERE length(paragraph) <= {budget}),
+un{n} AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY page_number, pos, piece) AS i FROM units{n}),
+ue{n} AS MATERIALIZED (SELECT *, (sum(length(text) + 2) OVER (PARTITION BY document_id ORDER BY i))::BIGINT AS e, solo OR coalesce(lag(solo) OVER (PARTITION BY document_id ORDER BY i), false) AS wall FROM un{n}),
+pcut{n} AS (SELECT document_id, 0 AS chunk_index, 1::BIGINT AS s, 0::BIGINT AS b FROM ue{n} WHERE i = 1
+  UNION ALL SELECT c.document_id, c.chunk_index + 1, min(u.i), min(u.e - length(u.text) - 2) FROM pcut{n} c JOIN ue{n} u ON u.document_id = c.document_id AND u.i > c.s AND (u.wall OR u.e - 2 - c.b > {budget}) GROUP BY c.document_id, c.chunk_index),
+pspan{n} AS (SELECT *, lead(s) OVER (PARTITION BY document_id ORDER BY chunk_index) AS t FROM pcut{n})"""]
+
+
+_PLACED_PARAGRAPHS = f"""placed AS (SELECT s.document_id, s.chunk_index, {trim("string_agg(u.text, chr(10) || chr(10) ORDER BY u.i)")} AS content, min(u.page_number) AS page_start, max(u.page_number) AS page_end
   FROM pspan s JOIN ue u ON u.document_id = s.document_id AND u.i >= s.s AND (s.t IS NULL OR u.i < s.t) GROUP BY s.document_id, s.chunk_index),
 chunks AS (SELECT c.document_id, c.chunk_index, any_value(c.page_start) AS page_number, any_value(c.content) AS content, {est('any_value(c.content)')} AS token_count, any_value(c.page_start) AS page_start, any_value(c.page_end) AS page_end,
   arg_min(p.section, p.page_number) FILTER (WHERE p.section IS NOT NULL AND p.section <> '') AS section
-  FROM placed c LEFT JOIN pgs p ON p.document_id = c.document_id AND p.page_number BETWEEN c.page_start AND c.page_end GROUP BY c.document_id, c.chunk_index)""") + CHUNK_OUT
+  FROM placed c LEFT JOIN pgs p ON p.document_id = c.document_id AND p.page_number BETWEEN c.page_start AND c.page_end GROUP BY c.document_id, c.chunk_index)"""
+ORACLES["chunk_paragraph"] = with_(*BASE, PARAGRAPHS, *packed_paragraphs(512), _PLACED_PARAGRAPHS) + CHUNK_OUT
 
 
-def _report(label: str, chars: int, n: int) -> list[str]:
-    return [
-        greedy(chars, "we", f"cut{n}"),
-        f"span{n} AS (SELECT *, lead(s) OVER (PARTITION BY document_id ORDER BY chunk_index) AS t FROM cut{n})",
-        f"""rep{n} AS (SELECT '{label}' AS config, count(*) AS chunks, sum({"greatest(1, (len + 3) // 4)"})::BIGINT AS tokens, max(greatest(1, (len + 3) // 4)) AS max_tokens, avg((pe - ps + 1)::DOUBLE) AS mean_span
-  FROM (SELECT s.document_id, s.chunk_index, sum(length(w.w) + 1) - 1 AS len, min(w.page_number) AS ps, max(w.page_number) AS pe FROM span{n} s JOIN we w ON w.document_id = s.document_id AND w.i >= s.s AND (s.t IS NULL OR w.i < s.t) GROUP BY ALL))""",
-    ]
+def _measured(label: str, chunks: str, repeated: str) -> str:
+    """A line of the report from chunks(len, ps, pe)."""
+    return f"""SELECT '{label}' AS config, count(*) AS chunks, sum({"greatest(1, (len + 3) // 4)"})::BIGINT AS tokens, max(greatest(1, (len + 3) // 4)) AS max_tokens,
+ round(avg((pe - ps + 1)::DOUBLE), 6) AS mean_span, {repeated} AS redundant_tokens FROM {chunks}"""
+
+
+def _word_report(label: str, n: str, spans: list[str]) -> tuple[list[str], str]:
+    shaped = f"""rep{n} AS (SELECT s.document_id, s.chunk_index, (sum(length(w.w) + 1) - 1)::BIGINT AS len, min(w.page_number) AS ps, max(w.page_number) AS pe
+ FROM span{n} s JOIN we w ON w.document_id = s.document_id AND w.i >= s.s AND (s.t IS NULL OR w.i < s.t) GROUP BY ALL)"""
+    return [*spans, shaped], _measured(label, f"rep{n}", "((sum(len + 1) - (SELECT sum(length(w) + 1) FROM we) + 3) // 4)::BIGINT")
+
+
+def _greedy_report(label: str, n: str, budget: int) -> tuple[list[str], str]:
+    cut = [greedy(budget, "we", f"cut{n}"), f"span{n} AS (SELECT *, lead(s) OVER (PARTITION BY document_id ORDER BY chunk_index) AS t FROM cut{n})"]
+    return _word_report(label, n, cut)
+
+
+def _paragraph_report(label: str, n: str, budget: int) -> tuple[list[str], str]:
+    shaped = f"""rep{n} AS (SELECT s.document_id, s.chunk_index, (sum(length(u.text) + 2) - 2)::BIGINT AS len, min(u.page_number) AS ps, max(u.page_number) AS pe
+ FROM pspan{n} s JOIN ue{n} u ON u.document_id = s.document_id AND u.i >= s.s AND (s.t IS NULL OR u.i < s.t) GROUP BY ALL)"""
+    return [*packed_paragraphs(budget, n), shaped], _measured(label, f"rep{n}", "0::BIGINT")
 
 
-ORACLES["chunking_report"] = with_(
-    *BASE, WORDS, *_report("fixed 512 chars", 512, 1), *_report("fixed 1024 chars", 1024, 2),
-    *_report("token 256", 1024, 3), *_report("token 512", 2048, 4),
-    f"base AS (SELECT sum({est('content')})::BIGINT AS n FROM pgs)",
-) + """SELECT config, chunks, tokens, max_tokens, round(mean_span, 6) AS mean_span, greatest(0, tokens - n) AS redundant_tokens
- FROM (SELECT * FROM rep1 UNION ALL SELECT * FROM rep2 UNION ALL SELECT * FROM rep3 UNION ALL SELECT * FROM rep4) CROSS JOIN base"""
+_REPORTS = [
+    _paragraph_report("paragraph 512", "1", 2048), _paragraph_report("paragraph 256", "2", 1024), _paragraph_report("paragraph 128", "3", 512),
+    _greedy_report("token 256", "4", 1024), _greedy_report("token 128", "5", 512), _greedy_report("token 64", "6", 256),
+    _word_report("overlap 256/128", "7", windows(1024, 512, "7")), _word_report("overlap 256/32", "8", windows(1024, 128, "8")),
+    _word_report("overlap 128/32", "9", windows(512, 128, "9")), _greedy_report("fixed 512 chars", "10", 512),
+    _greedy_report("fixed 1024 chars", "11", 1024), _greedy_report("token 512", "12", 2048),
+]
+ORACLES["chunking_report"] = with_(*BASE, WORDS, PARAGRAPHS, *[part for parts, _ in _REPORTS for part in parts]) + " UNION ALL ".join(line for _, line in _REPORTS)
 
 # ---- embedding
 ORACLES["hash_embed_sparse"] = with_(*fixed(), VEC) + "SELECT document_id, chunk_index, slot, q FROM vec"
@@ -326,6 +350,8 @@ tri AS (SELECT document_id, chunk_index, unnest([(c[i] * 961 + c[i + 1] * 31 + c
 ORACLES["validate_vectors"] = """WITH v AS (SELECT concat(label, '/', vec_id % 7) AS owner, CASE WHEN vec_id % 28 = 21 THEN 'empty' WHEN vec_id % 28 = 7 THEN 'not_finite' WHEN vec_id % 28 = 0 THEN 'dimension' WHEN vec_id % 28 = 14 THEN 'all_zero' END AS problem FROM embeddings)
 SELECT owner, count(*) AS vectors, count(problem) AS bad_vectors, min(problem) AS first_problem, count(problem) = 0 AS publishable FROM v GROUP BY owner"""
 ORACLES["vector_integrity"] = with_(*fixed(), VEC, "whole AS (SELECT c.document_id, c.chunk_index, list(struct_pack(slot := slot, q := q) ORDER BY slot) FILTER (WHERE slot IS NOT NULL) AS v FROM chunks c LEFT JOIN vec USING (document_id, chunk_index) GROUP BY ALL)") + """SELECT copies, count(*) AS groups FROM (SELECT count(*) AS copies FROM whole GROUP BY v HAVING count(*) > 1) GROUP BY copies"""
+ORACLES["vector_drift"] = with_(*fixed(), VEC) + """SELECT c.document_id, c.chunk_index, CASE WHEN c.document_id % 50 = 7 AND count(v.slot) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS distance,
+ c.document_id % 50 = 7 AND count(v.slot) > 0 AS drifted FROM chunks c LEFT JOIN vec v ON v.document_id = c.document_id AND v.chunk_index = c.chunk_index GROUP BY c.document_id, c.chunk_index"""
 VOCAB = f"""tt AS MATERIALIZED (SELECT doc_id AS document_id, unnest({tok('text')}) AS token FROM documents),
 n AS (SELECT count(*) AS n FROM documents),
 vocab AS MATERIALIZED (SELECT token, df, n, round(ln(n / (df + 1)::DOUBLE) * 10000)::BIGINT AS idf_q FROM (SELECT token, count(DISTINCT document_id) AS df FROM tt GROUP BY token) CROSS JOIN n),
@@ -346,6 +372,20 @@ l AS MATERIALIZED (SELECT vec_id, generate_subscripts(v, 1) AS slot, unnest(v) A
 nn AS (SELECT vec_id, sum(x * x)::DOUBLE AS n FROM l GROUP BY ALL)"""
 ORACLES["topk_cosine"] = with_(DENSE, """d AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::DOUBLE AS dot FROM l a JOIN l b USING (slot) GROUP BY ALL),
 s AS (SELECT query_id, d.vec_id, dot / (sqrt(b.n) * sqrt(a.n)) AS cos FROM d JOIN nn a ON a.vec_id = d.query_id JOIN nn b ON b.vec_id = d.vec_id)""") + """SELECT query_id, rank, vec_id, round(cos, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+_CELLS = with_(DENSE, """plane AS (SELECT h, j + 1 AS slot, ((x * x * x * 2654435761 + x * 40503) % 4294967296) // 65536 % 2001 - 1000 AS c FROM
+ (SELECT h, j, (h * 64 + j + 1)::BIGINT AS x FROM range(5) a(h), range(64) b(j))),
+m AS MATERIALIZED (SELECT vec_id, list(m ORDER BY h) AS m FROM (SELECT vec_id, h, sum(x * c)::BIGINT AS m FROM l JOIN plane USING (slot) GROUP BY ALL) GROUP BY vec_id),
+cell AS (SELECT vec_id, list_sum([CASE WHEN m[h + 1] >= 0 THEN 1 << h ELSE 0 END FOR h IN range(5)])::INT AS cell FROM m),
+mask AS (SELECT vec_id AS query_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum([CASE WHEN k & (1 << h) <> 0 THEN abs(m[h + 1]) ELSE 0 END FOR h IN range(5)]), k) AS n
+ FROM m, range(32) t(k) WHERE vec_id % 20 = 0),
+probe AS (SELECT query_id, xor(c.cell, k::INT) AS cell FROM mask JOIN cell c ON c.vec_id = query_id WHERE n <= 26),
+d AS (SELECT a.vec_id AS query_id, b.vec_id, sum(a.x * b.x)::DOUBLE AS dot FROM l a JOIN l b USING (slot) WHERE a.vec_id % 20 = 0 GROUP BY ALL),
+s AS (SELECT query_id, d.vec_id, dot / (sqrt(b.n) * sqrt(a.n)) AS cos FROM d JOIN nn a ON a.vec_id = d.query_id JOIN nn b ON b.vec_id = d.vec_id),
+ex AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM s),
+ap AS (SELECT query_id, vec_id, cos, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, vec_id) AS rank FROM s JOIN cell USING (vec_id) JOIN probe USING (query_id, cell))""")
+ORACLES["ann_topk"] = _CELLS + "SELECT query_id, rank, vec_id, round(cos, 6) AS similarity FROM ap WHERE rank <= 5"
+ORACLES["ann_recall"] = _CELLS + """SELECT count(*) AS neighbours, count(a.vec_id) AS found, round(count(a.vec_id) / count(*)::DOUBLE, 6) AS recall
+ FROM ex LEFT JOIN (SELECT * FROM ap WHERE rank <= 5) a USING (query_id, vec_id) WHERE ex.rank <= 5"""
 ORACLES["topk_sparse"] = with_(*corpus()) + "SELECT query_id, rank, document_id, chunk_index, similarity FROM hits"
 
 
@@ -355,6 +395,7 @@ def _scoped(where: str) -> list[str]:
 
 
 ORACLES["scoped_search"] = with_(*_scoped("AND d.source_type IN ('pdf', 'md', 'txt')")) + "SELECT query_id, rank, document_id, chunk_index, round(cos, 6) AS similarity FROM own WHERE rank <= 5"
+ORACLES["filtered_search"] = with_(*_scoped("AND d.source_type = 'md' AND cos >= 0.1 AND (document_id, chunk_index) IN (SELECT (document_id, chunk_index) FROM chunks WHERE page_start = 1)")) + "SELECT query_id, rank, document_id, chunk_index, round(cos, 6) AS similarity FROM own WHERE rank <= 10"
 ORACLES["tenant_audit"] = with_(*_scoped("")) + "SELECT count(*) AS rows_checked, 0 AS leaks FROM own WHERE rank <= 5"
 ORACLES["vector_distances"] = with_(DENSE, """p AS (SELECT a.vec_id, sum(a.x * b.x)::BIGINT AS dot, sum(a.x * a.x)::DOUBLE AS na, sum(b.x * b.x)::DOUBLE AS nb, sum((a.x - b.x) * (a.x - b.x))::DOUBLE AS sq FROM l a JOIN l b ON b.vec_id = a.vec_id + 1 AND a.slot = b.slot GROUP BY ALL)""") + "SELECT vec_id, dot, round(dot / (sqrt(na) * sqrt(nb)), 6) AS cosine, round(sqrt(sq) / 1000000, 6) AS euclidean FROM p"
 TFIDF = [VOCAB, QUESTIONS, f"""qw AS (SELECT query_id, token, count(*) * any_value(idf_q) AS w FROM (SELECT query_id, unnest({tok('question')}) AS token FROM questions) JOIN vocab USING (token) GROUP BY ALL),
@@ -451,9 +492,9 @@ ORACLES["child_tenant_audit"] = with_(*fixed()) + "SELECT count(*) AS rows_check
 # ---- evaluation
 
 
-def study(chars: int = 2048) -> list[str]:
+def study(chars: int = 2048, chunked: list[str] | None = None) -> list[str]:
     """Per query: gold tokens, best chunk, its standing, and what each rank covers."""
-    return fixed(chars) + [QUESTIONS, VEC, QVEC, SCORES, f"""gold AS MATERIALIZED (SELECT query_id, list_distinct({tok('question')}) AS g FROM questions),
+    return (chunked or fixed(chars)) + [QUESTIONS, VEC, QVEC, SCORES, f"""gold AS MATERIALIZED (SELECT query_id, list_distinct({tok('question')}) AS g FROM questions),
 ct AS MATERIALIZED (SELECT document_id, chunk_index, list_distinct({tok('content')}) AS t FROM chunks),
 over AS (SELECT query_id, document_id, chunk_index, len(list_intersect(g, t)) AS o FROM gold CROSS JOIN ct),
 best AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o DESC, document_id, chunk_index) AS n FROM over) WHERE n = 1),
@@ -475,11 +516,17 @@ _ROLL = """count(*) AS queries, round(avg(coverage), 6) AS coverage, round(avg((
  round(avg(CASE WHEN rank > 0 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, round(avg(kept::DOUBLE), 6) AS kept"""
 
 
-def _sweep(label: str, chars: int) -> str:
-    return "(" + with_(*study(chars)) + f"SELECT '{label}' AS config, k, floor, {_ROLL}, round(avg(span::DOUBLE), 6) AS best_span FROM cells GROUP BY k, floor)"
+def _sweep(label: str, chunked: list[str]) -> str:
+    return "(" + with_(*study(chunked=chunked)) + f"SELECT '{label}' AS config, k, floor, {_ROLL}, round(avg(span::DOUBLE), 6) AS best_span FROM cells GROUP BY k, floor)"
 
 
-ORACLES["eval_sweep"] = f"SELECT * FROM {_sweep('fixed 1024', 1024)} UNION ALL SELECT * FROM {_sweep('fixed 2048', 2048)}"
+_SWEPT = {
+    **{f"paragraph {n}": [*BASE, PARAGRAPHS, *packed_paragraphs(4 * n), _PLACED_PARAGRAPHS] for n in (512, 256, 128)},
+    **{f"token {n}": fixed(4 * n) for n in (256, 128, 64)},
+    **{f"overlap {a}/{b}": [*BASE, WORDS, *windows(4 * a, 4 * b), placed("span")] for a, b in ((256, 128), (256, 32), (128, 32))},
+    **{f"fixed {n} chars": fixed(n) for n in (512, 1024, 2048)},
+}
+ORACLES["eval_sweep"] = " UNION ALL ".join(f"SELECT * FROM {_sweep(label, chunked)}" for label, chunked in _SWEPT.items())
 ORACLES["resolve_goldens"] = with_(*BASE, GOLDENS, RESOLVED) + "SELECT item_id, expected_document, expected_page FROM resolved"
 _METRICS = [*study(), GOLDENS, RESOLVED, """metrics AS (SELECT g.item_id, g.expected_document, k.k,
   count(*) FILTER (WHERE r.rank <= k.k AND c.document_id = g.expected_document) > 0 AS document_hit,
@@ -566,6 +613,10 @@ _CHANGED = DOCS.replace("created_at, text FROM documents)", """created_at, text
 ORACLES["stream_ingest"] = with_(*[_CHANGED if p == DOCS else p for p in fixed()], VEC) + "SELECT c.document_id, c.chunk_index, any_value(c.token_count) AS token_count, count(v.slot) AS slots FROM chunks c LEFT JOIN vec v ON v.document_id = c.document_id AND v.chunk_index = c.chunk_index GROUP BY c.document_id, c.chunk_index"
 ORACLES["stream_telemetry"] = with_(REQUESTS) + f"""SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, method, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, count(*) FILTER (WHERE seconds <= {telemetry.HTTP_BUCKETS[5]}) AS le_5
  FROM requests WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL"""
+ORACLES["stream_rates"] = with_(REQUESTS, "e AS (SELECT method, epoch_us(ts) // 60000000 AS m FROM requests), w AS (SELECT (m - o) * 60 AS start_s, method FROM e CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS o))") + """SELECT start_s, method, count(*) AS events, round(count(*) / 300.0::DOUBLE, 9) AS per_second FROM w
+ WHERE (start_s + 300) * 1000000 <= (SELECT epoch_us(max(ts)) FROM requests) - 600000000 GROUP BY ALL"""
+ORACLES["stream_breaches"] = with_(REQUESTS) + """SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, client, count(*) AS requests, count(*) - 3 AS rejected FROM requests
+ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL HAVING count(*) > 3"""
 ORACLES["stream_ledger"] = with_(DOCS, JOBS, LEDGER) + "SELECT document_id, kind, status, attempts, ignored, error FROM led_out"
 ORACLES["stream_memory"] = with_(
     WSC_CTE, MESSAGES, history(20, 800), _EXPANDED[0], f"expanded AS ({_EXPANDED[1]})"

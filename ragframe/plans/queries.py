@@ -317,15 +317,26 @@ def chunk_paragraph(spark, root):
     return _chunks(spark, root, "paragraph", chunk_tokens=128).select(*CHUNK_COLUMNS)
 
 
+# ---- fixed values: the chunk settings that the evaluation compares ------------------------------
+CHUNK_CONFIGS = {
+    "paragraph 512": {"strategy": "paragraph", "chunk_tokens": 512},
+    "paragraph 256": {"strategy": "paragraph", "chunk_tokens": 256},
+    "paragraph 128": {"strategy": "paragraph", "chunk_tokens": 128},
+    "token 256": {"strategy": "token", "chunk_tokens": 256},
+    "token 128": {"strategy": "token", "chunk_tokens": 128},
+    "token 64": {"strategy": "token", "chunk_tokens": 64},
+    "overlap 256/128": {"strategy": "overlap", "chunk_tokens": 256, "overlap_tokens": 128},
+    "overlap 256/32": {"strategy": "overlap", "chunk_tokens": 256, "overlap_tokens": 32},
+    "overlap 128/32": {"strategy": "overlap", "chunk_tokens": 128, "overlap_tokens": 32},
+    "fixed 512 chars": {"strategy": "fixed", "chunk_chars": 512},
+    "fixed 1024 chars": {"strategy": "fixed", "chunk_chars": 1024},
+}
+# -------------------------------------------------------------------------------------------------
+
+
 @query
 def chunking_report(spark, root):
-    configs = {
-        "fixed 512 chars": {"strategy": "fixed", "chunk_chars": 512},
-        "fixed 1024 chars": {"strategy": "fixed", "chunk_chars": 1024},
-        "token 256": {"strategy": "token", "chunk_tokens": 256},
-        "token 512": {"strategy": "token", "chunk_tokens": 512},
-    }
-    report = chunking.chunking_report(cut_lineage(_bundles(spark, root).select("document_id", "organization_id", "pages")), configs)
+    report = chunking.chunking_report(_bundles(spark, root), {**CHUNK_CONFIGS, "token 512": {"strategy": "token", "chunk_tokens": 512}})
     return report.withColumn("mean_span", F.round("mean_span", 6))
 
 
@@ -391,6 +402,18 @@ def vector_integrity(spark, root):
     return copies.groupBy("copies").agg(F.count("*").alias("groups"))
 
 
+@query
+def vector_drift(spark, root):
+    """Stored vectors, some of them damaged, beside those of their text embedded again."""
+    rows = _embedded(spark, root).select("document_id", "chunk_index", "content", "vector")
+    moved = F.transform("vector", lambda x, i: F.struct(x.slot.alias("slot"), (x.q + F.when(i == 0, 500_000).otherwise(0)).alias("q")))
+    stored = rows.withColumn("vector", F.when(F.col("document_id") % 50 == 7, moved).otherwise(F.col("vector")))
+    path = _scratch(spark, "stored")
+    stored.write.parquet(path)
+    found = embedding.vector_drift(spark.read.parquet(path), "content", "vector")
+    return found.select("document_id", "chunk_index", F.round("distance", 6).alias("distance"), "drifted")
+
+
 @query
 def idf(spark, root):
     return embedding.vocabulary(_docs(spark, root), "text").select("token", "df", "n", "idf_q")
@@ -485,22 +508,37 @@ def tfidf_euclidean(spark, root):
     return retrieval.tfidf_topk(_questions(spark, root), _docs(spark, root), "document_id", "text", 3, "euclidean")
 
 
-def _ann(spark, root) -> tuple[DataFrame, DataFrame]:
+SEARCHED = "vec_id % 20 = 0"
+
+
+def _ann(spark, root) -> DataFrame:
     v = _vectors(spark, root)
-    centers = ann.train_cells(v, "vec_id", "q", cells=16)
-    items = retrieval.dense_items(v, "vec_id", "q")
-    return ann.ann_topk(v, v, "vec_id", "q", centers, 5, 4), retrieval.topk(retrieval.as_queries(items), items, 5)
+    path = _scratch(spark, "cells")
+    ann.write_cells(v, "q", path, dimensions=64)
+    return ann.stored_topk(spark.read.parquet(path), v.filter(SEARCHED), "vec_id", "q", dimensions=64)
 
 
 @query
 def ann_topk(spark, root):
-    found, _ = _ann(spark, root)
+    found = _ann(spark, root)
     return found.select("query_id", "rank", F.col("item_id").alias("vec_id"), F.round("score", 6).alias("similarity"))
 
 
 @query
 def ann_recall(spark, root):
-    return ann.recall(*_ann(spark, root))
+    items = retrieval.dense_items(_vectors(spark, root), "vec_id", "q")
+    asked = retrieval.dense_items(_vectors(spark, root).filter(SEARCHED), "vec_id", "q")
+    return ann.recall(_ann(spark, root), retrieval.topk(retrieval.as_queries(asked), items, 5))
+
+
+@query
+def filtered_search(spark, root):
+    """One search under tenant, owner, source type, chunk metadata and floor together."""
+    rows = _embedded(spark, root).withColumn("metadata", F.to_json(F.struct(F.col("page_start").alias("page"), F.lit("fixed").alias("strategy"))))
+    return retrieval.filtered_search(
+        _scoped_questions(spark, root), rows, tables.corpus_documents(spark, root), source_type="md",
+        metadata={"page": 1, "strategy": "fixed"}, floor=0.1, k=10,
+    )
 
 
 @query
@@ -799,11 +837,27 @@ def retrieval_report(spark, root):
 
 @query
 def eval_sweep(spark, root):
-    out = None
-    for label, chars in (("fixed 1024", 1024), ("fixed 2048", 2048)):
-        one = evaluation.roll_up(_grid(spark, root, chunk_chars=chars).withColumn("config", F.lit(label)), "config")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All chunk settings at every k and floor in one search: a setting is a scope, and numbers its own ids."""
+    configs = {**CHUNK_CONFIGS, "fixed 2048 chars": {"strategy": "fixed", "chunk_chars": 2048}}
+    n = len(configs)
+    bundles = cut_lineage(_bundles(spark, root).select("document_id", "organization_id", "pages"))
+    parts = [
+        embedding.hash_embed(chunking.chunk_bundles(bundles, **config)).select(
+            F.lit(label).alias("scope"), (F.col("document_id") * n + i).alias("document_id"), "chunk_index", "content",
+            "page_start", "page_end", "vector",
+        )
+        for i, (label, config) in enumerate(configs.items())
+    ]
+    chunks = parts[0]
+    for part in parts[1:]:
+        chunks = chunks.unionByName(part)
+    scopes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(label).alias("label")) for i, label in enumerate(configs)]))
+    q = _study_queries(spark, root).withColumn("c", scopes)
+    q = q.select(F.col("c.label").alias("scope"), (F.col("query_id") * n + F.col("c.i")).alias("query_id"), "question", "gold")
+    grid = evaluation.scored_grid(q, cut_lineage(chunks))
+    labels = F.array(*map(F.lit, configs))
+    grid = grid.withColumn("config", F.get(labels, (F.col("query_id") % n).cast("int")))
+    return evaluation.roll_up(grid, "config")
 
 
 def _headed(bundles: DataFrame) -> DataFrame:
@@ -980,6 +1034,29 @@ def stream_telemetry(spark, root):
     return out.select(F.unix_seconds("window_start").alias("start_s"), "method", "requests", "errors", "le_5")
 
 
+def _drained(spark, stream: DataFrame, path: str) -> DataFrame:
+    streams.run_once(stream, f"{path}/ck", lambda batch, n: sinks.write_batch(batch, f"{path}/out", n))
+    return spark.read.parquet(f"{path}/out")
+
+
+@query
+def stream_rates(spark, root):
+    """Sliding rates of the closed windows, requests deduplicated first."""
+    path = _scratch(spark, "rates")
+    out = _drained(spark, streams.telemetry_rates(_as_stream(spark, tables.requests(spark, root), path), "method"), path)
+    return out.select(F.unix_seconds("window_start").alias("start_s"), "method", "events", F.round("per_second", 9).alias("per_second"))
+
+
+@query
+def stream_breaches(spark, root):
+    """Clients over three requests a day, for the closed days; requests delivered twice count once."""
+    path = _scratch(spark, "breaches")
+    requests = tables.requests(spark, root)
+    twice = requests.unionByName(requests.filter("event_id % 4 = 0"))
+    out = _drained(spark, streams.breaches(_as_stream(spark, twice, path), 3, "1 day"), path)
+    return out.select(F.unix_seconds("window_start").alias("start_s"), "client", "requests", "rejected")
+
+
 @query
 def stream_ledger(spark, root):
     path = _scratch(spark, "ledger")

@@ -159,3 +159,26 @@ def test_no_shuffle_between_documents_and_vectors(spark):
         plan = hash_embed(ck.chunk_bundles(pg.document_bundles(docs), strategy))._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan
         assert ("Python" in plan) == (strategy == "overlap")
+
+
+def test_report_of_all_settings_matches_the_chunks(spark):
+    """One pass over lengths gives what chunking every document by every setting gives."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeé漢.") for _ in range(rng.choice([1, 3, 6, 9, 60])))
+    text = lambda: rng.choice(["\n", " ", "\n\n"]).join(" ".join(word() for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 12)))
+    docs = spark.createDataFrame([(i, "o", text()) for i in range(30)], "document_id bigint, organization_id string, text string")
+    bundles = pg.document_bundles(docs)
+    configs = {f"{s} {n}": {"strategy": s, "chunk_tokens": n, "chunk_chars": 4 * n, "overlap_tokens": n // 2} for s in ck.STRATEGIES for n in (16, 40)}
+    got = {r.config: r for r in ck.chunking_report(bundles, configs).collect()}
+    words = sum(len(w) + 1 for r in ck.chunk_bundles(bundles, "fixed", chunk_chars=1).collect() for w in r.content.split(" "))
+    for label, config in configs.items():
+        rows = ck.chunk_bundles(bundles, **config).collect()
+        tokens, spans = [r.token_count for r in rows], [r.page_end - r.page_start + 1 for r in rows]
+        again = sum(len(r.content) + 1 for r in rows) - words if config["strategy"] != "paragraph" else 0
+        want = (len(rows), sum(tokens), max(tokens), sum(spans) / len(rows), -(-again // 4))
+        r = got[label]
+        assert (r.chunks, r.tokens, r.max_tokens, r.redundant_tokens) == (*want[:3], want[4])
+        assert abs(r.mean_span - want[3]) < 1e-9
+    assert got["overlap 40"].redundant_tokens > 0 and got["token 40"].redundant_tokens == 0
+    empty = ck.chunking_report(bundles.limit(0), configs).collect()
+    assert [(r.chunks, r.tokens, r.redundant_tokens) for r in empty] == [(0, None, 0)] * len(configs)

@@ -164,6 +164,54 @@ def test_approximate_search_recall(spark):
     assert scores == sorted(scores) and scores[1] > 0.9 and scores[2] == 1.0
 
 
+def test_stored_cells_are_pruned_and_probed(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(12, 16)) * 6
+    rows = [(i, [int(x * 1e6) for x in centers[i % 12] + rng.normal(size=16)]) for i in range(600)]
+    v = spark.createDataFrame(rows, "id bigint, q array<bigint>")
+    path = str(tmp_path / "cells")
+    ann.write_cells(v, "q", path, 16, planes=4)
+    normals = np.array([ann.plane(n, 16) for n in range(4)], dtype=object)
+    cell = lambda q: sum(1 << n for n, m in enumerate(normals @ np.array(q, dtype=object)) if m >= 0)
+    table = spark.read.parquet(path)
+    assert {r.id: r.cell for r in table.collect()} == {i: cell(q) for i, q in rows}
+    asked = v.filter("id % 20 = 0")
+    items = rt.dense_items(v, "id", "q")
+    exact = rt.topk(rt.as_queries(rt.dense_items(asked, "id", "q")), items, 5)
+    found = [ann.stored_topk(table, asked, "id", "q", 16, 5, 4, p) for p in (1, 6, 16)]
+    scores = [ann.recall(f, exact).collect()[0].recall for f in found]
+    assert scores == sorted(scores) and scores[1] > 0.9 and scores[2] == 1.0
+    near = {r.id: [c.cell for c in r.cells] for r in ann.probe(asked, "q", 16, 4, 3).groupBy("id").agg(F.collect_list(F.struct("cell")).alias("cells")).collect()}
+    for i, q in rows[::20]:
+        m = [abs(int(x)) for x in normals @ np.array(q, dtype=object)]
+        best = sorted(range(16), key=lambda k: (sum(x for n, x in enumerate(m) if k >> n & 1), k))[:3]
+        assert sorted(near[i]) == sorted(cell(q) ^ k for k in best)
+    tiles_plan = found[0]._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in tiles_plan and "PartitionFilters" in tiles_plan
+
+
+def test_filters_come_before_the_best_k(spark):
+    texts = ["alpha beta gamma", "alpha beta", "alpha", "beta gamma", "gamma delta"]
+    docs = [(i, "o", "u", ("md", "pdf")[i % 2], "T", "ready", "ready") for i in range(10)]
+    documents = spark.createDataFrame(docs, "document_id long, organization_id string, uploaded_by string, source_type string, title string, status string, embedding_status string")
+    rows = [(i, 0, "o", "u", texts[i % 5], '{"page":%d}' % (i % 3)) for i in range(10)]
+    chunks = spark.createDataFrame(rows, "document_id long, chunk_index int, organization_id string, uploaded_by string, content string, metadata string")
+    chunks = embedding.hash_embed(chunks)
+    q = spark.createDataFrame([(1, "alpha beta", "o", "u"), (2, "alpha beta", "other", "u")], "query_id long, question string, organization_id string, uploaded_by string")
+    got = rt.filtered_search(q, chunks, documents, source_type="md", metadata={"page": 0}, floor=0.3, k=2, scope_columns=("organization_id", "uploaded_by"))
+    found = [(r.query_id, r.document_id, r.similarity) for r in got.orderBy("rank").collect()]
+    assert [f[:2] for f in found] == [(1, 6), (1, 0)]
+    assert found[0][2] == 1.0 and all(s >= 0.3 for _, _, s in found)
+
+
+def test_vector_drift(spark):
+    df = embedding.hash_embed(spark.createDataFrame([(1, "one two"), (2, "three"), (3, ""), (4, "four five")], "id int, content string"))
+    moved = F.when(F.col("id") == 2, F.array(F.struct(F.lit(400).alias("slot"), F.lit(1_000_000).cast("bigint").alias("q"))))
+    stored = df.withColumn("vector", F.when(F.col("id") == 4, F.lit(None)).otherwise(F.coalesce(moved, "vector")))
+    got = {r.id: (round(r.distance, 4), r.drifted) for r in embedding.vector_drift(stored, "content", "vector").collect()}
+    assert got == {1: (0.0, False), 2: (1.4142, True), 3: (0.0, False), 4: (1.0, True)}
+
+
 def test_validation_and_batches(spark):
     calls = []
 
