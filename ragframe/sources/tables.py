@@ -85,47 +85,62 @@ def questions(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-# Passages too short to be found by a run of words; a list of them is written into the plan.
-SHORT_PASSAGES = 1000
+# Passages of one or two words are looked for in every text, so many at a time.
+SHORT_BLOCK = 1000
+# Up to so many keys are held beside every document, so that its other runs never leave the row.
+HELD_KEYS = 10_000
+# A passage brings its inner words along as whole words: its key is a run of at most so many of them.
+RUN = 3
 
 
-def _runs(tokens: Column) -> Column:
-    """Hashes of all runs of three neighbouring words."""
-    at = F.sequence(F.lit(0), F.size(tokens) - 3)
-    run = lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1), F.get(tokens, i + 2))
-    return F.when(F.size(tokens) >= 3, F.transform(at, run)).otherwise(F.array().cast("array<bigint>"))
+def _runs(tokens: Column, length: int) -> Column:
+    """Hashes of all runs of so many neighbouring words."""
+    at = F.sequence(F.lit(0), F.size(tokens) - length)
+    run = lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(length)])
+    return F.when(F.size(tokens) >= length, F.transform(at, run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def passages_in_documents(passages: DataFrame, documents: DataFrame) -> DataFrame:
     """(passage_id, document_id) for every document whose text holds the whole passage verbatim.
 
-    A contained passage brings its inner words along as whole words, so words two to four of the
-    passage must occur as a run in the document: an equality join on hashes of such runs finds every
-    candidate without comparing all passages with all texts, and ``contains`` settles each one.
-    Passages under five words carry no such run: a short list of them is looked for in every text.
+    A contained passage brings its inner words along as whole words, so they, or the first three of them, must occur as
+    a run in the document: an equality join on hashes of such runs finds every candidate without comparing all
+    passages with all texts, and ``contains`` settles each one. While the keys are counted to be few, a document's runs
+    meet them inside the row, so that only candidates are shuffled; more of them are joined. Passages of one or two
+    words have no inner word: blocks of them are looked for in every text, one written block after the other.
     """
-    worded = passages.withColumn("_w", tx.words(F.col("passage")))
-    first = F.xxhash64(F.get("_w", F.lit(1)), F.get("_w", F.lit(2)), F.get("_w", F.lit(3)))
-    keys = worded.filter(F.size("_w") >= 5).select("passage_id", first.alias("run"))
+    n = F.size("_w")
+    worded = passages.select("passage_id", "passage", tx.seal(tx.words(F.col("passage"))).alias("_w"))
+    inner = lambda length: F.xxhash64(*[F.get("_w", F.lit(1 + j)) for j in range(length)])
+    keys = worded.filter(n >= 3).select(
+        "passage_id", F.least(n - 2, F.lit(RUN)).alias("length"),
+        F.when(n == 3, inner(1)).when(n == 4, inner(2)).otherwise(inner(RUN)).alias("run"),
+    )
+    keys = cut_lineage(keys)
+    lengths = [r.length for r in keys.select("length").distinct().collect()]  # at most RUN numbers
     spoken = documents.select("document_id", tx.seal(tx.words(F.col("text"))).alias("_w"))
-    hashed = spoken.select("document_id", tx.seal(_runs(F.col("_w"))).alias("_r"))
-    runs = hashed.select("document_id", F.explode("_r").alias("run"))
+    hashed = spoken.select("document_id", tx.seal(F.concat(F.array().cast("array<bigint>"), *[_runs(F.col("_w"), i) for i in lengths])).alias("_r"))
+    own = F.col("_r")
+    if keys.count() <= HELD_KEYS:
+        own = F.array_intersect("_r", keys.agg(F.collect_set("run")).scalar())
+    runs = hashed.select("document_id", F.explode(F.array_distinct(own)).alias("run"))
     candidates = cut_lineage(runs.join(keys, "run").select("passage_id", "document_id").distinct())
-    brief = worded.filter(F.size("_w") < 5).select("passage_id", "passage").limit(SHORT_PASSAGES + 1).collect()
-    if len(brief) > SHORT_PASSAGES:
-        raise ValueError(f"more than {SHORT_PASSAGES} passages of fewer than five words")
     found = (
         candidates.join(passages, "passage_id")
         .join(reduce_to(documents.select("document_id", "text"), candidates, ["document_id"]), "document_id")
         .filter(F.col("text").contains(F.col("passage")))
         .select("passage_id", "document_id", "passage")
     )
-    if not brief:
-        return found
-    listed = F.array(*[F.struct(F.lit(r.passage_id).alias("passage_id"), F.lit(r.passage).alias("passage")) for r in brief])
-    held = F.filter(listed, lambda p: F.col("text").contains(p["passage"]))
-    direct = documents.select("document_id", F.explode(held).alias("p"))
-    return found.unionByName(direct.select("p.passage_id", "document_id", "p.passage"))
+    brief = cut_lineage(worded.filter(n < 3).select("passage_id", "passage"))
+    blocks = -(-brief.count() // SHORT_BLOCK)
+    for block in range(blocks):
+        mine = brief.filter(F.pmod(F.xxhash64("passage_id"), F.lit(blocks)) == block).collect()  # about SHORT_BLOCK passages
+        if mine:
+            listed = F.array(*[F.struct(F.lit(r.passage_id).alias("passage_id"), F.lit(r.passage).alias("passage")) for r in mine])
+            held = F.filter(listed, lambda p: F.col("text").contains(p["passage"]))
+            direct = documents.select("document_id", F.explode(held).alias("p")).select("p.passage_id", "document_id", "p.passage")
+            found = found.unionByName(cut_lineage(direct))
+    return found
 
 
 def goldens(spark: SparkSession, root: str) -> DataFrame:

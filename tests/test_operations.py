@@ -215,3 +215,21 @@ def test_goldens_without_a_page(spark):
     assert {r.item_id: r.expected_page for r in ev.resolve_goldens(g, pages).collect()} == {1: 3, 2: None}
     with pytest.raises(Exception, match="golden without a page"):
         ev.resolve_goldens(g, pages, strict=True).collect()
+
+
+@pytest.mark.parametrize("held", [0, 10_000])
+def test_passages_of_every_length(spark, monkeypatch, held):
+    """Passages of one to nine words, cut inside words too, and more short ones than a block holds."""
+    monkeypatch.setattr(tables, "HELD_KEYS", held)
+    rng = random.Random(17)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(14)]
+    texts = [rng.choice([" ", "  ", "\n"]).join(rng.choices(words, k=rng.randint(0, 40))) for _ in range(60)]
+    cut = [t[i : i + rng.randint(1, 30)] for t in texts for i in [rng.randint(0, max(0, len(t) - 1))]]
+    passages = list(dict.fromkeys([*cut, *words, "zzz", "a zzz b", "zz a b zz", " a", "", *[f"{a} {b}" for a in words for b in words]]))
+    passages += [f"{a}{b}{c}{d}" for a in "abc" for b in "abc" for c in "abcdefg" for d in "abcdefghijklmnopqrstuvwxyz"]
+    passages = [p for p in dict.fromkeys(passages) if p]
+    docs = spark.createDataFrame(list(enumerate(texts)), "document_id bigint, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "passage_id bigint, passage string")
+    assert sum(len(p.split()) < 3 for p in passages) > tables.SHORT_BLOCK
+    got = sorted((r.passage_id, r.document_id) for r in tables.passages_in_documents(asked, docs).collect())
+    assert got == sorted((i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p in t)
