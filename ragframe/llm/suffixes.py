@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings by prefix-free parsing and suffix order.
-
-A rolling hash picks triggers: of every REACH consecutive places the one with the least hash, so every string of
-``length`` bytes holds its own trigger near its start, whatever surrounds it. Triggers cut a text into phrases. The
-dictionary, counted by Spark, is of the contexts that follow triggers: a context found once cannot lie in a repeat,
-and goes no further. What is left is put in corpus order from two suffix orders, that of the phrase ends before the
-triggers and that of the text after them: strings are equal where both orders put them within long enough common
-prefixes. The orders compare bytes, so equality is exact.
+"""Removal of repeated byte strings by grouping texts at content-defined triggers and ordering what surrounds them.
+
+This is not prefix-free parsing, which would need suffix arrays of a phrase dictionary and of the parse: no order of
+the whole corpus is built. A rolling hash picks triggers: of every REACH consecutive places the one with the least hash,
+so every string of ``length`` bytes holds its own trigger near its start, whatever surrounds it. Spark counts the
+contexts that follow triggers, by a 64-bit hash: a context found once cannot lie in a repeat, and goes no further. The
+places of a repeated context are put in two orders, by the bytes before the trigger and by the text after it: strings
+are equal where both orders put them within long enough common prefixes. The orders compare bytes.
 """
 
 from __future__ import annotations
