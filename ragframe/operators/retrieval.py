@@ -13,21 +13,15 @@ from ragframe.operators import embedding, tiles
 
 DEFAULT_K = 5
 MAX_K = 20
-ID_SHIFT = 1 << 20  # chunks of one document fit below
 
 
 def item_id(document_id: Column, chunk_index: Column) -> Column:
-    """One sortable number for (document, chunk); its order is the tie-break everywhere."""
-    fits = (chunk_index >= 0) & (chunk_index < ID_SHIFT) & (document_id >= 0) & (document_id < 2**43)
-    packed = document_id * F.lit(ID_SHIFT) + chunk_index
-    return F.when(fits, packed).otherwise(F.raise_error(F.lit("document or chunk number out of range")).cast("bigint"))
+    """(document, chunk) as a pair of whole numbers of any size; its order is the tie-break everywhere."""
+    return F.struct(document_id.cast("bigint").alias("document_id"), chunk_index.cast("int").alias("chunk_index"))
 
 
 def split_item(item: Column) -> list[Column]:
-    return [
-        F.floor(item / F.lit(ID_SHIFT)).cast("bigint").alias("document_id"),
-        (item % F.lit(ID_SHIFT)).cast("int").alias("chunk_index"),
-    ]
+    return [item["document_id"].alias("document_id"), item["chunk_index"].alias("chunk_index")]
 
 
 def scope(*parts: Column) -> Column:
@@ -119,7 +113,8 @@ def topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, metric: str =
         raise ValueError(f"k must be between 1 and {MAX_K}")
     if metric not in ("cosine", "dot", "euclidean"):
         raise ValueError(f"unknown metric: {metric}")
-    best = tiles.run_tiles(queries, items, tiles.topk_kernel(k, metric), **tiling)
+    kernel = tiles.topk_kernel(k, metric, items.schema["item_id"].dataType)
+    best = tiles.run_tiles(queries, items, kernel, **tiling)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -190,8 +190,8 @@ def test_retrieval_fractions(spark):
     chunks = spark.createDataFrame([(1, 0, 1, 1), (1, 1, 2, 3), (1, 2, 2, 2), (2, 0, 2, 2), (1, 3, 2, 2)], "document_id bigint, chunk_index int, page_start int, page_end int")
     g = spark.createDataFrame([(7, 1, 2), (8, 3, 1)], "item_id bigint, expected_document bigint, expected_page int")
     order = [(1, 1), (2, 0), (1, 2), (1, 0), (1, 3)]
-    rows = [(q, d * (1 << 20) + c, r + 1) for q in (7, 8) for r, (d, c) in enumerate(order)]
-    top = spark.createDataFrame(rows, "query_id bigint, item_id bigint, rank int")
+    rows = [(q, pair, r + 1) for q in (7, 8) for r, pair in enumerate(order)]
+    top = spark.createDataFrame(rows, "query_id bigint, item_id struct<document_id: bigint, chunk_index: int>, rank int")
     got = {(r.item_id, r.k): (r.document_hit, r.page_hit, r.precision, r.recall) for r in ev.retrieval_metrics(g, top, chunks, [1, 3, 5]).collect()}
     assert got[(7, 1)] == (True, True, 1.0, 1 / 3) and got[(7, 3)] == (True, True, 2 / 3, 2 / 3) and got[(7, 5)] == (True, True, 3 / 5, 1.0)
     assert got[(8, 5)] == (False, False, 0.0, None)

@@ -121,11 +121,22 @@ def test_metadata_containment(spark):
     assert count({"a.b": 2}) == 1 and count({"it's [0]": True}) == 1 and count({"it's [0]": False}) == 0 and count({"q": 'say "é"'}) == 1
 
 
-def test_packed_ids_never_collide(spark):
-    pairs = spark.createDataFrame([(0, 1048577), (2**43, 0), (-1, 0)], "d bigint, c bigint")
-    for r in pairs.collect():
-        with pytest.raises(Exception, match="out of range"):
-            pairs.filter(F.col("d") == r.d).select(rt.item_id(F.col("d"), F.col("c"))).collect()
+@pytest.mark.parametrize("mode", MODES)
+def test_any_document_and_chunk_number_is_an_item(spark, mode):
+    # hashed 64-bit ids, negative ones and chunk numbers beyond a million, all tied
+    pairs = [(d, c) for d in (-(2**63), -1, 0, 2**43, 2**63 - 1) for c in (0, 2**20, 2**31 - 1)]
+    chunks = spark.createDataFrame(
+        [(d, c, "tenant", [(3, 1000000)]) for d, c in reversed(pairs)],
+        "document_id bigint, chunk_index int, organization_id string, vector array<struct<slot: int, q: bigint>>",
+    )
+    items = rt.sparse_items(chunks, ["organization_id"]).repartition(4)
+    asked = spark.createDataFrame([("tenant", 5, [3], [1], 1)], "scope string, item_id bigint, features array<int>, weights array<bigint>, norm2 bigint")
+    found = rt.topk(rt.as_queries(asked), items, 12, **mode).select("rank", *rt.split_item(F.col("item_id"))).orderBy("rank")
+    assert [(r.document_id, r.chunk_index) for r in found.collect()] == sorted(pairs)[:12]
+    # a target in the midst: as many of the tied items stand above it as have smaller pairs
+    marked = rt.as_queries(asked).withColumn("target_id", rt.item_id(F.lit(-1).cast("bigint"), F.lit(2**20))).withColumn("target_score", F.lit(1000000.0))
+    stood = tiles.run_tiles(marked, items, tiles.standing_kernel([0.5], "dot", 1e6), **mode)
+    assert stood.agg(F.sum("above")).first()[0] == sorted(pairs).index((-1, 2**20))
 
 
 def test_tfidf_against_a_plain_definition(spark):
