@@ -161,6 +161,24 @@ def retry_schedule(jobs: DataFrame, backoff_seconds: float = 5.0) -> DataFrame:
     )
 
 
+def run_outcomes(jobs: DataFrame) -> DataFrame:
+    """(document_id, kind, outcome, seconds) of each settled run: processed or embedded, retrying or failed."""
+    failed = retry_schedule(jobs).select("document_id", "kind", F.col("outcome").alias("_failed"))
+    settled = jobs.filter(F.col("status").isin("succeeded", "failed"))
+    done = F.when(F.col("kind") == "process", "processed").otherwise("embedded")
+    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1000000
+    return settled.join(failed, ["document_id", "kind"], "left").select(
+        "document_id", "kind", F.coalesce("_failed", done).alias("outcome"), seconds.alias("seconds")
+    )
+
+
+def outcome_counts(runs: DataFrame) -> DataFrame:
+    """(kind, processed, embedded, retrying, failed, failure_rate): failed runs over all that settled."""
+    names = ("processed", "embedded", "retrying", "failed")
+    counts = [F.count_if(F.col("outcome") == n).alias(n) for n in names]
+    return runs.groupBy("kind").agg(*counts, (F.count_if(F.col("outcome") == "failed") / F.count("*")).alias("failure_rate"))
+
+
 def job_timings(jobs: DataFrame, as_of: Column) -> DataFrame:
     """Run and wait time in milliseconds."""
     micros = F.unix_micros

@@ -6,16 +6,36 @@ Spark side uses folds, patterns and kernels), so that an error has to be made tw
 
 from __future__ import annotations
 
-from ragframe.functions import text as tx
-from ragframe.operators import answering, telemetry
-
 ORACLES: dict[str, str] = {}
 
-WS = tx.WS.replace("'", "''")
-WSC = "concat(" + ",".join(f"chr({ord(c)})" for c in tx.WS_CHARS) + ")"
-STOP = "[" + ",".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
-EVAL_STOP = "[" + ",".join(f"'{w}'" for w in tx.EVAL_STOPWORDS) + "]"
-PROMPT = answering.SYSTEM_PROMPT.replace("'", "''")
+# ---- fixed values, stated again so that a wrong one in the library shows -------------------------
+SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+EVAL_WORDS = (
+    "a an and are as at be been but by can could did do does for from had has have he her hers him his how i if in "
+    "into is it its me my no not of on or our ours out over she so than that the their theirs them then there these "
+    "they this those to too up us was we were what when where which who why will with would you your yours"
+).split()
+ANSWER_WORDS = [*EVAL_WORDS, "here", "yes"]
+HTTP_LADDER = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10]
+AI_LADDER = [0.01, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60]
+JOB_LADDER = [0.01, 0.05, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60, 300]
+PERCENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+CONTEXT_BUDGET = 1200
+FOLLOW_UP = (
+    r"(?i)\b(what about|how about|whats with|what's with|and then|and the|and why|what is that|is that|are those|these|"
+    r"those|them|they|it this|it that|same thing|same rule|same policy|and|about that|on that)\b"
+)
+PRONOUNS = r"(?i)\b(it|this|that|those|them|they|these)\b"
+PROMPT = (
+    "Answer only from the numbered context passages. Cite every claim as [n]. "
+    "If the passages do not hold the answer, reply exactly: \"I don''t know.\""
+)
+# -------------------------------------------------------------------------------------------------
+
+WS = "[" + "".join(f"\\x{{{c:x}}}" for c in SPACES) + "]"
+WSC = "concat(" + ",".join(f"chr({c})" for c in SPACES) + ")"
+STOP = "[" + ",".join(f"'{w}'" for w in ANSWER_WORDS) + "]"
+EVAL_STOP = "[" + ",".join(f"'{w}'" for w in EVAL_WORDS) + "]"
 NL = "chr(10)"
 EPOCH = "TIMESTAMP '2024-01-01 00:00:00'"
 
@@ -175,7 +195,7 @@ def corpus(k: int = 5, floor: float | None = None, chars: int = 2048) -> list[st
     return fixed(chars) + [QUESTIONS, VEC, QVEC, SCORES, search(k, floor)]
 
 
-def context(budget: int = answering.CONTEXT_TOKENS) -> str:
+def context(budget: int = CONTEXT_BUDGET) -> str:
     """The greedy budget by recursion over ranks: the first stays, later ones enter where they fit."""
     return f"""cand AS MATERIALIZED (SELECT h.query_id, row_number() OVER (PARTITION BY h.query_id ORDER BY greatest(0.0, least(1.0, h.similarity)) DESC, h.rank) AS r,
   greatest(0.0, least(1.0, h.similarity)) AS similarity, h.document_id, h.chunk_index, c.content AS text, c.page_number AS page, c.section, c.token_count AS cost
@@ -449,7 +469,7 @@ ORACLES["answer_usage"] = with_(*ANSWERED, RENDERED) + f"""SELECT query_id, CASE
  CASE WHEN refused THEN 0 ELSE {est('quote')} END AS completion_tokens, CASE WHEN refused THEN 0 ELSE greatest(1, {est('question')} + {est('quote')}) END AS total_tokens FROM answers LEFT JOIN rendered USING (query_id)"""
 
 # ---- conversations
-REF = f"(regexp_matches(content, '{tx.REFERENTIAL.replace(chr(39), chr(39) * 2)}') OR regexp_matches(content, '{tx.PRONOUN}'))"
+REF = f"(regexp_matches(content, '{FOLLOW_UP.replace(chr(39), chr(39) * 2)}') OR regexp_matches(content, '{PRONOUNS}'))"
 ORACLES["referential_turns"] = with_(MESSAGES) + f"SELECT conversation_id, position, {REF} AS referential FROM messages WHERE role = 'user'"
 _EXPANDED = (f"""sides AS (SELECT conversation_id, asked, max_by(content, position) FILTER (WHERE role = 'user') AS u, max_by(content, position) FILTER (WHERE role = 'assistant') AS a FROM hist GROUP BY ALL),
  seen AS (SELECT m.*, u, a FROM messages m LEFT JOIN sides s ON s.conversation_id = m.conversation_id AND s.asked = m.position WHERE role = 'user'),
@@ -582,8 +602,14 @@ ORACLES["section_gate_study"] = " UNION ALL ".join(
 ORACLES["request_counts"] = with_(REQUESTS) + "SELECT method, '/api/v1/documents/:id' AS route, status, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors FROM requests GROUP BY method, status"
 ORACLES["sliding_rate"] = with_(REQUESTS, "e AS (SELECT method, epoch_us(ts) // 60000000 AS m FROM requests), w AS (SELECT (m - o) * 60 AS start_s, method FROM e CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS o))") + "SELECT start_s, method, count(*) AS events, round(count(*) / 300.0::DOUBLE, 9) AS per_second FROM w GROUP BY ALL"
 ORACLES["error_pct"] = with_(REQUESTS) + "SELECT method, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, round(100.0::DOUBLE * count(*) FILTER (WHERE status >= 400) / greatest(count(*)::DOUBLE, 0.0001), 6) AS error_pct FROM requests GROUP BY method"
-_LES = "[" + ", ".join(f"{b}::DOUBLE" for b in telemetry.HTTP_BUCKETS) + ", 'inf'::DOUBLE]"
-HIST = f"hist AS (SELECT operation, le, count(*) FILTER (WHERE seconds <= le) AS cumulative FROM requests CROSS JOIN (SELECT unnest({_LES}) AS le) GROUP BY ALL)"
+
+
+def les(ladder: list[float]) -> str:
+    return "[" + ", ".join(f"{b}::DOUBLE" for b in ladder) + ", 'inf'::DOUBLE]"
+
+
+LE_NAME = "CASE WHEN isinf(le) THEN '+Inf' ELSE format('{:.3f}', le) END AS le"
+HIST = f"hist AS (SELECT operation, le, count(*) FILTER (WHERE seconds <= le) AS cumulative FROM requests CROSS JOIN (SELECT unnest({les(HTTP_LADDER)}) AS le) GROUP BY ALL)"
 ORACLES["latency_histogram"] = with_(REQUESTS, HIST) + "SELECT operation, CASE WHEN isinf(le) THEN '+Inf' ELSE format('{:.3f}', le) END AS le, cumulative FROM hist"
 ORACLES["histogram_quantile"] = with_(REQUESTS, HIST, """b AS (SELECT *, lag(le, 1, 0.0::DOUBLE) OVER w AS lo, lag(cumulative, 1, 0) OVER w AS below, max(cumulative) OVER (PARTITION BY operation) AS n, max(CASE WHEN NOT isinf(le) THEN le END) OVER (PARTITION BY operation) AS top
  FROM hist WINDOW w AS (PARTITION BY operation ORDER BY le)),
@@ -592,11 +618,19 @@ ORACLES["token_usage"] = with_(WSC_CTE, MESSAGES, f"c AS (SELECT role, {est('con
 ORACLES["job_timings"] = with_(DOCS, JOBS) + f"""SELECT document_id, kind, status, (epoch_us(coalesce(finished_at, TIMESTAMP '2024-02-01 00:00:00')) - epoch_us(started_at)) / 1000.0::DOUBLE AS run_ms, (epoch_us(started_at) - epoch_us(enqueued_at)) / 1000.0::DOUBLE AS wait_ms FROM jobs"""
 ORACLES["stale_jobs"] = with_(DOCS, JOBS) + "SELECT document_id, kind, attempts, epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - epoch(started_at)::BIGINT AS age_seconds FROM jobs WHERE status = 'processing' AND epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - epoch(started_at)::BIGINT > 600"
 ORACLES["latency_summary"] = with_(REQUESTS, "s AS (SELECT operation, list_sort(list(seconds)) AS v, sum(round(seconds * 1000000)::BIGINT) AS micro FROM requests GROUP BY 1)") + "SELECT operation, len(v) AS n, round(micro / len(v) / 1000000, 4) AS mean, " + ", ".join(
-    f"v[least(len(v) - 1, floor({p}::DOUBLE * len(v))::BIGINT) + 1] AS {n}" for n, p in telemetry.QUANTILES.items()
+    f"v[least(len(v) - 1, floor({p}::DOUBLE * len(v))::BIGINT) + 1] AS {n}" for n, p in PERCENTILES.items()
 ) + ", v[len(v)] AS max FROM s"
 ORACLES["throughput"] = with_(REQUESTS, "s AS (SELECT operation, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000.0::DOUBLE AS seconds FROM requests GROUP BY 1)") + "SELECT operation, n, round(seconds, 3) AS seconds, round(n * 60.0::DOUBLE / seconds, 6) AS per_minute FROM s"
 ORACLES["retry_schedule"] = with_(DOCS, JOBS, """t AS (SELECT *, NOT CASE kind WHEN 'process' THEN contains(error, 'pdf extraction failed') ELSE contains(error, 'not retryable') OR contains(error, 'retries exhausted') END AS transient FROM jobs WHERE status = 'failed')""") + """SELECT document_id, kind, attempts, error, transient, CASE WHEN transient AND attempts < max_attempts THEN 'retrying' ELSE 'failed' END AS outcome,
  CASE WHEN transient AND attempts < max_attempts THEN 5.0::DOUBLE * pow(2.0::DOUBLE, greatest(0, attempts - 1)) END AS delay_seconds, transient AND attempts >= max_attempts AS flags_document FROM t"""
+OUTCOMES = """runs AS (SELECT kind, CASE WHEN status = 'succeeded' AND kind = 'process' THEN 'processed' WHEN status = 'succeeded' THEN 'embedded'
+ WHEN attempts < max_attempts AND NOT CASE kind WHEN 'process' THEN contains(error, 'pdf extraction failed') ELSE contains(error, 'not retryable') OR contains(error, 'retries exhausted') END THEN 'retrying'
+ ELSE 'failed' END AS outcome, (epoch_us(finished_at) - epoch_us(started_at)) / 1000000.0::DOUBLE AS seconds FROM jobs WHERE status IN ('succeeded', 'failed'))"""
+ORACLES["job_outcomes"] = with_(DOCS, JOBS, OUTCOMES) + "SELECT kind, " + ", ".join(f"sum((outcome = '{o}')::INT)::BIGINT AS {o}" for o in ("processed", "embedded", "retrying", "failed")) + ", round(avg((outcome = 'failed')::INT::DOUBLE), 6) AS failure_rate FROM runs GROUP BY kind"
+ORACLES["job_duration_histogram"] = with_(DOCS, JOBS, OUTCOMES) + f"SELECT outcome, {LE_NAME}, cumulative FROM (SELECT outcome, le, sum((seconds <= le)::INT)::BIGINT AS cumulative FROM runs CROSS JOIN (SELECT unnest({les(JOB_LADDER)}) AS le) GROUP BY ALL)"
+ORACLES["ai_duration_histogram"] = with_(REQUESTS) + f"SELECT operation, {LE_NAME}, cumulative FROM (SELECT operation, le, sum((seconds <= le)::INT)::BIGINT AS cumulative FROM requests CROSS JOIN (SELECT unnest({les(AI_LADDER)}) AS le) WHERE method = 'POST' GROUP BY ALL)"
+ORACLES["auth_rate_breaches"] = with_(REQUESTS) + """SELECT epoch_us(ts) // 604800000000 * 604800 AS start_s, CASE WHEN client % 2 = 0 THEN client::VARCHAR ELSE concat('socket ', client) END AS client, count(*) AS requests, count(*) - 10 AS rejected
+ FROM requests WHERE operation IN ('signup', 'error') GROUP BY ALL HAVING count(*) > 10"""
 # Every job's events are known by construction: r bounced runs, then the last step of its status.
 LEDGER = """led AS (SELECT document_id, kind, status, epoch(enqueued_at)::BIGINT AS t0, CASE WHEN status = 'queued' THEN 0 ELSE document_id % 4 END AS r FROM jobs),
 led_out AS (SELECT document_id, kind, status, CASE WHEN status = 'queued' THEN 0 ELSE r + 1 END AS attempts,
@@ -611,13 +645,22 @@ ORACLES["rate_limit_breaches"] = with_(REQUESTS) + "SELECT epoch(date_trunc('day
 _CHANGED = DOCS.replace("created_at, text FROM documents)", """created_at, text FROM (SELECT * REPLACE (
  CASE WHEN doc_id % 5 = 0 THEN reverse(text) WHEN doc_id % 3 = 0 THEN substr(text, 1, (length(text) // 2)::BIGINT) ELSE text END AS text) FROM documents))""")
 ORACLES["stream_ingest"] = with_(*[_CHANGED if p == DOCS else p for p in fixed()], VEC) + "SELECT c.document_id, c.chunk_index, any_value(c.token_count) AS token_count, count(v.slot) AS slots FROM chunks c LEFT JOIN vec v ON v.document_id = c.document_id AND v.chunk_index = c.chunk_index GROUP BY c.document_id, c.chunk_index"
-ORACLES["stream_telemetry"] = with_(REQUESTS) + f"""SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, method, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, count(*) FILTER (WHERE seconds <= {telemetry.HTTP_BUCKETS[5]}) AS le_5
+ORACLES["stream_telemetry"] = with_(REQUESTS) + f"""SELECT epoch(date_trunc('hour', ts))::BIGINT AS start_s, method, count(*) AS requests, count(*) FILTER (WHERE status >= 400) AS errors, count(*) FILTER (WHERE seconds <= 0.25) AS le_5
  FROM requests WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL"""
 ORACLES["stream_rates"] = with_(REQUESTS, "e AS (SELECT method, epoch_us(ts) // 60000000 AS m FROM requests), w AS (SELECT (m - o) * 60 AS start_s, method FROM e CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS o))") + """SELECT start_s, method, count(*) AS events, round(count(*) / 300.0::DOUBLE, 9) AS per_second FROM w
  WHERE (start_s + 300) * 1000000 <= (SELECT epoch_us(max(ts)) FROM requests) - 600000000 GROUP BY ALL"""
 ORACLES["stream_breaches"] = with_(REQUESTS) + """SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, client, count(*) AS requests, count(*) - 3 AS rejected FROM requests
  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL HAVING count(*) > 3"""
 ORACLES["stream_ledger"] = with_(DOCS, JOBS, LEDGER) + "SELECT document_id, kind, status, attempts, ignored, error FROM led_out"
+# What the watermark has passed, from the number of the last event that it passed: claims come first, third, ...
+ORACLES["stream_ledger_timeouts"] = with_(DOCS, JOBS, LEDGER, """ends AS (SELECT *, CASE status WHEN 'queued' THEN 1 WHEN 'processing' THEN 3 * r + 1 ELSE 3 * r + 2 END AS final FROM led),
+mark AS (SELECT max(t0 + final) - 600 AS w FROM ends),
+upto AS (SELECT ends.*, w, least(final, w - t0) AS n FROM ends, mark WHERE w >= t0),
+shown AS (SELECT *, CASE WHEN status = 'queued' OR n % 3 = 0 THEN 'queued' WHEN n % 3 = 1 THEN 'processing' WHEN n = final THEN status ELSE 'failed' END AS st FROM upto),
+late AS (SELECT *, st = 'processing' AND t0 + n + 600 < w AS lost FROM shown)""") + """SELECT document_id, kind, CASE WHEN lost THEN 'queued' ELSE st END AS status, CASE WHEN status = 'queued' THEN 0 ELSE (n + 2) // 3 END AS attempts,
+ CASE WHEN status = 'queued' AND n = 1 THEN 1 ELSE 0 END + CASE WHEN kind = 'embed' AND document_id % 5 = 1 THEN 1 ELSE 0 END AS ignored,
+ CASE WHEN lost THEN 'no outcome after 600 s' WHEN st = 'failed' OR (st = 'queued' AND status <> 'queued' AND n > 0) THEN concat('attempt ', n) END AS error,
+ CASE WHEN lost OR st = 'queued' THEN NULL WHEN st = 'processing' THEN t0 + n ELSE t0 + n - 1 END AS started_s, CASE WHEN st IN ('succeeded', 'failed') THEN t0 + n END AS finished_s FROM late"""
 ORACLES["stream_memory"] = with_(
     WSC_CTE, MESSAGES, history(20, 800), _EXPANDED[0], f"expanded AS ({_EXPANDED[1]})"
 ) + """SELECT e.conversation_id, e.position, any_value(e.expanded) AS expanded, coalesce(string_agg(h.position::VARCHAR, ',' ORDER BY h.position) FILTER (WHERE h.position IS NOT NULL), '') AS kept

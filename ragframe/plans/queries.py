@@ -22,6 +22,7 @@ from ragframe.plans import flows
 from ragframe.session import checkpoint_dir, cut_lineage, pin_session
 from ragframe.sources import files, sinks, tables
 from ragframe.streaming import jobs as streams
+from ragframe.streaming import timed_ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -928,6 +929,39 @@ def latency_histogram(spark, root):
     return h.select("operation", F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.format_number("le", 3)).alias("le"), "cumulative")
 
 
+def _le(h: DataFrame, label: str) -> DataFrame:
+    return h.select(label, F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.format_number("le", 3)).alias("le"), "cumulative")
+
+
+@query
+def ai_duration_histogram(spark, root):
+    """Model calls on their own ladder of buckets."""
+    calls = tables.requests(spark, root).filter("method = 'POST'")
+    return _le(telemetry.latency_histogram(calls, "seconds", "operation", telemetry.AI_BUCKETS), "operation")
+
+
+@query
+def job_outcomes(spark, root):
+    o = ledger.outcome_counts(ledger.run_outcomes(tables.jobs(spark, root)))
+    return o.withColumn("failure_rate", F.round("failure_rate", 6))
+
+
+@query
+def job_duration_histogram(spark, root):
+    runs = ledger.run_outcomes(tables.jobs(spark, root))
+    return _le(telemetry.latency_histogram(runs, "seconds", "outcome", telemetry.JOB_BUCKETS), "outcome")
+
+
+@query
+def auth_rate_breaches(spark, root):
+    """Signups and errors read as calls of the sign-in routes, half of them through a proxy; ten calls a week."""
+    r = tables.requests(spark, root).filter(F.col("operation").isin("signup", "error"))
+    proxied = F.when(F.col("client") % 2 == 0, F.concat(F.lit(" "), F.col("client"), F.lit(" , 10.0.0.1"))).when(F.col("client") % 3 == 0, "")
+    called = r.withColumn("client", telemetry.client_of(proxied, F.concat(F.lit("socket "), F.col("client"))))
+    b = telemetry.rate_limit_breaches(called, telemetry.AUTH_RATE_LIMIT, "7 days")
+    return b.select(F.unix_seconds("window_start").alias("start_s"), "client", "requests", "rejected")
+
+
 @query
 def histogram_quantile(spark, root):
     h = telemetry.latency_histogram(tables.requests(spark, root), "seconds", "operation")
@@ -1066,6 +1100,27 @@ def stream_ledger(spark, root):
     return jobs.select("document_id", "kind", "status", "attempts", "ignored", "error")
 
 
+@query
+def stream_ledger_timeouts(spark, root):
+    """The ledger in event time with its time-out: four deliveries, events up to five minutes out of order."""
+    own = timed_ledger.timer_session(spark)
+    path = _scratch(own, "timed-ledger")
+    events = tables.ledger_events(own, root)
+    lo, hi = events.agg(F.min(F.unix_seconds("at")), F.max(F.unix_seconds("at"))).first()
+    arrival = F.unix_seconds("at") + F.pmod(F.xxhash64("document_id", "kind", "seq"), F.lit(300))
+    part = F.least(F.floor((arrival - F.lit(lo)) * 4 / F.lit(max(1, (hi or 0) - (lo or 0)))), F.lit(3))
+    dealt = events.withColumn("part", part)
+    for n in range(4):
+        dealt.filter(F.col("part") == n).drop("part").write.mode("append").parquet(f"{path}/in")
+        source = own.readStream.schema(events.schema).parquet(f"{path}/in")
+        streams.run_once(timed_ledger.timed_ledger(source), f"{path}/ck", streams.ledger_writer(f"{path}/out"), "update")
+    r = streams.current_jobs(own, f"{path}/out")
+    return r.select(
+        "document_id", "kind", "status", "attempts", "ignored", "error",
+        F.unix_seconds("started_at").alias("started_s"), F.unix_seconds("finished_at").alias("finished_s"),
+    )
+
+
 @query
 def stream_memory(spark, root):
     path = _scratch(spark, "memory")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ragframe.operators import conversations, ledger
 from ragframe.streaming import jobs as st
+from ragframe.streaming import timed_ledger as tl
 from helpers import EVENTS, random_events
 
 
@@ -132,3 +133,54 @@ def test_memory_of_a_long_shuffled_conversation(spark):
     e = {(r.conversation_id, r.position): r.expanded for r in conversations.expand_followups(m).collect()}
     h = {(r.conversation_id, r.position): [t.position for t in r.history] for r in conversations.history_window(m).collect()}
     assert got == sorted((*k, e[k], h[k]) for k in e)
+
+
+def test_timed_ledger_is_a_fold_in_order_of_time(spark):
+    """Shuffled events over several batches, runs without an outcome and one at its due second, beside a plain fold."""
+    rng = random.Random(17)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, "process", 0, 0, "enqueue"), (1, "process", 1, 10, "claim"), (1, "process", 2, 610, "succeed"),
+            (2, "process", 0, 0, "enqueue"), (2, "process", 1, 10, "claim"), (2, "process", 2, 611, "succeed"),
+            (3, "embed", 0, 5, "claim"), (3, "process", 0, 5, "enqueue")]
+    for doc in range(4, 16):
+        for seq, at in enumerate(sorted(rng.sample(range(7000), 12))):
+            kind = rng.choice(["process", "process", "embed"])
+            rows.append((doc, kind, seq, at, rng.choice(["enqueue", "claim", "claim", "succeed", "fail", "requeue"])))
+    rows.append((99, "process", 0, 8000, "enqueue"))  # brings the watermark to 7400; waits itself
+    delay = {r: rng.randrange(590) for r in rows}
+    arrived = sorted(rows, key=lambda r: r[3] + delay[r])
+    parts = [[(d, k, s, t0 + dt.timedelta(seconds=at), a, f"e{at}" if a == "fail" else None) for d, k, s, at, a in part]
+             for part in (arrived[:40], arrived[40:90], arrived[90:])]
+
+    want = {}
+    for doc in {r[0] for r in rows}:
+        jobs = {k: ("absent", 0, 0, None, None, None) for k in ("process", "embed")}
+
+        def overdue(now):
+            for k, j in jobs.items():
+                if j[0] == "processing" and j[4] + 600 < now:
+                    jobs[k] = ("queued", j[1], j[2], "no outcome after 600 s", None, None)
+
+        for _, kind, _, at, action in sorted((r for r in rows if r[0] == doc and r[3] <= 7400), key=lambda r: (r[3], r[1] != "process", r[2])):
+            overdue(at)
+            status, tries, ignored, error, began, _ = job = jobs[kind]
+            legal = {"enqueue": status == "absent", "claim": status == "queued", "succeed": status == "processing",
+                     "fail": status != "absent", "requeue": status in ("processing", "failed")}[action]
+            jobs[kind] = {
+                "enqueue": ("queued", tries, ignored, None, None, None), "claim": ("processing", tries + 1, ignored, None, at, None),
+                "succeed": ("succeeded", tries, ignored, None, began, at), "fail": ("failed", tries, ignored, f"e{at}", began, at),
+                "requeue": ("queued", tries, ignored, None, None, None),
+            }[action] if legal else (*job[:2], ignored + 1, *job[3:])
+            if legal and action == "succeed" and kind == "process" and jobs["embed"][0] == "absent":
+                jobs["embed"] = ("queued", 0, jobs["embed"][2], None, None, None)
+        overdue(7400)
+        want.update({(doc, k): j for k, j in jobs.items() if j[0] != "absent"})
+
+    path, own = scratch(), tl.timer_session(spark)
+    st.run_once(tl.timed_ledger(staged(own, parts, EVENTS, path)), f"{path}/ck", st.ledger_writer(f"{path}/out"), "update")
+    since = lambda t: None if t is None else int((t - t0).total_seconds())
+    got = {(r.document_id, r.kind): (r.status, r.attempts, r.ignored, r.error, since(r.started_at), since(r.finished_at))
+           for r in st.current_jobs(own, f"{path}/out").collect()}
+    assert got == want
+    assert got[(1, "process")][0] == "succeeded" and got[(2, "process")][3] == "no outcome after 600 s"
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != tl.PROVIDER
