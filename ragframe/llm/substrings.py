@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import arrow_map, texts_of, written
+from ragframe.llm.common import arrow_map, numbered, texts_of, written
 
 WINDOW = 20
 ANCHOR = 6
@@ -215,9 +215,9 @@ def passages(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id") -
     told apart by 80 bits of two rolling hashes.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    hashed = docs.select(
-        F.col(id_column).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
-        F.monotonically_increasing_id().alias("row"), "text",
+    rows = numbered(docs.select(F.col(id_column).alias("id"), "text"))
+    hashed = rows.select(
+        "doc.id", F.xxhash64(F.coalesce("doc.text", F.lit(""))).alias("th"), "row", "doc.text",
     )
     place = F.struct(F.col("id").isNotNull().alias("known"), F.col("id").alias("id"), F.col("row").alias("row"))
     firsts = hashed.select("th", place.alias("place")).groupBy("th").agg(F.min("place").alias("place"))
@@ -233,9 +233,8 @@ def passages(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id") -
     )
     total = wanted.agg(F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()[0]
     buckets = max(16, total * (window - ANCHOR) // BUCKET_WINDOWS)
-    one = hashed.join(wanted.join(firsts, "th"), "th").filter(
-        F.col("row") == F.col("place.row")
-    )
+    # By the row too, so that the copies of a text do not meet in one partition.
+    one = hashed.join(wanted.join(firsts, "th").withColumn("row", F.col("place.row")), ["th", "row"])
     texts = written(one.select("th", F.col("place.id").alias("id"), "text", "anchors"), "texts")
 
     order = F.coalesce(F.col("id").cast("string"), F.lit("")) if kind == "string" else F.coalesce("id", F.lit(-(2**63)))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm.common import arrow_map, texts_of, written
+from ragframe.llm.common import arrow_map, numbered, texts_of, written
 
 LENGTH = 400
 # Bytes hashed at a place; places of which one is the trigger, as a share of the length.
@@ -230,11 +230,11 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     counted by hash rather than ordered; results are the same.
     """
     kind = docs.schema[id_column].dataType.simpleString()
-    hashed = docs.select(
-        F.col(id_column).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
-        F.monotonically_increasing_id().alias("row"), "text",
+    rows = numbered(docs.select(F.col(id_column).alias("id"), "text"))
+    hashed = rows.select(
+        "doc.id", F.xxhash64(F.coalesce("doc.text", F.lit(""))).alias("th"), "row", "doc.text",
     )
-    firsts = hashed.groupBy("th").agg(F.min("row").alias("first_row"), F.count("*").alias("copies"))
+    firsts = hashed.groupBy("th").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     contexts = arrow_map(hashed.select("th", "text"), lambda b: _contexts(b, length), "th long, context long, times byte")
     shared = (
         contexts.groupBy("context").agg(F.min("th").alias("a"), F.max("th").alias("b"), F.max("times").alias("times"))
@@ -242,7 +242,8 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, id_column: str = "doc_
     )
     wanted = contexts.select("th", "context").join(shared, "context").groupBy("th").agg(F.collect_set("context").alias("contexts"))
     wanted = written(wanted, "contexts")
-    one = hashed.join(wanted.join(firsts, "th"), "th").filter(F.col("row") == F.col("first_row"))
+    # By the row too, so that the copies of a text do not meet in one partition.
+    one = hashed.join(wanted.join(firsts, "th"), ["th", "row"])
     texts = written(one.select("th", "text", "contexts"), "texts")
     records = written(arrow_map(texts, lambda b: _records(b, length), RECORD), "records")
     done = records.filter("before is null").select("th", F.col("context").alias("first"), F.col("at").alias("last"))

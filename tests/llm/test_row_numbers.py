@@ -1,10 +1,12 @@
 """Marks stay on their rows when the splits of a scan change between the jobs of an operator."""
 
 import random
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from ragframe.llm import common, decontaminate, lines, shingles, simhash
+from ragframe.llm import common, decontaminate, lines, shingles, simhash, substrings, suffixes
 
 
 @pytest.fixture()
@@ -28,7 +30,7 @@ def shifting(spark, tmp_path, monkeypatch):
         spark.conf.set(name, str(counts[0]))
         return out
 
-    for module in (common, decontaminate, lines, shingles, simhash):
+    for module in (common, decontaminate, lines, shingles, simhash, substrings, suffixes):
         monkeypatch.setattr(module, "written", written, raising=False)
     spark.conf.set(name, "6")
     yield rows, spark.read.parquet(f"{tmp_path}/docs")
@@ -61,3 +63,33 @@ def test_contaminated_rows_go(spark, shifting):
 def test_copies_go(shifting, operator):
     rows, docs = shifting
     assert ids(operator(docs)) == [i for i, _ in rows if i % 10 != 7]
+
+
+def planted(rows, docs):
+    """Every twentieth text ends with the same passage; copies of whole texts are there already."""
+    passage = " ".join(f"shared{i:03d}" for i in range(60))
+    ends = F.col("doc_id") % 20 == 3
+    texts = docs.withColumn("text", F.when(ends, F.concat("text", F.lit(" " + passage))).otherwise(F.col("text")))
+    return passage, texts
+
+
+def test_repeated_windows_go(shifting):
+    rows, docs = shifting
+    passage, texts = planted(rows, docs)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.passages(texts).collect()}
+    want = {i: (60, 60 if i % 10 == 7 else 0) for i, _ in rows}
+    want.update({i: (120, 0 if i == 3 else 60) for i in range(3, 400, 20)})
+    assert got == want
+
+
+def test_repeated_bytes_go(shifting):
+    rows, docs = shifting
+    passage, texts = planted(rows, docs)
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixes.repeated_bytes(texts).collect()}
+    whole = {i: f"{t} {passage}" if i % 20 == 3 else t for i, t in rows}
+    times = Counter(t[a : a + 400] for t in whole.values() for a in range(len(t) - 399))
+    want = {}
+    for i, t in whole.items():
+        gone = {b for a in range(len(t) - 399) if times[t[a : a + 400]] > 1 for b in range(a, a + 400)}
+        want[i] = (len(t), len(gone))
+    assert got == want and sum(n > 0 for _, n in want.values()) == 100
