@@ -218,7 +218,7 @@ def prompt_table(questions: DataFrame, contexts: DataFrame, system_prompt: str =
     )
     if "history" in questions.columns:
         before = F.concat(F.lit("Previous conversation:\n"), render_history(F.col("history")), F.lit("\n\n"))
-        user = F.concat(F.when(F.size(F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>"))) > 0, before).otherwise(""), user)
+        user = F.concat(F.when(F.size("history") > 0, before).otherwise(""), user)
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     return rows.select(
         "query_id",

@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ragframe.functions import text as tx
 from ragframe.functions import vectors as vx
@@ -113,7 +114,8 @@ def topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, metric: str =
         raise ValueError(f"k must be between 1 and {MAX_K}")
     if metric not in ("cosine", "dot", "euclidean"):
         raise ValueError(f"unknown metric: {metric}")
-    kernel = tiles.topk_kernel(k, metric, items.schema["item_id"].dataType)
+    asked = queries.schema["query_id"].dataType
+    kernel = tiles.topk_kernel(k, metric, items.schema["item_id"].dataType, asked if isinstance(asked, StructType) else LongType())
     best = tiles.run_tiles(queries, items, kernel, **tiling)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -474,10 +474,14 @@ ORACLES["referential_turns"] = with_(MESSAGES) + f"SELECT conversation_id, posit
 _EXPANDED = (f"""sides AS (SELECT conversation_id, asked, max_by(content, position) FILTER (WHERE role = 'user') AS u, max_by(content, position) FILTER (WHERE role = 'assistant') AS a FROM hist GROUP BY ALL),
  seen AS (SELECT m.*, u, a FROM messages m LEFT JOIN sides s ON s.conversation_id = m.conversation_id AND s.asked = m.position WHERE role = 'user'),
  clipped AS (SELECT *, regexp_replace({trim('a')}, '{WS}*\\[\\d+\\]{WS}*$', '') AS c FROM seen),
- cut AS (SELECT *, nullif(CASE WHEN length(c) <= 400 THEN c ELSE rtrim(substr(c, 1, 400), ' ,;') END, '') AS tail FROM clipped)""", f"""SELECT conversation_id, position, CASE WHEN {REF} AND (u IS NOT NULL OR tail IS NOT NULL) THEN concat_ws(' — ', nullif(u, ''), tail, content) ELSE content END AS expanded FROM cut""")
+ tailed AS (SELECT *, nullif(CASE WHEN length(c) <= 400 THEN c ELSE rtrim(substr(c, 1, 400), ' ,;') END, '') AS tail FROM clipped)""", f"""SELECT conversation_id, position, CASE WHEN {REF} AND (u IS NOT NULL OR tail IS NOT NULL) THEN concat_ws(' — ', nullif(u, ''), tail, content) ELSE content END AS expanded FROM tailed""")
 ORACLES["expand_followups"] = with_(WSC_CTE, MESSAGES, history(20, 800), _EXPANDED[0]) + _EXPANDED[1]
 ORACLES["history_window"] = with_(WSC_CTE, MESSAGES, history(5, 150)) + """SELECT u.conversation_id, u.position, coalesce(string_agg(concat(h.position, ':', h.role), ',' ORDER BY h.position) FILTER (WHERE h.position IS NOT NULL), '') AS kept
  FROM messages u LEFT JOIN hist h ON h.conversation_id = u.conversation_id AND h.asked = u.position WHERE u.role = 'user' GROUP BY u.conversation_id, u.position"""
+_CONTINUED = "questions AS MATERIALIZED (SELECT conversation_id * 1048576 + position AS query_id, expanded AS question FROM expanded)"
+ORACLES["conversation_answers"] = with_(
+    *fixed(), MESSAGES, history(20, 800), _EXPANDED[0], f"expanded AS MATERIALIZED ({_EXPANDED[1]})", _CONTINUED, VEC, QVEC, SCORES, search(5), context(), answers()
+) + "SELECT query_id // 1048576 AS conversation_id, query_id % 1048576 AS position, question AS query, document_id, chunk_index, similarity, answer, refused FROM answers"
 ORACLES["turn_pairs"] = with_(MESSAGES) + """SELECT u.conversation_id, u.position AS user_position, a.position AS assistant_position, m.p + 1 AS next_position FROM messages u
  LEFT JOIN messages a ON a.conversation_id = u.conversation_id AND a.position = u.position + 1 AND a.role = 'assistant'
  JOIN (SELECT conversation_id, max(position) AS p FROM messages GROUP BY 1) m ON m.conversation_id = u.conversation_id WHERE u.role = 'user'"""

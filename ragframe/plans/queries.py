@@ -654,6 +654,13 @@ def history_window(spark, root):
     return h.select("conversation_id", "position", F.array_join(kept, ",").alias("kept"))
 
 
+@query
+def conversation_answers(spark, root):
+    """User turns answered from the corpus, follow-ups expanded by what the conversation remembers."""
+    a = flows.converse(tables.messages(spark, root), flows.embedded_chunks(_docs(spark, root), "fixed"))
+    return a.select("conversation_id", "position", "query", "document_id", "chunk_index", "similarity", "answer", "refused")
+
+
 @query
 def turn_pairs(spark, root):
     return conversations.turn_pairs(tables.messages(spark, root))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ragframe.plans import flows
 from ragframe.operators import answering as an
 from ragframe.operators import conversations as cv
 
@@ -115,3 +116,31 @@ def test_windows_are_the_same_at_any_block_size(spark, monkeypatch):
         outs.append((h, e, t))
     assert outs[0] == outs[1] == outs[2]
     assert outs[0][0] == sorted((c, p, plain_history(rows, c, p, 6, 20)) for c, p, r, _ in rows if r == "user")
+
+
+def test_a_conversation_is_answered_with_its_memory(spark):
+    docs = spark.createDataFrame(
+        [(1, "a", "Annual leave is twenty five days. Leave requests go to the team lead."),
+         (2, "b", "Expense reports close on Friday. Travel needs approval.")],
+        "document_id bigint, organization_id string, text string",
+    )
+    chunks = flows.embedded_chunks(docs, "token", chunk_tokens=64)
+    talk = [(1, 1, "user", "How many days of annual leave?", "a"), (1, 2, "assistant", "Twenty five days. [1]", "a"),
+            (1, 3, "user", "And to whom do leave requests go?", "a"), (2, 1, "user", "When do expense reports close?", "a"),
+            (3, 1, "assistant", "Hello", "a"), (4, 1, "user", "", "b"), (5, 1, "user", "When do expense reports close?", "b")]
+    m = spark.createDataFrame(talk, "conversation_id bigint, position bigint, role string, content string, organization_id string")
+    scope = ("organization_id", "model")
+    for mode in ({}, {"broadcast_queries": 0}):
+        rows = flows.converse(m, chunks, scope, **mode)
+        got = {(r.conversation_id, r.position): r for r in rows.collect()}
+        assert set(got) == {(1, 1), (1, 3), (2, 1), (4, 1), (5, 1)}
+        # the expanded question decides what is quoted, so a follow-up stays with the thread's words
+        assert got[(1, 1)].document_id == 1 and got[(1, 3)].answer == "Annual leave is twenty five days. [1]"
+        assert got[(1, 3)].query.startswith("How many days of annual leave? — Twenty five days.") and got[(1, 1)].query == got[(1, 1)].question
+        assert got[(2, 1)].document_id is None and got[(4, 1)].refused  # another tenant's document, an empty question
+        assert got[(5, 1)].document_id == 2
+    prompts = {(r.conversation_id, r.position): r.messages[1].content for r in flows.conversation_prompts(m, rows).collect()}
+    assert prompts[(1, 3)].startswith("Previous conversation:\nUser: How many days of annual leave?\nAssistant: Twenty five days. [1]")
+    assert prompts[(1, 1)].startswith("Context:\n") and set(prompts) == set(got)
+    none = flows.converse(m.limit(0), chunks, scope)
+    assert none.count() == 0 and none.columns[:2] == ["conversation_id", "position"]
