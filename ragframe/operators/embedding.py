@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ragframe.functions import text as tx
 from ragframe.functions import vectors as vx
+from ragframe.session import stored
 
 HASH_MODEL = "hash-384"
 BATCH = 64
@@ -128,7 +129,10 @@ def vector_drift(stored: DataFrame, text: str, vector: str, tolerance: float = 1
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """(token, df, n, idf_q): idf = ln(N / (1 + df)), kept as whole ten-thousandths."""
     distinct = df.select(tx.seal(F.array_distinct(tx.tokenize(F.col(text)))).alias("_t"))
-    tokens = distinct.select(F.explode("_t").alias("token"))
+    return _document_frequencies(distinct.select(F.explode("_t").alias("token")), df)
+
+
+def _document_frequencies(tokens: DataFrame, df: DataFrame) -> DataFrame:
     n = df.agg(F.count("*").alias("n"))
     counted = tokens.groupBy("token").agg(F.count("*").alias("df"))
     return counted.withColumn("n", n.scalar()).select(
@@ -137,15 +141,54 @@ def vocabulary(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, token, tf) counted inside each row over its sorted tokens: one row per distinct token."""
+def term_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms): the distinct tokens of each row with their counts, from its sorted tokens."""
     ordered = df.select(key, tx.seal(F.sort_array(tx.tokenize(F.col(text)))).alias("_t"))
     runs = ordered.select("*", tx.seal(vx.run_starts(F.col("_t"))).alias("_run"))
     pair = lambda s, j: F.struct(
         F.get("_t", s).alias("token"), (F.coalesce(F.get("_run", j + 1), F.size("_t")) - s).alias("tf")
     )
-    pairs = runs.select(key, tx.seal(F.transform("_run", pair)).alias("_pairs"))
-    return pairs.select(key, F.explode("_pairs").alias("x")).select(key, "x.token", "x.tf")
+    return runs.select(key, tx.seal(F.transform("_run", pair)).alias("terms"))
+
+
+def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, token, tf): one row per distinct token of a row."""
+    return term_pairs(df, key, text).select(key, F.explode("terms").alias("x")).select(key, "x.token", "x.tf")
+
+
+def searchable_terms(df: DataFrame, key: str, text: str, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """TF-IDF vectors of the texts, kept to the tokens of ``asked(token)``, and the vocabulary of these tokens.
+
+    The texts are tokenized once; counts, norms and kept weights come from the written terms. A vector is
+    (key, features, weights, norm2, impact): the norm counts all tokens, and ``impact``, the kept part of the squared
+    norm, bounds the squared cosine of the text with any question.
+    """
+    terms = stored(term_pairs(df, key, text), "terms")
+    tokens = terms.select(F.explode("terms.token").alias("token"))
+    marks = asked.select("token").filter("token is not null").distinct().withColumn("_asked", F.lit(True))
+    known = stored(_document_frequencies(tokens, terms).join(marks, "token", "left"), "vocabulary")
+    w = F.col("x.tf") * F.col("idf_q")
+    square = F.col("w").cast("decimal(19,0)") * F.col("w").cast("decimal(19,0)")
+    weighed = (
+        terms.select(key, F.explode("terms").alias("x"))
+        .join(known.select(F.col("token").alias("_token"), "idf_q", "_asked"), F.col("x.token") == F.col("_token"))
+        .select(key, F.when(F.col("_asked"), F.col("x.token")).alias("token"), w.alias("w"))
+        .groupBy(key)
+        .agg(
+            F.collect_list(F.when(F.col("token").isNotNull(), F.struct("token", "w"))).alias("_tw"),
+            F.sum(square.cast("decimal(38,0)")).cast("double").alias("norm2"),
+            F.sum(F.when(F.col("token").isNotNull(), square.cast("decimal(38,0)"))).cast("double").alias("_kept"),
+        )
+        .select(
+            key, F.col("_tw.token").alias("features"), F.col("_tw.w").alias("weights"), "norm2",
+            F.coalesce(F.when(F.col("norm2") > 0, F.col("_kept") / F.col("norm2")), F.lit(0.0)).alias("impact"),
+        )
+    )
+    empty = terms.filter(F.coalesce(F.size("terms"), F.lit(0)) <= 0).select(
+        key, F.array().cast("array<string>").alias("features"), F.array().cast("array<bigint>").alias("weights"),
+        F.lit(0.0).alias("norm2"), F.lit(0.0).alias("impact"),
+    )
+    return weighed.unionByName(empty), known.filter("_asked").drop("_asked")
 
 
 def term_weights(df: DataFrame, key: str, text: str, vocab: DataFrame) -> DataFrame:

@@ -108,14 +108,14 @@ def embed_queries(queries: DataFrame, scope_columns: list[str], floor: float | N
     )
 
 
-def topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, metric: str = "cosine", **tiling) -> DataFrame:
+def topk(queries: DataFrame, items: DataFrame, k: int = DEFAULT_K, metric: str = "cosine", skip: bool = False, **tiling) -> DataFrame:
     """(query_id, item_id, score, rank): exact best k of each query within its scope."""
     if not 1 <= k <= MAX_K:
         raise ValueError(f"k must be between 1 and {MAX_K}")
     if metric not in ("cosine", "dot", "euclidean"):
         raise ValueError(f"unknown metric: {metric}")
     asked = queries.schema["query_id"].dataType
-    kernel = tiles.topk_kernel(k, metric, items.schema["item_id"].dataType, asked if isinstance(asked, StructType) else LongType())
+    kernel = tiles.topk_kernel(k, metric, items.schema["item_id"].dataType, asked if isinstance(asked, StructType) else LongType(), skip)
     best = tiles.run_tiles(queries, items, kernel, **tiling)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -157,25 +157,26 @@ def tfidf_topk(
 ) -> DataFrame:
     """TF-IDF search of (query_id, question) over (key, text); scores to four decimals.
 
-    Euclidean scores are distances (smaller is nearer). Texts without any token still take part.
+    Euclidean scores are distances (smaller is nearer). Texts without any token still take part. Only the weights of
+    question tokens reach the kernel, which skips blocks of texts whose largest weights cannot reach the k-th score.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric: {metric}")
-    vocab = embedding.vocabulary(documents, text)
-
-    def vectors(df: DataFrame, id_column: str, column: str) -> DataFrame:
-        sparse = embedding.tfidf_vectors(embedding.term_weights(df, id_column, column, vocab), id_column)
-        empty = F.array()
-        return df.select(id_column).join(sparse, id_column, "left").select(
-            F.lit("").alias("scope"), id_column,
-            F.coalesce("features", empty.cast("array<string>")).alias("features"),
-            F.coalesce("weights", empty.cast("array<bigint>")).alias("weights"),
-            F.coalesce(F.col("norm2").cast("double"), F.lit(0.0)).alias("norm2"),
-        )
-
-    q = vectors(queries, "query_id", "question").withColumn("floor", F.lit(float("-inf")))
-    items = vectors(documents, key, text).withColumnRenamed(key, "item_id")
-    hits = topk(q, items, k, metric, **tiling)
+    asked = queries.select(F.explode(tx.tokenize(F.col("question"))).alias("token"))
+    terms, vocab = embedding.searchable_terms(documents, key, text, asked)
+    own = embedding.tfidf_vectors(embedding.term_weights(queries, "query_id", "question", vocab), "query_id")
+    q = queries.select("query_id").join(own, "query_id", "left").select(
+        F.lit("").alias("scope"), "query_id",
+        F.coalesce("features", F.array().cast("array<string>")).alias("features"),
+        F.coalesce("weights", F.array().cast("array<bigint>")).alias("weights"),
+        F.coalesce(F.col("norm2").cast("double"), F.lit(0.0)).alias("norm2"),
+        F.lit(float("-inf")).alias("floor"),
+    )
+    items = terms.withColumnRenamed(key, "item_id").withColumn("scope", F.lit(""))
+    if metric == "cosine":  # texts that can score high come first, so that later blocks are left out by their bounds
+        items = items.sortWithinPartitions(F.desc("impact"))
+    items = items.drop("impact")
+    hits = topk(q, items, k, metric, skip=metric == "cosine", **tiling)
     score = F.col("score") if metric == "cosine" else -F.col("score") / embedding.IDF_SCALE
     return hits.select("query_id", "rank", F.col("item_id").alias(key), F.round(score, 4).alias("score"))
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,65 @@ def test_any_document_and_chunk_number_is_an_item(spark, mode):
     assert stood.agg(F.sum("above")).first()[0] == sorted(pairs).index((-1, 2**20))
 
 
+def test_block_bounds_leave_blocks_out_and_keep_the_best():
+    rng = np.random.default_rng(5)
+    names = np.array([f"t{i}" for i in range(60)])
+
+    def sparse(n: int, signed: bool) -> tuple[list, list]:
+        sizes = rng.integers(0, 9, n)
+        feats = [list(rng.choice(names, s, replace=False)) for s in sizes]
+        return feats, [[int(w) for w in rng.integers(-50 if signed else 1, 900, s)] for s in sizes]
+
+    for signed in (False, True):
+        qf, qw = sparse(40, signed)
+        qf[7], qw[7] = ["nowhere"], [5]
+        norm = lambda ws: [float(sum(w * w for w in x)) for x in ws]
+        kind = pa.list_(pa.string()), pa.list_(pa.int64())
+        queries = pa.table({"query_id": list(range(40)), "features": pa.array(qf, kind[0]), "weights": pa.array(qw, kind[1]),
+                            "norm2": norm(qw), "floor": [float("-inf")] * 20 + [0.2] * 20})
+        f, w = sparse(6000, signed)
+        # Most of the norm lies outside the question tokens for most items, as in the search.
+        norm2 = np.array(norm(w)) * np.sort(rng.choice([1.0, 4.0, 400.0], 6000)) + (np.arange(6000) % 3 == 0)
+        items = pa.RecordBatch.from_arrays(
+            [pa.array(rng.permutation(6000)), pa.array(f, kind[0]), pa.array(w, kind[1]), pa.array(norm2)],
+            names=["item_id", "features", "weights", "norm2"],
+        )
+        seen = []
+        for skip in (False, True):
+            run, _ = tiles.topk_kernel(4, "cosine", skip=skip)
+            scored = []
+            original = tiles.Scorer.dots
+            tiles.Scorer.dots = lambda self, a, b, only=None: scored.append(len(a) * (self.n if only is None else len(only))) or original(self, a, b, only)
+            try:
+                out = pa.Table.from_batches(run(queries, iter([items]))).to_pydict()
+            finally:
+                tiles.Scorer.dots = original
+            order = sorted(zip(out["query_id"], (-s for s in out["score"]), out["item_id"], strict=True))
+            seen.append((order, sum(scored)))
+        assert seen[0][0] == seen[1][0]
+        assert seen[1][1] < 0.7 * seen[0][1]
+    with pytest.raises(ValueError):
+        tiles.topk_kernel(4, "euclidean", skip=True)
+
+
+def test_tfidf_reads_the_texts_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(s):
+        reads.add(1)
+        return s
+
+    df = spark.range(300).select(F.col("id").alias("document_id"), F.concat(F.lit("word w"), F.col("id") % 7).alias("text"))
+    df = df.withColumn("text", counted("text")).unionByName(spark.createDataFrame([(900, None), (901, "")], df.schema))
+    qs = spark.createDataFrame([(1, "w3 word"), (2, None), (3, "unknown")], "query_id bigint, question string")
+    found = rt.tfidf_topk(qs, df, "document_id", "text", 3).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.document_id) for r in found] == [(1, 3), (1, 10), (1, 17)] + [(q, d) for q in (2, 3) for d in (0, 1, 2)]
+    assert reads.value == 300
+
+
 def test_tfidf_against_a_plain_definition(spark):
     import math
 
