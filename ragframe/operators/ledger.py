@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ragframe.session import stored
+
 # ---- fixed values -----------------------------------------------------------------------------
 TERMINAL_PROCESS = ["pdf extraction failed"]
 TERMINAL_EMBED = ["not retryable", "retries exhausted"]
@@ -100,7 +102,8 @@ def replay(events: DataFrame) -> DataFrame:
     moment; embed events that came earlier met a job that was not there.
     """
     known = events.select("document_id", "kind", "seq", F.lit(0).alias("late"), "at", "action", "error")
-    process = _fold(known.filter(F.col("kind") == "process"))
+    # Read for the result, for the embed jobs that open and for what came before them: folded once.
+    process = stored(_fold(known.filter(F.col("kind") == "process")), "process-jobs")
     done = process.filter(F.col("s.succeeded").isNotNull()).select("document_id", F.col("s.succeeded").alias("done"))
     embeds = known.filter(F.col("kind") == "embed")
     before = embeds.join(done, "document_id").filter(F.col("at") < F.col("done")).groupBy("document_id").agg(F.max("seq").alias("seq"))

@@ -655,6 +655,9 @@ ORACLES["stream_rates"] = with_(REQUESTS, "e AS (SELECT method, epoch_us(ts) //
  WHERE (start_s + 300) * 1000000 <= (SELECT epoch_us(max(ts)) FROM requests) - 600000000 GROUP BY ALL"""
 ORACLES["stream_breaches"] = with_(REQUESTS) + """SELECT epoch(date_trunc('day', ts))::BIGINT AS start_s, client, count(*) AS requests, count(*) - 3 AS rejected FROM requests
  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE GROUP BY ALL HAVING count(*) > 3"""
+ORACLES["stream_late"] = with_(REQUESTS, """span AS (SELECT min(epoch_us(ts) // 1000000) AS lo, max(epoch_us(ts) // 1000000) AS hi FROM requests),
+dealt AS (SELECT r.*, (epoch_us(ts) // 1000000 - lo) * 4 // (hi - lo + 1) + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END AS part FROM requests r, span),
+mark AS (SELECT p.part, max(epoch_us(ts)) - 600000000 AS watermark_us FROM (SELECT DISTINCT part FROM dealt) p JOIN dealt d ON d.part < p.part GROUP BY ALL)""") + """SELECT event_id, method, watermark_us FROM dealt JOIN mark USING (part) WHERE epoch_us(ts) < watermark_us"""
 ORACLES["stream_ledger"] = with_(DOCS, JOBS, LEDGER) + "SELECT document_id, kind, status, attempts, ignored, error FROM led_out"
 # What the watermark has passed, from the number of the last event that it passed: claims come first, third, ...
 ORACLES["stream_ledger_timeouts"] = with_(DOCS, JOBS, LEDGER, """ends AS (SELECT *, CASE status WHEN 'queued' THEN 1 WHEN 'processing' THEN 3 * r + 1 ELSE 3 * r + 2 END AS final FROM led),

@@ -19,7 +19,7 @@ from ragframe.operators import (
     ann, answering, catalog, chunking, conversations, embedding, evaluation, ledger, pages, retrieval, telemetry,
 )
 from ragframe.plans import flows
-from ragframe.session import checkpoint_dir, cut_lineage, pin_session
+from ragframe.session import checkpoint_dir, cut_lineage, pin_session, stored
 from ragframe.sources import files, sinks, tables
 from ragframe.streaming import jobs as streams
 from ragframe.streaming import timed_ledger
@@ -692,7 +692,7 @@ def document_status(spark, root):
     d = _docs(spark, root)
     ready = d.filter(F.col("status") == "ready")
     p = pages.assemble_pages(ready)
-    c = cut_lineage(chunking.chunk_bundles(pages.document_bundles(ready), "fixed").select("document_id", "embedding_status"))
+    c = stored(chunking.chunk_bundles(pages.document_bundles(ready), "fixed").select("document_id", "embedding_status"), "chunks")
     return catalog.document_status(d, p, c, c.filter(F.col("embedding_status") == "ready"))
 
 
@@ -756,11 +756,8 @@ def _study_queries(spark, root) -> DataFrame:
 
 
 def _study_chunks(spark, root, **config) -> DataFrame:
-    """Embedded chunks feed three scored passes, so they are materialised once."""
-    rows = _embedded(spark, root, **config)
-    return cut_lineage(rows.select(
-        F.lit("").alias("scope"), "document_id", "chunk_index", "content", "section", "page_start", "page_end", "vector"
-    ))
+    """Embedded chunks feed several scored passes: one written table, of which each pass reads its own columns."""
+    return stored(_embedded(spark, root, **config), "study").withColumn("scope", F.lit(""))
 
 
 def _grid(spark, root, **config) -> DataFrame:
@@ -787,7 +784,8 @@ def resolve_goldens(spark, root):
 
 
 def _goldens(spark, root) -> DataFrame:
-    return evaluation.resolve_goldens(tables.goldens(spark, root), pages.assemble_pages(_docs(spark, root)))
+    """Goldens with their pages, written once: finding them reads the corpus, and each metric reads them several times."""
+    return stored(evaluation.resolve_goldens(tables.goldens(spark, root), pages.assemble_pages(_docs(spark, root))), "goldens")
 
 
 def _metrics(spark, root) -> DataFrame:
@@ -806,7 +804,10 @@ def retrieval_metrics(spark, root):
 
 
 def _judged(spark, root) -> DataFrame:
-    return evaluation.judge_answers(_goldens(spark, root), _answers(spark, root), _chunks(spark, root))
+    c = _study_chunks(spark, root)
+    hits = retrieval.search(_questions(spark, root), c, 5, None, ("model",))
+    answers = answering.extractive_answers(_questions(spark, root), answering.gather_context(hits, c))
+    return evaluation.judge_answers(_goldens(spark, root), answers, c)
 
 
 @query
@@ -848,7 +849,7 @@ def eval_sweep(spark, root):
     """All chunk settings at every k and floor in one search: a setting is a scope, and numbers its own ids."""
     configs = {**CHUNK_CONFIGS, "fixed 2048 chars": {"strategy": "fixed", "chunk_chars": 2048}}
     n = len(configs)
-    bundles = cut_lineage(_bundles(spark, root).select("document_id", "organization_id", "pages"))
+    bundles = stored(_bundles(spark, root).select("document_id", "organization_id", "pages"), "bundles")
     parts = [
         embedding.hash_embed(chunking.chunk_bundles(bundles, **config)).select(
             F.lit(label).alias("scope"), (F.col("document_id") * n + i).alias("document_id"), "chunk_index", "content",
@@ -862,7 +863,7 @@ def eval_sweep(spark, root):
     scopes = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(label).alias("label")) for i, label in enumerate(configs)]))
     q = _study_queries(spark, root).withColumn("c", scopes)
     q = q.select(F.col("c.label").alias("scope"), (F.col("query_id") * n + F.col("c.i")).alias("query_id"), "question", "gold")
-    grid = evaluation.scored_grid(q, cut_lineage(chunks))
+    grid = evaluation.scored_grid(q, stored(chunks, "sweep"))
     labels = F.array(*map(F.lit, configs))
     grid = grid.withColumn("config", F.get(labels, (F.col("query_id") % n).cast("int")))
     return evaluation.roll_up(grid, "config")
@@ -894,7 +895,7 @@ def section_gate_study(spark, root):
     out = None
     for label, chars in (("fixed 512", 512), ("fixed 2048", 2048)):
         c = embedding.hash_embed(chunking.chunk_bundles(bundles, "fixed", chunk_chars=chars))
-        c = cut_lineage(c.select("document_id", "chunk_index", "content", "section", "page_start", "page_end", "vector"))
+        c = stored(c.select("document_id", "chunk_index", "content", "section", "page_start", "page_end", "vector"), "study")
         one = evaluation.section_gate_study(q, c).select(F.lit(label).alias("config"), "*")
         out = one if out is None else out.unionByName(one)
     return out
@@ -1098,6 +1099,22 @@ def stream_breaches(spark, root):
     return out.select(F.unix_seconds("window_start").alias("start_s"), "client", "requests", "rejected")
 
 
+@query
+def stream_late(spark, root):
+    """Requests behind the watermark, as rows: four deliveries in order of time, every seventh request one delivery late."""
+    path = _scratch(spark, "late")
+    requests = tables.requests(spark, root)
+    lo, hi = requests.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    quarter = F.floor((F.unix_seconds("ts") - F.lit(lo)) * 4 / F.lit(max(1, (hi or 0) - (lo or 0) + 1)))
+    dealt = requests.withColumn("part", quarter + F.when(F.col("event_id") % 7 == 0, 1).otherwise(0))
+    for n in range(5):
+        dealt.filter(F.col("part") == n).drop("part").write.mode("append").parquet(f"{path}/in")
+        source = spark.readStream.schema(requests.schema).parquet(f"{path}/in")
+        streams.run_once(source, f"{path}/ck", streams.split_writer(f"{path}/out"))
+    late = spark.read.parquet(f"{path}/out/late")
+    return late.select("event_id", "method", F.unix_micros("watermark").alias("watermark_us"))
+
+
 @query
 def stream_ledger(spark, root):
     path = _scratch(spark, "ledger")

@@ -109,6 +109,29 @@ def breaches(requests: DataFrame, limit: int, window: str = telemetry.RATE_WINDO
     return telemetry.rate_limit_breaches(deduplicated(requests), limit, window)
 
 
+def split_writer(path: str, time: str = "ts", delay: str = WATERMARK) -> Callable[[DataFrame, int], None]:
+    """Rows in time under ``path``/rows, rows behind the watermark under ``path``/late.
+
+    The watermark of a micro-batch is the latest time of the batches before it less ``delay``, as in a stateful stream
+    over the same source, which drops those rows without a trace. Times of batches are one stored row each, so a batch
+    delivered twice splits the same way. Rows without a time are in neither.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, marks, batch = batch.sparkSession, f"{path}/marks", batch.filter(F.col(time).isNotNull())
+        # The first row of this kind makes the table readable; it is of no batch and has no time.
+        if number == 0:
+            sinks.write_batch(spark.createDataFrame([(None,)], "latest timestamp"), marks, -1)
+        earlier = spark.read.schema("latest timestamp, batch bigint").parquet(marks).filter(F.col("batch") < number)
+        mark = earlier.agg((F.max("latest") - F.expr(f"interval {delay}")).alias("watermark")).first()["watermark"]
+        late = F.lit(False) if mark is None else F.col(time) < F.lit(mark)
+        sinks.write_batch(batch.filter(~late), f"{path}/rows", number)
+        sinks.write_batch(batch.filter(late).withColumn("watermark", F.lit(mark).cast("timestamp")), f"{path}/late", number)
+        sinks.write_batch(batch.agg(F.max(time).alias("latest")), marks, number)
+
+    return write
+
+
 def late_rows(query) -> int:
     """Rows a finished query dropped behind the watermark."""
     return sum(

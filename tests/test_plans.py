@@ -44,5 +44,11 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan(REGISTRY["topk_sparse"](spark, ROOT))
 
 
+@pytest.mark.parametrize("name", ["coverage_at_k", "hit_mrr", "retrieval_metrics", "eval_report", "eval_misses", "document_status"])
+def test_evaluation_reads_its_written_tables(spark, name):
+    """Chunks, vectors and goldens are in tables written before; only questions and lists of documents read documents again."""
+    assert plan(REGISTRY[name](spark, ROOT)).count("documents.parquet") <= 2
+
+
 def test_checkpoints_have_a_folder(spark):
     assert checkpoint_dir(spark) and checkpoint_dir(spark) == checkpoint_dir(spark)

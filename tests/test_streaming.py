@@ -184,3 +184,30 @@ def test_timed_ledger_is_a_fold_in_order_of_time(spark):
     assert got == want
     assert got[(1, "process")][0] == "succeeded" and got[(2, "process")][3] == "no outcome after 600 s"
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != tl.PROVIDER
+
+
+def test_late_rows_become_rows_of_a_table(spark, tmp_path):
+    from ragframe.streaming import jobs as streams
+
+    path = str(tmp_path / "out")
+    write = streams.split_writer(path)
+    batches = [
+        [(1, "2024-01-01 10:00:00"), (2, "2024-01-01 10:30:00"), (3, None)],
+        [(4, "2024-01-01 10:20:00"), (5, "2024-01-01 10:19:59"), (6, "2024-01-01 12:00:00")],
+        [],
+        [(7, "2024-01-01 11:50:00"), (8, "2024-01-01 11:00:00"), (8, "2024-01-01 11:00:00")],
+    ]
+    frames = [spark.createDataFrame(rows, "event_id int, ts string").withColumn("ts", F.to_timestamp("ts")) for rows in batches]
+    for n, frame in enumerate(frames):
+        write(frame, n)
+
+    def seen():
+        late = spark.read.parquet(f"{path}/late").orderBy("event_id")
+        kept = spark.read.parquet(f"{path}/rows").orderBy("event_id")
+        return [(r.event_id, str(r.watermark)[11:]) for r in late.collect()], [r.event_id for r in kept.collect()]
+
+    want = [(5, "10:20:00"), (8, "11:50:00"), (8, "11:50:00")], [1, 2, 4, 6, 7]
+    assert seen() == want
+    for n in (1, 3, 0):  # deliveries after a failure
+        write(frames[n], n)
+        assert seen() == want
