@@ -97,7 +97,9 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         spans = np.diff(np.r_[starts[heads], len(data)])
         of_byte = np.repeat(passage[heads], spans)
         codes = _PAIR_OF[shape[starts[0] : -1], shape[starts[0] + 1 :]]
-        pairs = np.bincount(of_byte[:-1] * PAIRS + codes, minlength=total * PAIRS).reshape(total, PAIRS)
+        # Up to the line feed that ends the text: what follows it in the batch must not count.
+        own = np.arange(starts[0], len(data) - 1) < np.repeat(ends_of_text[text_of[heads]] - 1, spans)[:-1]
+        pairs = np.bincount(of_byte[:-1][own] * PAIRS + codes[own], minlength=total * PAIRS).reshape(total, PAIRS)
         out[:, :PAIRS] = np.sqrt(pairs / np.maximum(pairs.sum(1, keepdims=True), 1))
         n = np.bincount(passage, minlength=total)
         n1 = np.maximum(n, 1)
