@@ -20,6 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ragframe.functions.text import seal
 from ragframe.llm.common import arrow_map, numbered, texts_of, written
 
 SIMILARITY = 0.8
@@ -34,9 +35,10 @@ TRIES = 8
 # Classes and words of at most this many rows are broadcast to find what is left.
 FEW = 200_000
 BLOCK = 512
-# Words of at most this many classes are paired without a loop, about PAIRS pairs at a time.
+# Words of at most this many classes are paired without a loop, about PAIRS pairs at a time; others by ROWS and BLOCK.
 SMALL = 24
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+ROWS = 1024
 _BASE = 0x9E3779B97F4A7C15
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93))
 
@@ -252,8 +254,8 @@ def earliest(e: dict[str, np.ndarray], similarity: float, tries: int) -> tuple[n
             if not len(open_rows):
                 break
             columns = np.arange(start, min(start + BLOCK, b - 1))
-            for at in range(0, len(open_rows), 4096):
-                rows = open_rows[at : at + 4096]
+            for at in range(0, len(open_rows), ROWS):
+                rows = open_rows[at : at + ROWS]
                 x = np.repeat(rows, len(columns))
                 y = np.tile(columns, len(rows))
                 earlier = y < x
@@ -454,9 +456,13 @@ def drop_lines(docs: DataFrame, similarity: float = SIMILARITY, id_column: str =
     """``docs`` without the removed lines, columns unchanged; documents that lose every line with a word go."""
     rows = numbered(docs)
     marks = _removed(rows, similarity, id_column).filter(F.size("removed") > 0).select("row", "removed")
-    parts = F.split("doc.text", "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
-    fresh = F.col("doc").withField("text", F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept))
-    cut = rows.join(marks, "row", "left").select("removed", fresh.alias("doc"))
-    return cut.filter(F.col("removed").isNull() | F.col("doc.text").rlike(r"[^\x20\x09-\x0D]")).select("doc.*")
+    # Sealed, since a lambda or a filter would otherwise split the text again for every line.
+    joined = rows.join(marks, "row", "left")
+    parts = seal(F.when(F.col("removed").isNotNull(), F.split("doc.text", "\n", -1)))
+    split = joined.select("removed", "doc", parts.alias("parts"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("removed"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")
+    fresh = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept)
+    cut = split.select("removed", "doc", seal(fresh).alias("fresh"))
+    cut = cut.filter(F.col("removed").isNull() | F.col("fresh").rlike(r"[^\x20\x09-\x0D]"))
+    return cut.select(F.col("doc").withField("text", F.col("fresh")).alias("doc")).select("doc.*")
