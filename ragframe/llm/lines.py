@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.functions.text import seal
-from ragframe.llm.common import arrow_map, numbered, texts_of, written
+from ragframe.llm.common import arrow_map, dropped, numbered, stored, texts_of, written
 
 SIMILARITY = 0.8
 # Words are counted in this many hashed slots: any order makes the join exact, a rarer-first order makes it fast.
@@ -357,19 +357,25 @@ def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame
     packed = _packed(rows, held, buckets, parts, similarity)
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(lambda it: _pairs(it, similarity, tries, buckets), PAIR)
-    found = written(found.groupBy(*(c for c in found.columns if c != "more")).agg(F.max("more").alias("more")), "pairs")
+    found, *spent = stored(found.groupBy(*(c for c in found.columns if c != "more")).agg(F.max("more").alias("more")), "pairs")
     tried, alone = found.filter("b is not null"), found.filter("b is null").select("a")
-    sets = _sets(rows, tried)
+    sets, path = _sets(rows, tried)
+    spent.append(path)
     # Most lines are like the earliest line that they meet; the others are compared with the rest of theirs.
     nearest = tried.groupBy("a").agg(F.min(F.struct("b_id", "b_line", "b")).alias("e")).select("a", "e.b")
     alike = written(_similar(nearest, sets, similarity), "alike")
-    rest = written(tried.join(alike, "a", "left_anti"), "rest")
+    rest, path = stored(tried.join(alike, "a", "left_anti"), "rest")
+    spent.append(path)
     alike = alike.unionByName(written(_similar(rest.select("a", "b"), sets, similarity), "alike"))
     unsure = rest.filter("more").select("a").unionByName(alone).distinct()
     stubborn = written(unsure.join(alike, "a", "left_anti"), "stubborn")
     if not stubborn.isEmpty():
-        pairs = written(_meet_all(packed, stubborn, parts, similarity), "met")
-        alike = alike.unionByName(_similar(pairs.select("a", "b"), _sets(rows, pairs), similarity))
+        pairs, path = stored(_meet_all(packed, stubborn, parts, similarity), "met")
+        sets, more = _sets(rows, pairs)
+        spent += [path, more]
+        alike = alike.unionByName(written(_similar(pairs.select("a", "b"), sets, similarity), "alike"))
+    for path in spent:  # what is alike is written, so nothing reads these again
+        dropped(spark, path)
     similar = alike.distinct().join(lines.select(F.col("key").alias("a"), "row", "line"), "a").select("row", "line")
     marks = equal.unionByName(similar).groupBy("row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     counted = rows.select(
@@ -420,8 +426,8 @@ def _hinted(rows: DataFrame) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
-def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, words) of the classes in ``pairs``, taken from the texts."""
+def _sets(rows: DataFrame, pairs: DataFrame) -> tuple[DataFrame, str]:
+    """(key, words) of the classes in ``pairs``, taken from the texts, and the folder they are in."""
     ends = pairs.select("a_id", "a_line", "a").unionByName(pairs.select(F.col("b_id").alias("a_id"), F.col("b_line").alias("a_line"), F.col("b").alias("a")))
     wanted = ends.distinct().groupBy("a_id").agg(F.collect_set("a_line").alias("lines"))
 
@@ -439,7 +445,7 @@ def _sets(rows: DataFrame, pairs: DataFrame) -> DataFrame:
         )
 
     known = rows.select(F.coalesce("id", F.lit(-(2**63))).alias("a_id"), "text").join(wanted, "a_id").select("text", "lines")
-    return written(arrow_map(known, sets, "key long, words array<long>").dropDuplicates(["key"]), "sets")
+    return stored(arrow_map(known, sets, "key long, words array<long>").dropDuplicates(["key"]), "sets")
 
 
 def _similar(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:

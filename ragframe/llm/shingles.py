@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ragframe.llm import lines
-from ragframe.llm.common import arrow_map, numbered, texts_of, written
+from ragframe.llm.common import arrow_map, dropped, numbered, stored, texts_of, written
 from ragframe.llm.components import connected_components
 
 SHINGLE = 5
@@ -63,7 +63,7 @@ def _entries(batch: pa.RecordBatch, words: int, rare: np.ndarray, similarity: fl
     prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
     of = np.repeat(np.arange(len(keep)), prefix)
     at = np.arange(len(of)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-    columns = [sets.hash[sets.first[keep][of] + at].view(np.int64), sets.key[keep][of].view(np.int64), n[of], at]
+    columns = [sets.hash[sets.first[keep][of] + at].view(np.int64), sets.key[keep][of].view(np.int64), n[of].astype(np.int32), at.astype(np.int32)]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "key", "n", "at"])
 
 
@@ -101,20 +101,22 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
 
 def _components(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """``rows(row, doc)`` -> (row, component) over links of Jaccard ``similarity`` or more; texts without words are one."""
-    texts = rows.select("doc.text")
-
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = ShingleSets(texts_of(batch.column(1)), words)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.key.view(np.int64))], names=["row", "key"])
 
     classes = written(arrow_map(rows.select("row", "doc.text"), keys, "row long, key long"), "classes")
+    # One text of each set: copies would only repeat its entries.
+    firsts = classes.groupBy("key").agg(F.min("row").alias("row")).select("row")
+    texts = rows.select("row", "doc.text").join(firsts, "row", "left_semi").select("text")
     rare = lines.rarity(texts, lambda t: shingle_hashes(t, words)[1])
     held = rows.sparkSession.sparkContext.broadcast(rare)  # lines.SLOTS numbers
-    entries = arrow_map(texts, lambda b: _entries(b, words, held.value, similarity), "token long, key long, n long, at long")
-    entries = written(entries.dropDuplicates(["token", "key"]), "entries")
+    entries = arrow_map(texts, lambda b: _entries(b, words, held.value, similarity), "token long, key long, n int, at int")
+    entries, path = stored(entries, "entries")
     one = F.struct("key", "n", "at")
     shared = entries.groupBy("token").agg(F.min(one).alias("b"), F.count("*").alias("members")).filter("members > 1")
     shared = written(entries.select("token", one.alias("a")).join(shared.select("token", "b"), "token"), "shared")
+    dropped(rows.sparkSession, path)
     star = shared.filter(F.col("a.key") != F.col("b.key")).filter(_fits("a", "b", similarity))
     star = written(star.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "star")
     links = _verified(star, rows, classes, words, similarity)
