@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage,
@@ -322,17 +322,31 @@ class TokenBlocks(DataSource):
         return Writer(dict(self.options))
 
 
+def registered(spark: SparkSession) -> str:
+    """The data source's name in ``spark``, a name for each session.
+
+    Spark looks a name up in the session of the table and in the one that is active, so both must know it, and a session
+    is refused a name that only the other one knows.
+    """
+    name = getattr(spark, "_token_blocks", None) or f"{FORMAT}_{uuid.uuid4().hex}"
+    spark._token_blocks = name
+    source = type(TokenBlocks.__name__, (TokenBlocks,), {"name": classmethod(lambda cls: name)})
+    for session in (spark, SparkSession.active()):
+        session.dataSource.register(source)
+    return name
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_column: str = "doc_id") -> None:
     """Encode every whole text and write ids, each text followed by ``end_id``, in ascending id order.
 
     Null ids come first and null texts are empty; rows that repeat an id follow each other, ordered by text.
     """
-    docs.sparkSession.dataSource.register(TokenBlocks)
+    source = registered(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
     )
-    (ordered.write.format(FORMAT).mode("append").option("path", path).option("tokenizer", tokenizer)
+    (ordered.write.format(source).mode("append").option("path", path).option("tokenizer", tokenizer)
      .option("end_id", end_id).save())
 
 
@@ -341,5 +355,4 @@ def read_tokens(spark, path: str) -> DataFrame:
 
     A file or block that does not match its checksum fails the read.
     """
-    spark.dataSource.register(TokenBlocks)
-    return spark.read.format(FORMAT).option("path", path).load()
+    return spark.read.format(registered(spark)).option("path", path).load()

@@ -12,3 +12,11 @@ def test_settings_of_the_session_stay(spark, name):
     before = {k: v for k, v in spark.conf.getAll.items() if "arrow" in k or "shuffle" in k}
     assert entry.queries()[name](spark, ROOT).count() > 0
     assert {k: v for k, v in spark.conf.getAll.items() if "arrow" in k or "shuffle" in k} == before
+
+
+def test_token_files_from_several_sessions(spark):
+    """Whatever session is active, and whichever of them ran the query before."""
+    for session in (spark, spark.newSession(), spark):
+        session.createDataFrame([(1,)], "x int").count()  # makes it the active one
+        for own in (spark, spark.newSession()):
+            assert entry.queries()["op1_token_blocks"](own, ROOT).count() > 0
