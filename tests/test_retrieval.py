@@ -2,6 +2,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ragframe.operators import ann, catalog, embedding, retrieval as rt
 from ragframe.operators import tiles
@@ -304,3 +305,13 @@ def test_validation_and_batches(spark):
     bad = spark.createDataFrame([("d", [1.0, 2.0]), ("d", [float("nan"), 1.0]), ("e", [0.0, 0.0]), ("f", [1.0]), ("g", [3.0, 4.0])], "d string, v array<double>")
     got = {r.d: (r.first_problem, r.publishable) for r in embedding.validate_vectors(bad, "d", "v", 2).collect()}
     assert got == {"d": ("not_finite", False), "e": ("all_zero", False), "f": ("dimension", False), "g": (None, True)}
+
+
+def test_queries_are_met_by_few_copies_of_the_items(spark):
+    """Items are shuffled once a block of queries: 3,000 queries are one block, and a block's matrices are bounded."""
+    count = lambda queries, items: iter([pa.RecordBatch.from_arrays([pa.array([queries.num_rows])], ["n"])])
+    _, di = vectors(spark, 3000, 21)
+    tiled = tiles.run_tiles(rt.as_queries(di), di, (count, StructType().add("n", LongType())), broadcast_queries=0)
+    assert [r.n for r in tiled.collect()] == [3000]
+    rows = rt.as_queries(di).toArrow()
+    assert tiles.Scorer(rows).step * 3000 <= tiles.STEP_CELLS
