@@ -144,3 +144,18 @@ def test_a_conversation_is_answered_with_its_memory(spark):
     assert prompts[(1, 1)].startswith("Context:\n") and set(prompts) == set(got)
     none = flows.converse(m.limit(0), chunks, scope)
     assert none.count() == 0 and none.columns[:2] == ["conversation_id", "position"]
+
+
+def test_study_searches_a_repeated_passage_once(spark, monkeypatch):
+    """A passage that stands in four documents is one query of the open pool and four of the gated one; all count."""
+    from ragframe.operators import embedding as emb
+    from ragframe.operators import evaluation as ev
+
+    asked, original = [], ev.scored_grid
+    monkeypatch.setattr(ev, "scored_grid", lambda q, *a, **kw: asked.append(q.count()) or original(q, *a, **kw))
+    rows = [(d, 0, f"red fox {d}", "s", 1, 1) for d in range(4)]
+    chunks = emb.hash_embed(spark.createDataFrame(rows, "document_id bigint, chunk_index int, content string, section string, page_start int, page_end int"))
+    queries = spark.createDataFrame([(10 + d, "red fox", "red fox", d, "s") for d in range(4)],
+                                    "query_id bigint, question string, gold string, document_id bigint, section string")
+    got = {r.gate: (r.queries, r.coverage) for r in ev.section_gate_study(queries, chunks).collect()}
+    assert asked == [1, 4] and got == {"none": (4, 1.0), "section": (4, 1.0)}
