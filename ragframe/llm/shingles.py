@@ -1,6 +1,7 @@
 """Near-duplicate documents by an exact Jaccard join of their word shingles.
 
-Shingles are put in order of rarity; two sets of similarity ``similarity`` or more share one among the first
+Pairs come from the SimHash index first: fingerprints of the same shingles within its distance. At the similarities asked
+for, most pairs lie beyond that distance, so the rest is found without fingerprints. Shingles are put in order of rarity; two sets of similarity ``similarity`` or more share one among the first
 n - ceil(similarity * n) + 1 of each. At a shingle every set first meets one other, then, in a second round, only sets
 that the links found so far leave in another component. Every pair is verified on the whole sets before it links.
 """
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ragframe.llm import lines
+from ragframe.llm import lines, simhash
 from ragframe.llm.common import arrow_map, dropped, numbered, stored, texts_of, written
 from ragframe.llm.components import connected_components
 
@@ -91,12 +92,25 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
         )
 
     texts = rows.select("row", "doc.text").join(firsts, "row").select("key", "text")
-    sets = written(arrow_map(texts, build, "key long, hashes array<long>"), "sets")
+    sets, path = stored(arrow_map(texts, build, "key long, hashes array<long>"), "sets")
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
-    return written(joined.filter(common >= _least(F.size("x"), F.size("y"), similarity)).select("a", "b"), "links")
+    similar = written(joined.filter(common >= _least(F.size("x"), F.size("y"), similarity)).select("a", "b"), "links")
+    dropped(rows.sparkSession, path)
+    return similar
+
+
+def _indexed(texts: DataFrame, words: int) -> DataFrame:
+    """``texts(key, text)`` -> pairs (a, b), b < a, that the SimHash index links, a spanning set of them."""
+    prints = written(simhash.fingerprints(texts, "key", words), "prints")
+    least = written(prints.groupBy("fp").agg(F.min("key").alias("least")), "least")
+    equal = prints.join(least, "fp").select(F.col("key").alias("a"), F.col("least").alias("b"))
+    ends = [least.select(F.col("fp").alias(c), F.col("least").alias(f"key_{c}")) for c in ("a", "b")]
+    near = simhash.links(least.select("fp")).join(ends[0], "a").join(ends[1], "b").select("key_a", "key_b")
+    pairs = equal.unionByName(near.toDF("a", "b")).filter("a <> b")
+    return written(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "indexed")
 
 
 def _components(rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -107,29 +121,34 @@ def _components(rows: DataFrame, words: int, similarity: float) -> DataFrame:
 
     classes = written(arrow_map(rows.select("row", "doc.text"), keys, "row long, key long"), "classes")
     # One text of each set: copies would only repeat its entries.
-    firsts = classes.groupBy("key").agg(F.min("row").alias("row")).select("row")
-    texts = rows.select("row", "doc.text").join(firsts, "row", "left_semi").select("text")
+    firsts = classes.groupBy("key").agg(F.min("row").alias("row"))
+    keyed = rows.select("row", "doc.text").join(firsts, "row").select("key", "text")
+    indexed = _indexed(keyed, words)
+    texts = keyed.select("text")
     rare = lines.rarity(texts, lambda t: shingle_hashes(t, words)[1])
     held = rows.sparkSession.sparkContext.broadcast(rare)  # lines.SLOTS numbers
     entries = arrow_map(texts, lambda b: _entries(b, words, held.value, similarity), "token long, key long, n int, at int")
     entries, path = stored(entries, "entries")
     one = F.struct("key", "n", "at")
     shared = entries.groupBy("token").agg(F.min(one).alias("b"), F.count("*").alias("members")).filter("members > 1")
-    shared = written(entries.select("token", one.alias("a")).join(shared.select("token", "b"), "token"), "shared")
+    shared, shared_at = stored(entries.select("token", one.alias("a")).join(shared.select("token", "b"), "token"), "shared")
     dropped(rows.sparkSession, path)
     star = shared.filter(F.col("a.key") != F.col("b.key")).filter(_fits("a", "b", similarity))
-    star = written(star.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct(), "star")
+    star = star.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct().unionByName(indexed).distinct()
+    star = written(star, "star")
     links = _verified(star, rows, classes, words, similarity)
 
     known = connected_components(links).select(F.col("node").alias("key"), "root")
     placed = shared.select("token", "a", F.col("a.key").alias("key")).join(known, "key", "left")
     placed = placed.select("token", "a", F.coalesce("root", "key").alias("root"))
     apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    left = written(placed.join(apart, "token", "left_semi"), "apart")
+    left, left_at = stored(placed.join(apart, "token", "left_semi"), "apart")
+    dropped(rows.sparkSession, shared_at)
     right = left.select("token", F.col("a").alias("b"), F.col("root").alias("other"))
     rest = left.join(right, "token").filter((F.col("root") != F.col("other")) & (F.col("b.key") < F.col("a.key")))
     rest = rest.filter(_fits("a", "b", similarity)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
+    dropped(rows.sparkSession, left_at)
     links = links.unionByName(_verified(rest, rows, classes, words, similarity))
     roots = connected_components(links).select(F.col("node").alias("key"), "root")
     return classes.join(roots, "key", "left").select("row", F.coalesce("root", "key").alias("component"))

@@ -65,3 +65,21 @@ def test_each_pair_by_itself(spark, planted):
             pair = [(1, by_id[i]), (2, by_id[i + n])]
             got = shingles.keep_one(spark.createDataFrame(pair, "doc_id long, text string")).count()
             assert got == kept_by_force(pair)[1]
+
+
+def test_stage_takes_links_from_the_simhash_index(spark, planted, monkeypatch):
+    import corpus_pipeline as cp
+    from ragframe.llm import simhash
+
+    rows, _ = planted
+    found, original = [], simhash.links
+
+    def links(fps, *args):
+        edges = original(fps, *args)
+        found.append(edges.count())
+        return edges
+
+    monkeypatch.setattr(simhash, "links", links)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert cp.near_duplicate_stage(spark, docs, "").count() == kept_by_force(rows)[1]
+    assert len(found) == 1 and found[0] > 0
