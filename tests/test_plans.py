@@ -52,3 +52,14 @@ def test_evaluation_reads_its_written_tables(spark, name):
 
 def test_checkpoints_have_a_folder(spark):
     assert checkpoint_dir(spark) and checkpoint_dir(spark) == checkpoint_dir(spark)
+
+
+def test_searched_chunks_are_cut_and_embedded_once(spark, monkeypatch):
+    """Search and texts of the context read one written table."""
+    from ragframe.plans import queries
+
+    names, original = [], queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, name: names.append(name) or original(df, name))
+    for name in ("prompt_table", "ask_corpus"):
+        queries.REGISTRY[name](spark, "/root/testdata/sf0.001")
+    assert names == ["chunks", "chunks"]
