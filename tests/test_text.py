@@ -137,3 +137,29 @@ def test_hash_vectors_match_a_plain_definition(spark):
         assert len(r.v) == 384 and max(abs(r.v[i] - sums[i] / norm) for i in range(384)) < 1e-6
     # filters on the vector must not undo the once-only computation
     assert hash_embed(df).filter(F.size("vector") > 0).count() == filled
+
+
+def test_batches_of_a_corpus_hash_as_rows_do(spark):
+    """The two ways to the vectors give the same rows: null, empty and repeated tokens, halves when rounded, many rows."""
+    from ragframe.operators.embedding import hash_embed, hash_embed_batches
+
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "b", "don't", "É9", "İx", "K", "z-1", "漢"]) for _ in range(rng.randint(0, 90))) for _ in range(1500)]
+    texts += [None, "", "---", "a " * 127 + "b", " ".join(f"w{i}" for i in range(16384))]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string").coalesce(1)
+    plain, batched = hash_embed(df), hash_embed_batches(df)
+    assert batched.columns == plain.columns and batched.schema["vector"].dataType.simpleString() == plain.schema["vector"].dataType.simpleString()
+    assert plain.exceptAll(batched).count() == 0 and batched.exceptAll(plain).count() == 0
+    assert batched.filter(F.size("vector") == 0).count() == plain.filter(F.size("vector") == 0).count() > 0
+    assert "Exchange" not in batched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dense_layout_has_every_slot_in_place(spark):
+    rows = [(1, []), (2, [(0, 5)]), (3, [(383, 7)]), (4, [(3, 1), (4, -2), (380, 9)])]
+    df = spark.createDataFrame(rows, "id int, v array<struct<slot:int,q:bigint>>")
+    for r in df.select("id", "v", vx.to_dense(F.col("v")).alias("d")).collect():
+        want = [0.0] * 384
+        for slot, q in r.v:
+            want[slot] = q / 1e6
+        assert list(r.d) == want
+    assert "accumulate" not in vx.to_dense(F.col("v"))._jc.toString() and "aggregate" not in vx.to_dense(F.col("v"))._jc.toString()
