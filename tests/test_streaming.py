@@ -37,6 +37,22 @@ def test_ledger_stream_equals_replay(spark):
     assert got == want and {k[1] for k in got} == {"process", "embed"}
 
 
+def test_merged_ledger_equals_the_stateful_stream(spark):
+    """Jobs split over batches, some events out of order, without a time, action or error; delivered again under a new checkpoint."""
+    rows = random_events(33, 10, 12) + [(3, "embed", 90, None, "claim", None), (3, "process", 91, None, None, "x"), (4, "process", 92, None, "fail", "")]
+    random.Random(5).shuffle(rows)
+    parts = [rows[i::3] for i in range(3)]
+    path = scratch()
+    row = lambda r: (r.document_id, r.kind, r.status, r.attempts, r.ignored, r.error, r.started_at, r.finished_at, r.version)
+    st.run_once(st.streaming_ledger(staged(spark, parts, EVENTS, f"{path}/a")), f"{path}/a/ck", st.ledger_writer(f"{path}/a/out"), "update")
+    want = sorted(map(row, st.current_jobs(spark, f"{path}/a/out").collect()), key=repr)
+    source = staged(spark, parts, EVENTS, f"{path}/b")
+    for again in range(2):
+        st.run_once(source, f"{path}/b/ck{again}", st.ledger_merge_writer(f"{path}/b/out"))
+        assert sorted(map(row, st.current_jobs(spark, f"{path}/b/out").collect()), key=repr) == want
+    assert max(r[-1] for r in want) == 3
+
+
 def test_a_run_without_outcome_is_requeued(spark):
     t0 = dt.datetime(2024, 1, 1)
     at = lambda m: t0 + dt.timedelta(minutes=m)
