@@ -182,3 +182,11 @@ def test_report_of_all_settings_matches_the_chunks(spark):
     assert got["overlap 40"].redundant_tokens > 0 and got["token 40"].redundant_tokens == 0
     empty = ck.chunking_report(bundles.limit(0), configs).collect()
     assert [(r.chunks, r.tokens, r.redundant_tokens) for r in empty] == [(0, None, 0)] * len(configs)
+
+
+def test_chunks_do_not_copy_the_texts_of_their_pages(spark):
+    page = "struct<page_number:int,content:string,section:string,source:string>"
+    rows = spark.createDataFrame([(1, [(1, "a b c d", "S", "u"), (2, "e f", None, "u")])], f"document_id bigint, pages array<{page}>")
+    for cut in (ck._cut_words(rows, ["document_id"], 3, None), ck._cut_words(rows, ["document_id"], 3, 1), ck._cut_paragraphs(rows, ["document_id"], 3)):
+        assert cut.schema["_pages"].dataType.elementType.fieldNames() == ["page_number", "section", "source"]
+        assert [r.content for r in cut.orderBy("chunk_index").collect()][0] == "a b"

@@ -163,3 +163,16 @@ def test_dense_layout_has_every_slot_in_place(spark):
             want[slot] = q / 1e6
         assert list(r.d) == want
     assert "accumulate" not in vx.to_dense(F.col("v"))._jc.toString() and "aggregate" not in vx.to_dense(F.col("v"))._jc.toString()
+
+
+def test_white_space_is_pythons_and_runs_fold(spark):
+    points = [c for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(chr(c),) for c in points], "t string").select("t", F.col("t").rlike(tx.WS).alias("ws")).collect()
+    assert [r.t for r in rows if r.ws] == [chr(c) for c in points if chr(c).isspace()]
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("ab  \n\t　") for _ in range(40)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.fold_ws(F.col("t")).alias("f"), tx.normalize_text(F.col("t")).alias("n"))
+    for r in df.collect():
+        assert r.f == " ".join(r.t.split())
+        folded = re.sub(r" *\n *", "\n", re.sub(r"[ \t\xa0\f\x0b]+", " ", r.t))
+        assert r.n == re.sub(r"\n{3,}", "\n\n", folded).strip()
