@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from ragframe.operators import ann, catalog, embedding, retrieval as rt
+from ragframe.operators import ann, catalog, embedding, evaluation, retrieval as rt
 from ragframe.operators import tiles
 
 MODES = [{}, {"broadcast_queries": 0}, {"broadcast_queries": 0, "query_block": 3, "item_block": 17}]
@@ -315,3 +315,22 @@ def test_queries_are_met_by_few_copies_of_the_items(spark):
     assert [r.n for r in tiled.collect()] == [3000]
     rows = rt.as_queries(di).toArrow()
     assert tiles.Scorer(rows).step * 3000 <= tiles.STEP_CELLS
+
+
+@pytest.mark.parametrize("mode", MODES)
+def test_best_chunks_take_their_tokens_in_the_kernel(spark, mode):
+    texts = ["Alpha beta beta", "beta GAMMA alpha", "", "delta", "gamma alpha beta", "ALPHA'S beta"]
+    chunks = spark.createDataFrame([("s", i, 0, t) for i, t in enumerate(texts)], "scope string, document_id bigint, chunk_index int, content string")
+    golds = ["alpha beta gamma", "delta zeta", "", "alpha's"]
+    queries = spark.createDataFrame([("s", i, g) for i, g in enumerate(golds)], "scope string, query_id bigint, gold string")
+    found = evaluation.best_chunks(queries, chunks, **mode)
+    assert sorted((r.query_id, r.item_id.document_id, r.overlap) for r in found.collect()) == [(0, 1, 3), (1, 3, 1), (2, 0, 0), (3, 5, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(lower(content" not in plan
+
+
+def test_questions_of_all_settings_travel_to_the_items(spark):
+    items = spark.createDataFrame([(str(s), i, [0], [1], 1) for s in range(12) for i in range(3)], "scope string, item_id bigint, features array<int>, weights array<bigint>, norm2 bigint")
+    asked = spark.range(2400).selectExpr("cast(id % 12 as string) scope", "id query_id", "array(0) features", "array(1L) weights", "1L norm2", "-1d floor")
+    best = tiles.run_tiles(asked, items, tiles.topk_kernel(2, "dot"))
+    assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString() and best.count() >= 4800
