@@ -7,15 +7,19 @@ on the events alone and not on how they were cut into batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ragframe.functions import text as tx
 from ragframe.operators import ledger
-from ragframe.streaming.jobs import _NEW_JOB, WATERMARK, apply_event
+from ragframe.sources import sinks
+from ragframe.streaming.jobs import (
+    _NEW_JOB, BOTH, WATERMARK, _both, _job, apply_event, both_jobs, job_rows, ledger_step, stored_jobs,
+)
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EVENT = "us bigint, kind string, seq bigint, action string, error string"
@@ -127,3 +131,54 @@ def timed_ledger(events: DataFrame, timeout_seconds: int = ledger.STALE_SECONDS)
         "document_id", "kind", "status", "attempts", "ignored", "error",
         F.timestamp_micros("started_us").alias("started_at"), F.timestamp_micros("finished_us").alias("finished_at"), "version",
     )
+
+
+def _requeued(jobs: Column, now: Column, timeout_seconds: int) -> Column:
+    """``_Jobs._requeue`` as an expression."""
+    def one(job: Column) -> Column:
+        due = (job.status == "processing") & (F.unix_micros(job.started_at) + timeout_seconds * 1_000_000 < F.unix_micros(now))
+        reason = F.lit(f"no outcome after {timeout_seconds} s")
+        return F.when(due, _job(F.lit("queued"), job.attempts, job.ignored, reason, F.lit(None), F.lit(None))).otherwise(job)
+
+    return F.struct(one(jobs.process), one(jobs.embed)).cast(BOTH)
+
+
+EVENTS = "document_id bigint, kind string, seq bigint, at timestamp, action string, error string"
+
+
+def timed_merge_writer(path: str, timeout_seconds: int = ledger.STALE_SECONDS, delay: str = WATERMARK) -> Callable[[DataFrame, int], None]:
+    """Micro-batches of ledger events to the rows of ``timed_ledger``; ``current_jobs`` of ``path``/jobs reads the result.
+
+    Events that the batch's own watermark has passed are put in order and applied by expressions in their document's
+    row, so that a document costs no call into Python; the others wait as rows of the batch, which the next batch reads.
+    Events at or behind the watermark of the batches before take no part, as in a stateful stream. All that a batch
+    reads is of the batches before it, so a batch delivered twice gives the same rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, jobs, marks, waiting = batch.sparkSession, f"{path}/jobs", f"{path}/marks", f"{path}/waiting"
+        if number == 0:  # rows of no batch, which make the tables readable
+            sinks.write_batch(spark.createDataFrame([(None,)], "latest timestamp"), marks, -1)
+            sinks.write_batch(spark.createDataFrame([(None,) * 6], EVENTS), waiting, -1)
+        known = batch.select("document_id", "kind", "seq", "at", "action", "error").filter("at is not null and document_id is not null")
+        sinks.write_batch(known.agg(F.max("at").alias("latest")), marks, number)
+        seen = spark.read.schema("latest timestamp, batch bigint").parquet(marks).filter(F.col("batch") <= number)
+        # Spark's watermark is in whole milliseconds.
+        mark = F.unix_micros(F.timestamp_millis(F.unix_millis("latest")) - F.expr(f"interval {delay}"))
+        before, now = seen.agg(F.max(F.when(F.col("batch") < number, mark)), F.max(mark)).first()
+        passed = F.timestamp_micros(F.lit(now).cast("long"))  # null while no event has a time
+        fresh = known if before is None else known.filter(F.unix_micros("at") > before)
+        held = spark.read.schema(f"{EVENTS}, batch bigint").parquet(waiting).filter(F.col("batch") == number - 1).drop("batch")
+        open_events = fresh.unionByName(held.filter("at is not null"))
+        sinks.write_batch(open_events.filter(F.col("at") > passed), waiting, number)
+        due = open_events.filter(F.col("at") <= passed).groupBy("document_id").agg(F.sort_array(F.collect_list(ledger_step())).alias("steps"))
+        joined = due.join(stored_jobs(spark, jobs, number), F.col("document_id") == F.col("_id"), "full")
+        joined = joined.select(F.coalesce("document_id", "_id").alias("document_id"), "version", "steps", both_jobs().alias("old"))
+        # The array of one binds the jobs after the time-outs, which the lambda would otherwise work out for each field.
+        step = lambda acc, e: F.get(F.transform(F.array(_requeued(acc, e["at"], timeout_seconds)), lambda r: _both(r, e)), F.lit(0))
+        applied = F.when(F.col("steps").isNull(), F.col("old")).otherwise(F.aggregate("steps", F.col("old"), step))
+        folded = joined.select("document_id", "version", "old", tx.seal(applied).alias("new"))
+        folded = folded.select("document_id", "version", "old", tx.seal(_requeued(F.col("new"), passed, timeout_seconds)).alias("s"))
+        sinks.write_batch(job_rows(folded.filter(~F.col("s").eqNullSafe(F.col("old")))), jobs, number)
+
+    return write

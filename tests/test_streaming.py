@@ -202,6 +202,52 @@ def test_timed_ledger_is_a_fold_in_order_of_time(spark):
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") != tl.PROVIDER
 
 
+def timed_events(seed=5, documents=40):
+    """Events of three arrivals, some behind the watermark by then, some without a time, a document or a number."""
+    rng, t0 = random.Random(seed), dt.datetime(2024, 1, 1, 0, 0, 0, 417)
+    rows = []
+    for doc in range(documents):
+        for seq, at in enumerate(sorted(rng.sample(range(9000), 14))):
+            kind = rng.choice(["process", "process", "embed"])
+            rows.append((doc, kind, seq, at, rng.choice(["enqueue", "claim", "claim", "succeed", "fail", "requeue", "?"])))
+    rows.append((99, "process", 0, 9601, "enqueue"))
+    delay = {r: rng.choice([0, 100, 590, 2500]) for r in rows}
+    arrived = sorted(rows, key=lambda r: r[3] + delay[r])
+    event = lambda d, k, s, at, a: (d, k, s, t0 + dt.timedelta(seconds=at), a, f"e{at}" if a == "fail" else None)
+    third = len(rows) // 3
+    parts = [[event(*r) for r in part] for part in (arrived[:third], arrived[third : 2 * third], arrived[2 * third :])]
+    parts[1] += [(None, "process", 0, t0, "enqueue", None), (1, "embed", 5, None, "claim", None)]
+    return parts
+
+
+def test_timed_ledger_of_expressions_equals_the_stateful_stream(spark):
+    parts = timed_events()
+    path, own = scratch(), tl.timer_session(spark)
+    for part in parts:  # a delivery each, after which the watermark takes effect
+        source = staged(own, [part], EVENTS, path)
+        st.run_once(tl.timed_ledger(source), f"{path}/ck", st.ledger_writer(f"{path}/out"), "update")
+    want = sorted(map(tuple, st.current_jobs(own, f"{path}/out").drop("version").collect()), key=str)
+    assert any("no outcome" in str(r) for r in want) and any("processing" in r for r in want)
+
+    write, frames = tl.timed_merge_writer(f"{path}/merged"), [spark.createDataFrame(p, EVENTS) for p in parts]
+    seen = lambda: sorted(map(tuple, st.current_jobs(spark, f"{path}/merged/jobs").drop("version").collect()), key=str)
+    write(spark.createDataFrame([(1, "embed", 0, None, "claim", None)], EVENTS), 0)
+    assert seen() == []
+    for n, frame in enumerate(frames, 1):
+        write(frame, n)
+    assert seen() == want
+    for n in (2, 3):  # deliveries after a failure
+        write(frames[n - 1], n)
+        assert seen() == want
+
+
+def test_timeouts_query_calls_python_for_no_document(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    monkeypatch.setattr(tl, "timed_ledger", None)
+    assert entry.queries()["stream_ledger_timeouts"](spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_late_rows_become_rows_of_a_table(spark, tmp_path):
     from ragframe.streaming import jobs as streams
 
