@@ -3,7 +3,8 @@
 A line is the set of its words, A-Z lower-cased. Words are put in order of rarity; two sets of Jaccard similarity
 ``similarity`` or more share a word among the first n - ceil(similarity * n) + 1 of each. Lines meet at those words,
 and pairs are dropped by their lengths, by the places of the shared word, and by a bitmap that bounds their
-difference from below, before the sets themselves are compared. A line goes if an earlier line is equal or similar.
+difference from below (of 64 bits, and of 256 where both lines have more than WIDE words, since those fill 64),
+before the sets themselves are compared. A line goes if an earlier line is equal or similar.
 
 Equal sets are one class, so that repeated lines never pair up. At a word, each class is paired with the earliest
 class that passes the filters; only classes whose earliest candidates prove unlike meet all the others. A word of many
@@ -35,6 +36,8 @@ TRIES = 8
 # Classes and words of at most this many rows are broadcast to find what is left.
 FEW = 200_000
 BLOCK = 512
+# Lines of more words have a bitmap of 256 bits.
+WIDE = 64
 # Words of at most this many classes are paired without a loop, about PAIRS pairs at a time; others by ROWS and BLOCK.
 SMALL = 24
 PAIRS = 1 << 18
@@ -127,8 +130,15 @@ class LineSets:
             self.check = np.bitwise_xor.reduceat(_mixed(self.word, 2), self.first)
             bits = np.uint64(1) << (self.word >> np.uint64(58))
             self.bitmap = np.bitwise_xor.reduceat(bits, self.first)
+            # Quarters of the bitmap, the first of which is what the others leave of its 64 bits.
+            quarter = (self.word >> np.uint64(56)) & np.uint64(3)
+            self.quarters = [
+                np.where(self.size > WIDE, np.bitwise_xor.reduceat(np.where(quarter == q, bits, np.uint64(0)), self.first), np.uint64(0))
+                for q in (1, 2, 3)
+            ]
         else:
             self.key = self.check = self.bitmap = np.zeros(0, np.uint64)
+            self.quarters = [self.bitmap] * 3
 
 
 def shared_least(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -136,7 +146,8 @@ def shared_least(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
     return np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
 
 
-ENTRY = ("token", "<u4"), ("key", "<u8"), ("bitmap", "<u8"), ("n", "<u4"), ("at", "<u4"), ("id", "<i8"), ("line", "<u4")
+ENTRY = ("token", "<u4"), ("key", "<u8"), ("bitmap", "<u8"), ("n", "<u4"), ("at", "<u4"), ("id", "<i8"), ("line", "<u4"), *((f"w{q}", "<u8") for q in (1, 2, 3))
+ENTRY_BYTES = sum(np.dtype(kind).itemsize for _, kind in ENTRY)
 
 
 def _pack(columns: dict[str, np.ndarray]) -> bytes:
@@ -145,7 +156,7 @@ def _pack(columns: dict[str, np.ndarray]) -> bytes:
 
 
 def _unpack(data: bytes, rows: int) -> dict[str, np.ndarray]:
-    raw = pa.decompress(data, decompressed_size=40 * rows, codec="zstd", asbytes=True)
+    raw = pa.decompress(data, decompressed_size=ENTRY_BYTES * rows, codec="zstd", asbytes=True)
     out, at = {}, 0
     for name, kind in ENTRY:
         out[name] = np.frombuffer(raw, kind, rows, at)
@@ -172,10 +183,12 @@ def word_parts(docs: DataFrame, rare: np.ndarray, similarity: float) -> np.ndarr
     return np.maximum(1, -(-counts // WORD_ENTRIES))
 
 
-def _entries(batch: pa.RecordBatch, rare: np.ndarray, buckets: int, parts: np.ndarray, similarity: float) -> pa.RecordBatch | None:
+def _entries(
+    batch: pa.RecordBatch, rare: np.ndarray, buckets: int, parts: np.ndarray, only: np.ndarray | None, similarity: float
+) -> pa.RecordBatch | None:
     """(id, text) -> per bucket, the packed prefix entries of the batch's earliest line of every class.
 
-    Parts of divided words have the buckets from ``buckets`` on, one each.
+    With ``only``, entries of these tokens. Parts of divided words have the buckets from ``buckets`` on, one each.
     """
     sets = LineSets(texts_of(batch.column(1)), rare)
     if not len(sets.first):
@@ -188,6 +201,11 @@ def _entries(batch: pa.RecordBatch, rare: np.ndarray, buckets: int, parts: np.nd
     rows = np.repeat(np.arange(len(keep)), prefix)
     at = np.arange(len(rows)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     word = sets.word[sets.first[keep][rows] + at]
+    if only is not None:
+        asked = np.isin(word & np.uint64(0xFFFFFFFF), only)
+        rows, at, word = rows[asked], at[asked], word[asked]
+        if not len(rows):
+            return None
     of = ((word >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     slot = (word & np.uint64(SLOTS - 1)).astype(np.int64)
     split = parts[slot] > 1
@@ -198,6 +216,7 @@ def _entries(batch: pa.RecordBatch, rare: np.ndarray, buckets: int, parts: np.nd
     columns = {
         "token": (word & np.uint64(0xFFFFFFFF))[cut], "key": sets.key[keep][rows][cut], "bitmap": sets.bitmap[keep][rows][cut],
         "n": n[rows][cut], "at": at[cut], "id": ids[keep][rows][cut], "line": sets.number[keep][rows][cut],
+        **{f"w{q}": w[keep][rows][cut] for q, w in enumerate(sets.quarters, 1)},
     }
     of = of[cut]
     heads = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)]
@@ -223,7 +242,19 @@ def _passes(e: dict, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndar
     n, m = e["n"][a].astype(np.int64), e["n"][b].astype(np.int64)
     least = shared_least(n, m, similarity)
     fits = (least <= np.minimum(n, m)) & (1 + np.minimum(n - e["at"][a], m - e["at"][b]) - 1 >= least)
-    return fits & (np.bitwise_count(e["bitmap"][a] ^ e["bitmap"][b]) <= n + m - 2 * least)
+    most = n + m - 2 * least
+    fits &= np.bitwise_count(e["bitmap"][a] ^ e["bitmap"][b]) <= most
+    wide = np.flatnonzero(fits & (n > WIDE) & (m > WIDE))
+    if len(wide):
+        x, y = a[wide], b[wide]
+        first = e["bitmap"][x] ^ e["bitmap"][y]
+        differ = np.zeros(len(wide), np.int64)
+        for name in ("w1", "w2", "w3"):
+            part = e[name][x] ^ e[name][y]
+            first ^= part
+            differ += np.bitwise_count(part)
+        fits[wide] = differ + np.bitwise_count(first) <= most[wide]
+    return fits
 
 
 def earliest(e: dict[str, np.ndarray], similarity: float, tries: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -315,7 +346,7 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             e = _unpack(data, rows)
             columns = [e["token"].astype(np.int64), e["key"].view(np.int64), e["bitmap"].view(np.int64), e["n"].astype(np.int32),
-                       e["at"].astype(np.int32), e["id"], e["line"].astype(np.int32)]
+                       e["at"].astype(np.int32), e["id"], e["line"].astype(np.int32), *(e[f"w{q}"].view(np.int64) for q in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[name for name, _ in ENTRY])
 
 
@@ -358,7 +389,7 @@ def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket")
     found = dealt.mapInArrow(lambda it: _pairs(it, similarity, tries, buckets), PAIR)
     found, *spent = stored(found.groupBy(*(c for c in found.columns if c != "more")).agg(F.max("more").alias("more")), "pairs")
-    tried, alone = found.filter("b is not null"), found.filter("b is null").select("a")
+    tried, alone = found.filter("b is not null"), found.filter("b is null").select("a", "a_id", "a_line")
     sets, path = _sets(rows, tried)
     spent.append(path)
     # Most lines are like the earliest line that they meet; the others are compared with the rest of theirs.
@@ -367,10 +398,11 @@ def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame
     rest, path = stored(tried.join(alike, "a", "left_anti"), "rest")
     spent.append(path)
     alike = alike.unionByName(written(_similar(rest.select("a", "b"), sets, similarity), "alike"))
-    unsure = rest.filter("more").select("a").unionByName(alone).distinct()
+    unsure = rest.filter("more").select("a", "a_id", "a_line").unionByName(alone).distinct()
     stubborn = written(unsure.join(alike, "a", "left_anti"), "stubborn")
     if not stubborn.isEmpty():
-        pairs, path = stored(_meet_all(packed, stubborn, parts, similarity), "met")
+        deal = lambda texts, only=None: _packed(texts, held, buckets, parts, similarity, only)
+        pairs, path = stored(_meet_all(rows, deal, stubborn, parts, similarity), "met")
         sets, more = _sets(rows, pairs)
         spent += [path, more]
         alike = alike.unionByName(written(_similar(pairs.select("a", "b"), sets, similarity), "alike"))
@@ -385,24 +417,34 @@ def _removed(numbers: DataFrame, similarity: float, id_column: str) -> DataFrame
     return counted.join(marks, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
-def _packed(rows: DataFrame, rare: Broadcast, buckets: int, parts: np.ndarray, similarity: float) -> DataFrame:
-    held = rows.sparkSession.sparkContext.broadcast(parts)  # SLOTS numbers
+def _packed(
+    rows: DataFrame, rare: Broadcast, buckets: int, parts: np.ndarray, similarity: float, only: np.ndarray | None = None
+) -> DataFrame:
+    held = rows.sparkSession.sparkContext.broadcast((parts, only))  # SLOTS numbers, FEW at most
     return arrow_map(
-        rows.select("id", "text"), lambda b: _entries(b, rare.value, buckets, held.value, similarity), "bucket long, rows long, data binary"
+        rows.select("id", "text"), lambda b: _entries(b, rare.value, buckets, *held.value, similarity), "bucket long, rows long, data binary"
     )
 
 
-def _meet_all(packed: DataFrame, stubborn: DataFrame, parts: np.ndarray, similarity: float) -> DataFrame:
-    """Every pair of a stubborn class and an earlier class that passes the filters."""
-    fields = "token long, key long, bitmap long, n int, at int, id long, line int"
-    entries = packed.mapInArrow(_unfolded, fields)
-    keys = stubborn.withColumnRenamed("a", "key")
-    asked = written(entries.join(_hinted(keys), "key"), "asked")
+def _meet_all(
+    rows: DataFrame, deal: Callable[..., DataFrame], stubborn: DataFrame, parts: np.ndarray, similarity: float
+) -> DataFrame:
+    """Every pair of a stubborn class and an earlier class that passes the filters; ``deal`` packs entries of texts."""
+    fields = "token long, key long, bitmap long, n int, at int, id long, line int, w1 long, w2 long, w3 long"
+    # The class's first line asks: its other lines are later than others that are like it.
+    ids = stubborn.select(F.col("a_id").alias("known")).distinct()
+    own = rows.join(_hinted(ids), F.coalesce("id", F.lit(-(2**63))) == F.col("known"), "left_semi")
+    keys = stubborn.select(F.col("a").alias("key"), F.col("a_id").alias("id"), F.col("a_line").alias("line"))
+    asked = written(deal(own).mapInArrow(_unfolded, fields).join(_hinted(keys), ["key", "id", "line"]).distinct(), "asked")
     tokens = written(asked.select("token").distinct(), "tokens")
-    entries = entries.join(_hinted(tokens), "token", "left_semi")
+    if tokens.count() <= FEW:
+        only = np.array([t for (t,) in tokens.collect()], np.uint64)
+        entries = deal(rows, only).mapInArrow(_unfolded, fields)
+    else:
+        entries = deal(rows).mapInArrow(_unfolded, fields).join(tokens, "token", "left_semi")
     named = lambda side: [F.col(c).alias(f"{side}_{c}") for c, _ in ENTRY if c != "token"]
     # A divided word's entries are dealt by class here too; those that ask go to all of its parts.
-    split = packed.sparkSession.createDataFrame(
+    split = rows.sparkSession.createDataFrame(
         [(int(s), int(parts[s])) for s in np.flatnonzero(parts > 1)], "slot long, parts long"
     )  # no more rows than entries / WORD_ENTRIES
     dealt = lambda df: df.withColumn("slot", F.col("token").bitwiseAND(SLOTS - 1)).join(F.broadcast(split), "slot", "left")
@@ -410,10 +452,15 @@ def _meet_all(packed: DataFrame, stubborn: DataFrame, parts: np.ndarray, similar
     x = dealt(asked).select("token", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("part"), *named("a"))
     y = dealt(entries).select("token", F.pmod("key", n).alias("part"), *named("b"))
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    most = F.col("a_n") + F.col("b_n") - 2 * least
+    differ = lambda name: F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}"))
+    first = differ("bitmap").bitwiseXOR(differ("w1")).bitwiseXOR(differ("w2")).bitwiseXOR(differ("w3"))
+    all_bits = F.bit_count(first) + F.bit_count(differ("w1")) + F.bit_count(differ("w2")) + F.bit_count(differ("w3"))
     fits = (
         (least <= F.least("a_n", "b_n"))
         & (F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at")) >= least)
-        & (F.bit_count(F.col("a_bitmap").bitwiseXOR(F.col("b_bitmap"))) <= F.col("a_n") + F.col("b_n") - 2 * least)
+        & (F.bit_count(differ("bitmap")) <= most)
+        & ((F.least("a_n", "b_n") <= WIDE) | (all_bits <= most))
         & (F.struct("b_id", "b_line", "b_key") < F.struct("a_id", "a_line", "a_key"))
     )
     return x.join(y, ["token", "part"]).filter(fits).select(

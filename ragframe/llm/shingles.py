@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ragframe.llm import lines, simhash
@@ -79,10 +79,10 @@ def _fits(a: str, b: str, similarity: float) -> Column:
     return F.least(n - F.col(f"{a}.at"), m - F.col(f"{b}.at")) >= _least(n, m, similarity)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar."""
+def _verified(pairs: DataFrame, keyed: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ``keyed(key, text)`` whose whole sets are similar."""
     wanted = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    firsts = classes.groupBy("key").agg(F.min("row").alias("row")).join(wanted, "key", "left_semi")
+    wanted = written(wanted, "wanted")
 
     def build(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = ShingleSets(texts_of(batch.column(1)), words)
@@ -91,14 +91,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, words: int,
             [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(sets.hash.view(np.int64)))], names=["key", "hashes"]
         )
 
-    texts = rows.select("row", "doc.text").join(firsts, "row").select("key", "text")
+    texts = keyed.join(lines._hinted(wanted), "key", "left_semi").select("key", "text")
     sets, path = stored(arrow_map(texts, build, "key long, hashes array<long>"), "sets")
     joined = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(
         sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b"
     )
     common = F.size(F.array_intersect("x", "y"))
     similar = written(joined.filter(common >= _least(F.size("x"), F.size("y"), similarity)).select("a", "b"), "links")
-    dropped(rows.sparkSession, path)
+    dropped(keyed.sparkSession, path)
     return similar
 
 
@@ -117,41 +117,43 @@ def _components(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """``rows(row, doc)`` -> (row, component) over links of Jaccard ``similarity`` or more; texts without words are one."""
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = ShingleSets(texts_of(batch.column(1)), words)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.key.view(np.int64))], names=["row", "key"])
-
-    classes = written(arrow_map(rows.select("row", "doc.text"), keys, "row long, key long"), "classes")
-    # One text of each set: copies would only repeat its entries.
-    firsts = classes.groupBy("key").agg(F.min("row").alias("row"))
-    keyed = rows.select("row", "doc.text").join(firsts, "row").select("key", "text")
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets.key.view(np.int64))], names=["row", "text", "key"])
+
+    classes = written(arrow_map(rows.select("row", "doc.text"), keys, "row long, text string, key long"), "classes")
+    # One text of each set: copies would only repeat its entries. Where they are few, no text moves to leave them out.
+    copied = classes.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = written(classes.select("row", "key").join(copied, "key").filter("row <> first").select("row"), "copies")
+    keyed = classes.join(lines._hinted(copies), "row", "left_anti").select("key", "text")
+    if copies.count() > lines.FEW:
+        keyed = written(keyed, "keyed")
     indexed = _indexed(keyed, words)
     texts = keyed.select("text")
     rare = lines.rarity(texts, lambda t: shingle_hashes(t, words)[1])
     held = rows.sparkSession.sparkContext.broadcast(rare)  # lines.SLOTS numbers
     entries = arrow_map(texts, lambda b: _entries(b, words, held.value, similarity), "token long, key long, n int, at int")
-    entries, path = stored(entries, "entries")
-    one = F.struct("key", "n", "at")
-    shared = entries.groupBy("token").agg(F.min(one).alias("b"), F.count("*").alias("members")).filter("members > 1")
-    shared, shared_at = stored(entries.select("token", one.alias("a")).join(shared.select("token", "b"), "token"), "shared")
-    dropped(rows.sparkSession, path)
+    # Windows deal the entries once; a shingle's rows are spilled, not held, by the task that has them.
+    one, token = F.struct("key", "n", "at"), Window.partitionBy("token")
+    shared = entries.select("token", one.alias("a")).select("token", "a", F.min("a").over(token).alias("b"), F.count("*").over(token).alias("members"))
+    shared, shared_at = stored(shared.filter("members > 1").drop("members"), "shared")
     star = shared.filter(F.col("a.key") != F.col("b.key")).filter(_fits("a", "b", similarity))
     star = star.select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct().unionByName(indexed).distinct()
     star = written(star, "star")
-    links = _verified(star, rows, classes, words, similarity)
+    links = _verified(star, keyed, words, similarity)
 
     known = connected_components(links).select(F.col("node").alias("key"), "root")
     placed = shared.select("token", "a", F.col("a.key").alias("key")).join(known, "key", "left")
     placed = placed.select("token", "a", F.coalesce("root", "key").alias("root"))
-    apart = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    left, left_at = stored(placed.join(apart, "token", "left_semi"), "apart")
+    placed = placed.select("*", F.min("root").over(token).alias("low"), F.max("root").over(token).alias("high"))
+    left, left_at = stored(placed.filter("low < high").drop("low", "high"), "apart")
     dropped(rows.sparkSession, shared_at)
     right = left.select("token", F.col("a").alias("b"), F.col("root").alias("other"))
     rest = left.join(right, "token").filter((F.col("root") != F.col("other")) & (F.col("b.key") < F.col("a.key")))
     rest = rest.filter(_fits("a", "b", similarity)).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct()
     rest = written(rest.join(star, ["a", "b"], "left_anti"), "rest")
     dropped(rows.sparkSession, left_at)
-    links = links.unionByName(_verified(rest, rows, classes, words, similarity))
+    links = links.unionByName(_verified(rest, keyed, words, similarity))
     roots = connected_components(links).select(F.col("node").alias("key"), "root")
-    return classes.join(roots, "key", "left").select("row", F.coalesce("root", "key").alias("component"))
+    return classes.select("row", "key").join(roots, "key", "left").select("row", F.coalesce("root", "key").alias("component"))
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, id_column: str = "doc_id") -> DataFrame:
