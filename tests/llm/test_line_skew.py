@@ -95,6 +95,8 @@ def test_first_line_of_a_stubborn_class_stays(spark, monkeypatch):
         for i, line in ((1, unlike), (5, first), (20, like), (50, first)):
             texts[i].append(" ".join(line))
     rows = [(i, "\n".join(t)) for i, t in sorted(texts.items())]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # the two first lines reach the buckets apart
+    docs = own.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
     got = [(r["doc_id"], list(r["removed"])) for r in lines.removed_lines(docs).collect()]
     assert sorted(got) == by_force(rows)
