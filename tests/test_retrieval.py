@@ -284,6 +284,11 @@ def test_vector_drift(spark):
     assert got == {1: (0.0, False), 2: (1.4142, True), 3: (0.0, False), 4: (1.0, True)}
 
 
+def test_batches_without_any_token_have_empty_vectors(spark):
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "\n")], "id int, content string").coalesce(1)
+    assert [r.vector for r in embedding.hash_embed_batches(df).orderBy("id").collect()] == [[], [], []]
+
+
 def test_validation_and_batches(spark):
     calls = []
 
