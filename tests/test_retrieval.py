@@ -339,3 +339,35 @@ def test_questions_of_all_settings_travel_to_the_items(spark):
     asked = spark.range(2400).selectExpr("cast(id % 12 as string) scope", "id query_id", "array(0) features", "array(1L) weights", "1L norm2", "-1d floor")
     best = tiles.run_tiles(asked, items, tiles.topk_kernel(2, "dot"))
     assert "Exchange" not in best._jdf.queryExecution().executedPlan().toString() and best.count() >= 4800
+
+
+def test_blocks_of_queries_travel_to_items_that_stay(spark):
+    """A scope of more queries than a block: passes over the items in place, not a copy of them for each block."""
+    items, di = vectors(spark, 200, 21, scopes=("hot", "b"), weights=[0.8, 0.2])
+    queries, dq = vectors(spark, 60, 22, scopes=("hot", "b"), weights=[0.95, 0.05])
+    hot = [q for q in queries if q[0] == "hot"]
+    for asked, table in ((hot, dq.filter("scope = 'hot'")), (queries, dq)):
+        found = rt.topk(rt.as_queries(table), di, 4, broadcast_queries=0, query_block=20)
+        assert sorted((r.query_id, r.item_id, r["rank"]) for r in found.collect()) == brute(asked, items, 4, "cosine")
+        assert ("CoGroup" in found._jdf.queryExecution().executedPlan().toString()) == (asked is queries)
+
+
+def test_a_block_of_many_scopes_is_sorted_out_once(monkeypatch):
+    table = pa.table({"scope": [f"s{i % 700}" for i in range(2100)], "n": list(range(2100))})
+    monkeypatch.setattr(tiles.pc, "equal", lambda *_: pytest.fail("the block is read once for each scope"))
+    parts = dict(tiles._by_scope(table))
+    assert len(parts) == 700 and all(parts[f"s{i}"].column("n").to_pylist() == [i, i + 700, i + 1400] for i in range(700))
+
+
+def test_tokens_on_bytes_are_those_of_the_pattern():
+    import re
+
+    from ragframe.functions import text as tx
+    from ragframe.operators import words
+
+    texts = ["", None, "a b", "é'x", "a\0b", "9", "日本 it's", "zz\n", "x"]
+    for at in (0, 3):
+        part = pa.array(texts).slice(at)
+        row, found = words.tokens(part)
+        assert list(zip(row.tolist(), found.to_pylist())) == [(i, w) for i, t in enumerate(texts[at:]) for w in re.findall(tx.TOKEN, t or "")]
+    assert list(words.steps(pa.array(texts), 4)) == [(0, 4), (4, 4), (8, 1)]
