@@ -371,3 +371,16 @@ def test_tokens_on_bytes_are_those_of_the_pattern():
         row, found = words.tokens(part)
         assert list(zip(row.tolist(), found.to_pylist())) == [(i, w) for i, t in enumerate(texts[at:]) for w in re.findall(tx.TOKEN, t or "")]
     assert list(words.steps(pa.array(texts), 4)) == [(0, 4), (4, 4), (8, 1)]
+
+
+def test_queries_of_many_scopes_are_sent_once(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    n = 1500
+    rows = [(f"s{i}", i, [i % 7], [1 + i % 3], (1 + i % 3) ** 2) for i in range(n)]
+    df = spark.createDataFrame(rows, "scope string, item_id bigint, features array<int>, weights array<bigint>, norm2 bigint")
+    sent, original = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a: sent.append(len(cloudpickle.dumps(f))) or original(self, f, *a))
+    found = rt.topk(rt.as_queries(df), df, 2).select("query_id", "item_id").collect()
+    assert sorted(map(tuple, found)) == [(i, i) for i in range(n)]
+    assert sent[0] < 1_000_000
